@@ -8,8 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, url_rules
-from safesight.llm.common import table
+from safesight.llm import bpe, secrets, toxicity, url_rules
+from safesight.llm.common import remainder, table
+
+
+#: Fixed values of the query contracts.
+TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_FROM = 4, 2, 0.3
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +31,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Trained on the labelled rows of docs that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", TOXIC_FOLDS) != TOXIC_HELD_OUT).select("doc_id", "toxic")
+    return toxicity.fit(docs, labels)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (remainder("doc_id", TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_url_filter, op7_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op7_bpe, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
