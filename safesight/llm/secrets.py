@@ -32,7 +32,8 @@ MIN_ASSIGN = 6
 KINDS = ("assign", "access", "hex", "model")
 
 #: What the models judge: runs of these characters, this long at least.
-RUN, MIN_RUN = r"[A-Za-z0-9+/_=-]{16,}", 16
+#: Runs of digits alone (numbers of cards, accounts, telephones) are not.
+RUN = r"(?=[0-9]*[A-Za-z+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
