@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, secrets, toxicity, url_rules
+from safesight.llm import bpe, jaccard_join, secrets, toxicity, url_rules
 from safesight.llm.common import remainder, table
 
 
@@ -44,9 +44,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op7_bpe, op8_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op7_bpe, op8_toxicity, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
