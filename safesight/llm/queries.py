@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, jaccard_join, secrets, toxicity, url_rules
+from safesight.llm import bpe, jaccard_join, language_model, secrets, toxicity, url_rules
 from safesight.llm.common import remainder, table
 
 
@@ -49,9 +49,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learned from nine tenths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
+    return language_model.score(docs, "held_out")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op7_bpe, op8_toxicity, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
