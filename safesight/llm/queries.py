@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, jaccard_join, language_model, secrets, toxicity, url_rules
+from safesight.llm import bpe, decontaminate, jaccard_join, language_model, secrets, toxicity, url_rules
 from safesight.llm.common import remainder, table
 
 
@@ -26,6 +26,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.QUERY_RULES, url_rules.QUERY_GLOBS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and decoded text."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -57,7 +62,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
