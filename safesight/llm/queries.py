@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, decontaminate, jaccard_join, language_model, secrets, toxicity, url_rules
+from safesight.llm import bpe, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, toxicity, url_rules
 from safesight.llm.common import remainder, table
 
 
@@ -21,11 +21,26 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it replies to, its thread and depth."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.QUERY_RULES, url_rules.QUERY_GLOBS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return site_style.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents leak."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,9 +77,9 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL with the same rows."""
-    return {"op3_url_filter": url_rules.ORACLE_SQL}
+    return {"op2_quotation_links": quotes.ORACLE_SQL, "op3_url_filter": url_rules.ORACLE_SQL}
