@@ -36,14 +36,20 @@ def plain(df: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL with the same rows."""
+    _load()
     return dict(_SQL)
 
 
+def _load() -> None:
+    from safesight import registry_data  # noqa: F401  they register on import
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     dets = plan.detections(spark, sf_dir)
     return plan.status_of(dets, plan.true_tracks(dets))
