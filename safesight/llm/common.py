@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are what bytes.split() leaves: runs without \x20 and \x09-\x0D.
@@ -40,13 +40,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Compute df now into a Parquet table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+#: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) some ids, which are broadcast only if they are few."""
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)
@@ -98,7 +119,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     paths shorten in a logarithmic number of rounds and no component is ever
     gathered in one row. Self-loops are allowed; repeated edges don't matter.
     """
-    spark = edges.sparkSession
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None

@@ -10,9 +10,10 @@ most but for false positives.
 
 Counts are dealt to buckets by hash; each bucket's filter is built in one task
 (buckets follow the input's bytes, so their size is bounded). Workers get the
-buckets by broadcast, in shards of at most ``shard_bytes``. Where one shard holds
-all, texts are scored in one pass; else the looked-up counts are filled in shard
-by shard in a written table, so memory stays bounded at any size.
+buckets by broadcast, in pieces of ``piece_bytes``. Where all pieces are within
+``shard_bytes``, texts are scored in one pass; else the counts are filled in for
+that many bytes of pieces at a time in a written table, so memory stays bounded
+at any size (passes grow with the number of distinct pairs).
 
 Null and empty texts are one token (the end). Repeated rows give repeated rows;
 columns besides the id and the text are ignored. With no training rows all
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import LOWER, WordHashes, byte_rows, mix, written
+from safesight.llm.common import LOWER, WordHashes, byte_rows, discard, mix, table_path, written
 
 END, START = np.uint64(0x5E4D), np.uint64(0x57A7)  # words have xxh3 hashes
 ADD = 0.1
@@ -159,7 +160,16 @@ def build(counted: DataFrame, base: float, bits_per_key: float, k: int) -> DataF
     return counted.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket long, keys long, total long, bytes long, data binary, extra binary")
 
 
-class Shard:
+class Lookup:
+    """What a chunk asks for: its distinct words and its pairs."""
+
+    def __init__(self, c: Chunk):
+        self.keys, self.at = np.unique(mix(c.tokens), return_inverse=True)
+        self.found = np.zeros(len(self.keys), np.int64)
+        self.pair_keys, self.pairs = mix(c.pairs()), np.zeros(len(c.tokens))
+
+
+class Piece:
     """The words and pair filters of buckets first .. last."""
 
     def __init__(self, rows: list[dict], bits: int, first: int, last: int, base: float, k: int):
@@ -176,17 +186,15 @@ class Shard:
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
 
-    def fill(self, c: Chunk, words: np.ndarray, pairs: np.ndarray) -> None:
-        """Put the counts that this shard knows into words and pairs."""
-        keys, at = np.unique(mix(c.tokens), return_inverse=True)
-        bucket = self._bucket(keys)
-        own = (bucket >= self.first) & (bucket <= self.last)
-        found = np.zeros(len(keys), np.int64)
-        if len(self.words):
+    def fill(self, look: Lookup) -> None:
+        """Put the counts that this piece knows into a chunk's lookups."""
+        bucket = self._bucket(look.keys)
+        mine = np.flatnonzero((bucket >= self.first) & (bucket <= self.last))
+        if len(self.words) and len(mine):
+            keys = look.keys[mine]
             place = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-            found = np.where(self.words[place] == keys, self.counts[place], 0)
-        words[:] = np.where(own[at], found[at], words)
-        keys = mix(c.pairs())
+            look.found[mine] = np.where(self.words[place] == keys, self.counts[place], 0)
+        keys = look.pair_keys
         bucket = self._bucket(keys)
         mine = np.flatnonzero((bucket >= self.first) & (bucket <= self.last))
         bucket = bucket[mine] - self.first
@@ -202,7 +210,7 @@ class Shard:
             alive = alive[rest]
             level[alive] = step
             step += 1
-        pairs[mine] = np.where(level > 0, np.ceil(self.base ** (level - 1.0) - 1e-9), 0)
+        look.pairs[mine] = np.where(level > 0, np.ceil(self.base ** (level - 1.0) - 1e-9), 0)
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -217,7 +225,7 @@ def scored(c: Chunk, words: np.ndarray, pairs: np.ndarray, n_train: int, n_words
     return pa.RecordBatch.from_arrays([pa.array(c.ids), pa.array(c.held), pa.array(c.lengths), pa.array(known), pa.array(c.sums(np.log10(p))), pa.array(c.sums(np.log10(conditional)))], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score(docs: DataFrame, held_out: str, share: float = 0.2, base: float = 1.5, bits_per_key: float = 10.0, k: int = 5, shard_bytes: int = 384 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: str, share: float = 0.2, base: float = 1.5, bits_per_key: float = 10.0, k: int = 5, shard_bytes: int = 384 << 20, piece_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of its probability).
 
     held_out: name of a boolean column; rows where it is true are not learned from.
@@ -231,32 +239,34 @@ def score(docs: DataFrame, held_out: str, share: float = 0.2, base: float = 1.5,
     n_texts = texts.where(~F.coalesce("held", F.lit(False))).count()
     n_train, n_words = sums
 
-    # shards: runs of buckets of shard_bytes at most (a row of sizes per bucket)
-    edges, room = [0], shard_bytes
-    for r in built.groupBy("bucket").agg(F.sum("bytes").alias("b")).orderBy("bucket").collect():
+    # pieces: runs of buckets of piece_bytes at most; each is built and broadcast alone
+    edges, room, total = [0], piece_bytes, 0
+    for r in built.groupBy("bucket").agg(F.sum("bytes").alias("b")).orderBy("bucket").collect():  # a row of sizes per bucket
         if r["b"] > room and r["bucket"] > edges[-1]:
             edges.append(r["bucket"])
-            room = shard_bytes
+            room = piece_bytes
         room -= r["b"]
+        total += r["b"]
     edges.append(1 << bits)
 
-    def shard(i: int):
-        first, last = edges[i], edges[i + 1] - 1
-        rows = [r.asDict() for r in built.where(F.col("bucket").between(first, last)).select("kind", "bucket", "data", "extra").collect()]
-        return sc.broadcast(Shard(rows, bits, first, last, base, k))
+    def piece(first: int, after: int):
+        rows = [r.asDict() for r in built.where(F.col("bucket").between(first, after - 1)).select("kind", "bucket", "data", "extra").collect()]
+        return sc.broadcast(Piece(rows, bits, first, after - 1, base, k))
 
-    if len(edges) == 2:
-        only = shard(0)
+    runs = list(zip(edges, edges[1:]))
+    if total <= shard_bytes:
+        held = [piece(*run) for run in runs]
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in chunks(batches):
-                words, pairs = np.zeros(len(c.tokens), np.int64), np.zeros(len(c.tokens))
-                only.value.fill(c, words, pairs)
-                yield scored(c, words, pairs, n_train, n_words, n_texts, share)
+                look = Lookup(c)
+                for one in held:
+                    one.value.fill(look)
+                yield scored(c, look.found[look.at], look.pairs, n_train, n_words, n_texts, share)
 
         out = texts.mapInArrow(whole, SCORES)
     else:
-        out = _by_shards(texts, shard, len(edges) - 1, n_train, n_words, n_texts, share)
+        out = _by_pieces(texts, piece, runs, max(1, shard_bytes // piece_bytes), n_train, n_words, n_texts, share)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -264,8 +274,8 @@ PARTS = ("ids", "held", "lengths", "tokens", "words", "pairs")
 KINDS = (np.int64, bool, np.int64, np.uint64, np.int64, np.float64)
 
 
-def _by_shards(texts: DataFrame, shard, n: int, n_train: int, n_words: int, n_texts: int, share: float) -> DataFrame:
-    """The same scores with one shard in memory at a time: a table of chunks is filled in shard by shard."""
+def _by_pieces(texts: DataFrame, piece, runs: list[tuple[int, int]], at_once: int, n_train: int, n_words: int, n_texts: int, share: float) -> DataFrame:
+    """The same scores with some pieces in memory at a time: a table of chunks is filled in by and by."""
     schema = ", ".join(f"{p} binary" for p in PARTS)
 
     def row(c: Chunk, words: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
@@ -275,23 +285,30 @@ def _by_shards(texts: DataFrame, shard, n: int, n_train: int, n_words: int, n_te
         for batch in batches:
             for i in range(batch.num_rows):
                 a = [np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate(KINDS)]
-                yield Chunk(*a[:4]), a[4].copy(), a[5].copy()
+                yield Chunk(*a[:4]), a[4], a[5]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             yield row(c, np.zeros(len(c.tokens), np.int64), np.zeros(len(c.tokens)))
 
-    found = texts.mapInArrow(begin, schema)
-    for i in range(n):
-        own = shard(i)
+    spark, found, path = texts.sparkSession, texts.mapInArrow(begin, schema), None
+    for i in range(0, len(runs), at_once):
+        held = [piece(*run) for run in runs[i : i + at_once]]
 
-        def fill(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+        def fill(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for c, words, pairs in unpack(batches):
-                own.value.fill(c, words, pairs)
-                yield row(c, words, pairs)
-
-        found = written(found.mapInArrow(fill, schema))
-        own.unpersist()
+                look = Lookup(c)
+                for one in held:
+                    one.value.fill(look)
+                # each word and pair is known to one piece; the others leave it 0
+                yield row(c, words + look.found[look.at], pairs + look.pairs)
+
+        done, path = path, table_path(spark)
+        found = written(found.mapInArrow(fill, schema), path)
+        if done:
+            discard(spark, done)
+        for one in held:
+            one.destroy()
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, words, pairs in unpack(batches):
