@@ -68,9 +68,9 @@ def _base(text: Column) -> Column:
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, base spans and the candidate runs that don't touch them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", _base(F.col("text")).alias("base"), _matches(F.col("text"), RUN, 3).alias("runs"))
+    found = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text")).select("row", "id", "text", _base(F.col("text")).alias("base"), _matches(F.col("text"), RUN, 3).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-    return found.select("id", "text", "base", free.alias("runs"))
+    return found.select("row", "id", "text", "base", free.alias("runs"))
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +100,7 @@ def train(labelled: DataFrame, weight: float = 0.5) -> list[float]:
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, text, base and spans (arrays of start, kind, stop, value), ordered by start, then kind.
+    """One row per document: row (all its columns), id, text, base and spans (arrays of start, kind, stop, value), ordered by start, then kind.
 
     ratios: from train(); by default trained on samples(docs). threshold: natural
     log-likelihood ratio per character pair above which a run is a secret.
@@ -117,7 +117,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float =
 
     found = _prepared(docs, id_col, text_col)
     model = F.filter("runs", lambda r: ratio(r) > threshold)
-    return found.select("id", "text", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", model)).alias("spans")).withColumnRenamed("id", id_col)
+    return found.select("row", "id", "text", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", model)).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -128,11 +128,11 @@ def _joined(spans: str) -> Column:
 def digests(docs: DataFrame, ratios: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of base spans by kind, base_sha256 and all spans as kind:start:end."""
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long")
-    return scan(docs, ratios, id_col=id_col, text_col=text_col).select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return scan(docs, ratios, id_col=id_col, text_col=text_col).select(F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ratios: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and text with every secret replaced by the mark (overlapping spans by one)."""
+    """docs with every secret in the text replaced by the mark (overlapping spans by one); other columns stay."""
     acc = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -140,4 +140,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", ratios: list[float] | None =
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], between).otherwise(F.lit(""))).alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    return scan(docs, ratios, id_col=id_col, text_col=text_col).select(id_col, F.when(F.size("spans") > 0, F.aggregate("spans", acc, step, rest)).otherwise(F.col("text")).alias(text_col))
+    new = F.when(F.size("spans") > 0, F.aggregate("spans", acc, step, rest)).otherwise(F.col("row").getField(text_col))
+    columns = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return scan(docs, ratios, id_col=id_col, text_col=text_col).select(*columns)
