@@ -3,9 +3,10 @@
 Exact: two texts link when 100 x intersection >= percent x union of their
 distinct n-word shingles (64-bit hashes). Steps, all Spark jobs:
 
-1. Load table: how often shingles fall in each of 2^20 cells, over all texts (4
-   MB at any size). It gives the global order: cells of low load first, then by
-   hash. Any order is exact; this one keeps shared passages out of prefixes.
+1. Load table: how often shingles fall in each of 2^22 cells, over all texts (4
+   MB as classes at any size). It gives the global order: cells without excess
+   load first, then by hash. Any order is exact; this one keeps shared passages
+   out of prefixes.
 2. Equal sets collapse into one representative.
 3. Prefixes: linked texts share a token within their first |x| - ceil(t|x|) + 1
    tokens, and l tokens within l - 1 more. Document frequencies of all prefix
@@ -31,19 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.llm.common import LOWER, WordHashes, byte_rows, components, cut, shingle_set, written
+from safesight.llm.common import LOWER, WordHashes, by_ids, byte_rows, components, cut, discard, shingle_set, table_path, written
 
-CELLS = 1 << 20
-SLICES = 32
-#: Candidate costs from which a text's prefix grows by one token more.
-COSTS = (64, 512, 4096)
+CELLS = 1 << 22
+SLICES = 64
+#: Candidate costs above which a text's prefix grows, and by what part of its size: (cost, parts).
+GROWTH = ((4, 40), (32, 20))
 LARGE = 64
 ROUNDS = 3
-#: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def _sets(batch: pa.RecordBatch, words: WordHashes, n: int) -> Iterator[np.ndarray]:
@@ -52,7 +51,7 @@ def _sets(batch: pa.RecordBatch, words: WordHashes, n: int) -> Iterator[np.ndarr
 
 
 def _loads(texts: DataFrame, n: int) -> np.ndarray:
-    """Order classes of the cells: 0 up to twice the mean load, then by powers of two."""
+    """Order classes of the cells: 0 up to four deviations above the mean load, then by powers of two of the excess."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total, held, size = WordHashes(), np.zeros(CELLS, np.int64), [], 0
@@ -80,12 +79,13 @@ def _loads(texts: DataFrame, n: int) -> np.ndarray:
     total = np.zeros(CELLS, np.int64)
     for r in rows:
         total[r["slice"] * (CELLS // SLICES) :][: CELLS // SLICES] = np.frombuffer(zlib.decompress(r["loads"]), np.int64)
-    return np.floor(np.log2(np.maximum(1, total / (total.mean() + 8)))).astype(np.uint8)
+    excess = (total - total.mean()) / (4 * np.sqrt(total.mean()) + 4)
+    return np.ceil(np.log2(np.maximum(1, excess))).astype(np.uint8)
 
 
 def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """doc, size, d1, d2 (digest of the set) and its first tokens in the global order."""
-    classes = texts.sparkSession.sparkContext.broadcast(_loads(texts, n))  # 1 MB
+    classes = texts.sparkSession.sparkContext.broadcast(_loads(texts, n))  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, order = WordHashes(), classes.value
@@ -97,7 +97,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 sizes.append(len(found))
                 d1.append(int(a))
                 d2.append(int(b))
-                length = len(found) - -(-len(found) * percent // 100) + 1 + len(COSTS)
+                length = len(found) - -(-len(found) * percent // 100) + 1 + -(-len(found) // GROWTH[-1][1])
                 first = found[np.lexsort((found, order[(found & np.uint64(CELLS - 1)).astype(np.int64)]))[:length]] if len(found) else found
                 prefix.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc", "size", "d1", "d2", "prefix"])
@@ -105,12 +105,6 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, size long, d1 long, d2 long, prefix array<long>")
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some ids; these are broadcast only up to BROADCAST_ROWS."""
-    n = ids.limit(BROADCAST_ROWS + 1).count()
-    return texts.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc", "left_semi")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) that link, by their whole sets."""
 
@@ -133,10 +127,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    found = written(_only(texts, ids).dropDuplicates(["doc"]).mapInArrow(sets, "doc long, tokens binary"))
+    path = table_path(texts.sparkSession)
+    found = written(by_ids(texts, ids, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(sets, "doc long, tokens binary"), path)
     left = found.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
     right = found.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    linked = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    discard(texts.sparkSession, path)
+    return linked
 
 
 def _fits(percent: int):
@@ -149,36 +146,54 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     every = written(_prefixes(texts, n, percent))
     reps = every.where("size > 0").groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    tokens = reps.select("doc", "size", F.posexplode("prefix").alias("at", "token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("doc")
-    cost = F.sum(F.col("df") - 1).over(own)
+    base = (F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1).cast("int")
+    tokens = reps.select("doc", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
+    first = cut(tokens.join(_frequent(tokens), "token"))
     need = F.lit(1)
-    for c in COSTS:
-        need = need + (F.col("cost") > c).cast("int")
-    length = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + F.col("need")
-    rows = cut(tokens.join(df, "token").withColumn("cost", cost).withColumn("need", need).where(F.col("at") < length).select("token", "doc", "size", "need", "df"))
-
-    # buckets of few texts: count the shared tokens of each pair
-    few = rows.where(F.col("df") <= LARGE)
-    other = few.select("token", F.col("doc").alias("doc2"), F.col("size").alias("size2"), F.col("need").alias("need2"))
-    pairs = few.join(other, "token").where((F.col("doc") < F.col("doc2")) & _fits(percent))
-    pairs = pairs.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need", "need2")).alias("need")).where(F.col("shared") >= F.col("need")).select("a", "b")
-    links = cut(_verified(cut(pairs), texts, n, percent))
-
+    for cost, part in GROWTH:
+        need = F.when(F.col("cost") > cost, 1 + F.ceil(F.col("size") / part)).otherwise(need)
+    needs = first.groupBy("doc").agg(F.sum(F.col("df") - 1).alias("cost")).join(reps, "doc").select("doc", "size", need.cast("int").alias("need"), "prefix")
+    longer = cut(needs.select("doc", "size", "need", F.posexplode(F.slice("prefix", F.lit(1), base + F.col("need").cast("int") - 1)).alias("at", "token")))
+    # before: how many tokens of other texts' prefixes stand before this one
+    before = F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1
+    rows = cut(longer.join(_frequent(longer), "token").withColumn("before", before))
+
+    links = _verified(cut(_pairs(rows.where(F.col("df") <= LARGE), percent)), texts, n, percent)
     many = rows.where(F.col("df") > LARGE).select("token", "doc", "size")
     if not many.isEmpty():
-        links = _large(cut(many), links, texts, n, percent)
+        links = _large(cut(many), rows, links, texts, n, percent)
     parts = components(links)
     known = reps.select("d1", "d2", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
     return every.select("doc", "size", "d1", "d2").join(known, ["d1", "d2"], "left").select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def _large(many: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links within large buckets, until what is left has been verified pair by pair."""
+def _frequent(rows: DataFrame) -> DataFrame:
+    """Tokens of more than one row, with their number of rows."""
+    return rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def _pairs(rows: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
+    """Pairs (a, b) that share as many tokens as the smaller need of both.
+
+    Position filter: a common token at places at and at2 leaves an overlap of at
+    most least(before) + 1 + least(size - at - 1), as tokens that stand before it
+    and occur in no other prefix are not common.
+    """
+    other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in rows.columns if c not in ("token", "df")))
+    least = F.least("before", "before2") + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    close = least * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
+    met = rows.join(other, "token").where((F.col("doc") < F.col("doc2")) & _fits(percent) & close)
+    met = met if also is None else met.where(also)
+    shared = met.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need", "need2")).alias("need"))
+    return shared.where(F.col("shared") >= F.col("need")).select("a", "b")
+
+
+def _large(many: DataFrame, rows: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links within large buckets: leaders first, then all pairs of different components that are left."""
     for turn in range(ROUNDS + 1):
         parts = components(links).withColumnRenamed("node", "doc")
-        named = many.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+        part = F.coalesce("component", "doc").alias("part")
+        named = many.join(parts, "doc", "left").select("token", "doc", "size", part)
         # a bucket of one component is done
         mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "size", "part")).alias("leader")).where("p < q").select("token", "leader")
         left = cut(named.join(mixed, "token"))
@@ -186,9 +201,9 @@ def _large(many: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent:
             break
         if turn < ROUNDS:
             pairs = left.select("doc", "size", "part", F.col("leader.doc").alias("doc2"), F.col("leader.size").alias("size2"), F.col("leader.part").alias("part2"))
+            pairs = pairs.where((F.col("part") != F.col("part2")) & _fits(percent)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
         else:
-            left = left.select("token", "doc", "size", "part")
-            pairs = left.join(left.select("token", F.col("doc").alias("doc2"), F.col("size").alias("size2"), F.col("part").alias("part2")), "token").where("doc < doc2")
-        pairs = pairs.where((F.col("part") != F.col("part2")) & _fits(percent)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+            open_rows = rows.join(left.select("doc").distinct(), "doc", "left_semi").join(parts, "doc", "left").select("token", "doc", "size", "need", "at", "before", part)
+            pairs = _pairs(open_rows, percent, F.col("part") != F.col("part2"))
         links = cut(links.unionByName(_verified(cut(pairs), texts, n, percent)))
     return links

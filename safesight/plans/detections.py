@@ -24,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detections of all customers."""
+    return from_customers(table(spark, sf_dir, "customer"))
+
+
+def from_customers(customers: DataFrame) -> DataFrame:
+    """The detections of a table or stream of customers."""
     e = F.expr
-    frames = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("k"))
+    frames = customers.select(F.col("c_custkey").cast("long").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("k"))
     p = frames.select("w", "k", e("w div 5").alias("camera_id"), e("100+150*(w%5)+((w%7)-3)*k").alias("px"), e("200+((w*13)%80)").alias("py"), e("(w*5+k*3)%5").alias("j"))
 
     def part(where: str, offset: int, cls: str, *values: str) -> DataFrame:

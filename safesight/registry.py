@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from safesight import registry_data  # noqa: F401  they register on import
+    from safesight import registry_data, registry_stream  # noqa: F401  they register on import
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
