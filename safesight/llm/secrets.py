@@ -4,8 +4,8 @@ Rules find assignments, access keys and hexadecimal runs. The method adds
 candidate runs that no rule covers: two character Markov models, one of random
 strings and one of ordinary identifiers, give the log-likelihood ratio of each
 candidate, which counts as a secret above a threshold per character. The models
-are trained from labelled samples: by default the values that the rules matched
-(random) against ordinary long words and identifiers of the same table.
+are trained from labelled samples: by default the values that the rules matched and
+digests (random) against ordinary long words and identifiers of the same table.
 
 Positions are code points, end exclusive. Everything happens inside the row (no
 shuffle); only the two tables of character pairs, bounded by the alphabet, go to
@@ -74,19 +74,26 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled samples (value, label) from the table itself: values that rules matched are 1, other long runs without digits are 0."""
+    """Labelled samples (value, label) from the table itself.
+
+    1: values that rules matched, and per document the base64 digest of its first
+    ordinary run (a random string by construction, of the whole alphabet). 0: all
+    other long runs without digits.
+    """
     found = _prepared(docs, id_col, text_col)
     secret = F.transform("base", lambda b: F.struct(F.when(b["kind"] == 0, F.regexp_extract(b["value"], ASSIGN, 2)).otherwise(b["value"]).alias("value"), F.lit(1).alias("label")))
     plain = F.transform(F.filter("runs", lambda r: ~r["value"].rlike("[0-9]")), lambda r: F.struct(r["value"].alias("value"), F.lit(0).alias("label")))
-    return found.select(F.explode(F.concat(secret, plain)).alias("s")).select("s.value", "s.label")
+    drawn = F.transform(F.slice(plain, 1, 1), lambda p: F.struct(F.rtrim(F.base64(F.unhex(F.sha2(p["value"], 256))), F.lit("=")).alias("value"), F.lit(1).alias("label")))
+    return found.select(F.explode(F.concat(secret, plain, drawn)).alias("s")).select("s.value", "s.label")
 
 
-def train(labelled: DataFrame, weight: float = 0.5) -> list[float]:
+def train(labelled: DataFrame, weight: float = 5.0, add: float = 0.5) -> list[float]:
     """Log-likelihood ratios of character pairs, row by row of the alphabet.
 
     labelled: value string, label 1 (random string) or 0 (ordinary). Counts cover
-    all samples; weight is added to each. A side without samples has a uniform
-    model. At most 2 x 67 x 67 counts reach the driver.
+    all samples. P(b | a) = (count(ab) + weight x P(b)) / (count(a) + weight) with
+    add-``add`` P(b), so that a row that was never seen falls back to how common b
+    is. A side without samples has a uniform model. At most 2 x 67 x 67 counts reach the driver.
     """
     pairs = F.expr("transform(sequence(1, greatest(length(value) - 1, 1)), i -> substring(value, i, 2))")
     counted = labelled.where(F.length("value") > 1).select("label", F.explode(pairs).alias("pair")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("label", "pair").count().collect()
@@ -95,7 +102,9 @@ def train(labelled: DataFrame, weight: float = 0.5) -> list[float]:
     for label in (0, 1):
         counts = {r["pair"]: r["count"] for r in counted if r["label"] == label}
         rows = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
-        model.append([math.log((counts.get(a + b, 0) + weight) / (rows[a] + weight * k)) for a in ALPHABET for b in ALPHABET])
+        total = sum(rows.values())
+        single = {b: (sum(counts.get(a + b, 0) for a in ALPHABET) + add) / (total + add * k) for b in ALPHABET}
+        model.append([math.log((counts.get(a + b, 0) + weight * single[b]) / (rows[a] + weight)) for a in ALPHABET for b in ALPHABET])
     return [r - p for p, r in zip(*model)]
 
 
