@@ -41,8 +41,8 @@ CELLS = 1 << 22
 SLICES = 64
 #: Candidate costs above which a text's prefix grows, and by what part of its size: (cost, parts).
 GROWTH = ((4, 40), (32, 20))
-LARGE = 64
-ROUNDS = 3
+LARGE = 16
+ROUNDS = 2
 
 
 def _sets(batch: pa.RecordBatch, words: WordHashes, n: int) -> Iterator[np.ndarray]:
@@ -136,11 +136,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return linked
 
 
-def _fits(percent: int):
-    small, large = F.least("size", "size2"), F.greatest("size", "size2")
-    return small * 100 >= large * percent
-
-
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -148,20 +143,25 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     reps = every.where("size > 0").groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     base = (F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1).cast("int")
     tokens = reps.select("doc", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
-    first = cut(tokens.join(_frequent(tokens), "token"))
+    cost = tokens.join(_frequent(tokens), "token").groupBy("doc").agg(F.sum(F.col("df") - 1).alias("cost"))
     need = F.lit(1)
-    for cost, part in GROWTH:
-        need = F.when(F.col("cost") > cost, 1 + F.ceil(F.col("size") / part)).otherwise(need)
-    needs = first.groupBy("doc").agg(F.sum(F.col("df") - 1).alias("cost")).join(reps, "doc").select("doc", "size", need.cast("int").alias("need"), "prefix")
-    longer = cut(needs.select("doc", "size", "need", F.posexplode(F.slice("prefix", F.lit(1), base + F.col("need").cast("int") - 1)).alias("at", "token")))
-    # before: how many tokens of other texts' prefixes stand before this one
-    before = F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1
-    rows = cut(longer.join(_frequent(longer), "token").withColumn("before", before))
+    for least, part in GROWTH:
+        need = F.when(F.col("cost") > least, 1 + F.ceil(F.col("size") / part)).otherwise(need)
+    needs = cost.join(reps, "doc").select("doc", "size", need.cast("int").alias("need"), "prefix")
+    spark = docs.sparkSession
+    path = table_path(spark)
+    longer = written(needs.select("doc", F.col("size").cast("int").alias("size"), "need", F.posexplode(F.slice("prefix", F.lit(1), base + F.col("need") - 1)).alias("at", "token")), path)
+    # before: how many tokens of other texts' prefixes stand before this one; alone: how many others the prefix has
+    own = Window.partitionBy("doc")
+    before = (F.row_number().over(own.orderBy("at")) - 1).alias("before")
+    alone = (F.max("at").over(own) - F.count("*").over(own)).cast("int").alias("alone")
+    rows = written(longer.join(_frequent(longer), "token").select("token", "doc", "size", "need", "at", "df", before, alone))
+    discard(spark, path)
 
     links = _verified(cut(_pairs(rows.where(F.col("df") <= LARGE), percent)), texts, n, percent)
-    many = rows.where(F.col("df") > LARGE).select("token", "doc", "size")
+    many = rows.where(F.col("df") > LARGE)
     if not many.isEmpty():
-        links = _large(cut(many), rows, links, texts, n, percent)
+        links = _large(many, rows, links, texts, n, percent)
     parts = components(links)
     known = reps.select("d1", "d2", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
     return every.select("doc", "size", "d1", "d2").join(known, ["d1", "d2"], "left").select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
@@ -172,38 +172,58 @@ def _frequent(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
 
-def _pairs(rows: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
-    """Pairs (a, b) that share as many tokens as the smaller need of both.
+def _close(percent: int) -> Column:
+    """Position filters on rows of a common token at places at and at2.
 
-    Position filter: a common token at places at and at2 leaves an overlap of at
-    most least(before) + 1 + least(size - at - 1), as tokens that stand before it
-    and occur in no other prefix are not common.
+    It leaves an overlap of at most least(before) + least(size - at), as tokens that
+    stand before it and occur in no other prefix are not common. And linked texts,
+    which have at least o = t / (1 + t) x (size + size2) tokens in common, share
+    need of them within the first size - o + need of each.
     """
-    other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in rows.columns if c not in ("token", "df")))
+    small, large = F.least("size", "size2"), F.greatest("size", "size2")
     least = F.least("before", "before2") + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
-    close = least * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
-    met = rows.join(other, "token").where((F.col("doc") < F.col("doc2")) & _fits(percent) & close)
-    met = met if also is None else met.where(also)
-    shared = met.groupBy(F.col("doc").alias("a"), F.col("doc2").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need", "need2")).alias("need"))
+    common = (F.col("size") + F.col("size2")) * percent
+    rest = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) + F.least("need", "need2") - 1
+    return (small * 100 >= large * percent) & (least * (100 + percent) >= common) & (rest * (100 + percent) >= common)
+
+
+def _sharing(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows with doc and doc2 that share as many tokens as the smaller need of both."""
+    pair = [F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")]
+    shared = met.groupBy(*pair).agg(F.count("*").alias("shared"), F.first(F.least("need", "need2")).alias("need"))
     return shared.where(F.col("shared") >= F.col("need")).select("a", "b")
 
 
+def _pairs(rows: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
+    """Pairs of a bucket that may link."""
+    rows = rows.drop("df", "alone")
+    other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in rows.columns if c != "token"))
+    met = rows.join(other, "token").where((F.col("doc") < F.col("doc2")) & _close(percent))
+    return _sharing(met if also is None else met.where(also))
+
+
 def _large(many: DataFrame, rows: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links within large buckets: leaders first, then all pairs of different components that are left."""
+    """Links within large buckets: leaders first, then all pairs of different components that are left.
+
+    A bucket's leader is the text with the fewest tokens of its own, as the original
+    of a group of copies has. Leaders only save work: what they miss is verified at the end.
+    """
     for turn in range(ROUNDS + 1):
         parts = components(links).withColumnRenamed("node", "doc")
         part = F.coalesce("component", "doc").alias("part")
-        named = many.join(parts, "doc", "left").select("token", "doc", "size", part)
+        named = many.join(parts, "doc", "left").select("token", "doc", "size", "need", "at", "before", "alone", part)
         # a bucket of one component is done
-        mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "size", "part")).alias("leader")).where("p < q").select("token", "leader")
-        left = cut(named.join(mixed, "token"))
-        if left.isEmpty():
-            break
+        lead = F.struct("alone", F.xxhash64("doc", F.lit(turn)).alias("h"), *(F.col(c).alias(f"{c}2") for c in ("doc", "size", "need", "at", "before", "part")))
+        mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(lead).alias("leader")).where("p < q").select("token", "leader")
         if turn < ROUNDS:
-            pairs = left.select("doc", "size", "part", F.col("leader.doc").alias("doc2"), F.col("leader.size").alias("size2"), F.col("leader.part").alias("part2"))
-            pairs = pairs.where((F.col("part") != F.col("part2")) & _fits(percent)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+            met = named.join(mixed, "token").select("*", *(f"leader.{c}2" for c in ("doc", "size", "need", "at", "before", "part")))
+            pairs = _sharing(met.where((F.col("part") != F.col("part2")) & _close(percent)))
         else:
-            open_rows = rows.join(left.select("doc").distinct(), "doc", "left_semi").join(parts, "doc", "left").select("token", "doc", "size", "need", "at", "before", part)
-            pairs = _pairs(open_rows, percent, F.col("part") != F.col("part2"))
-        links = cut(links.unionByName(_verified(cut(pairs), texts, n, percent)))
+            still = named.join(mixed, "token", "left_semi").select("doc").distinct()
+            pairs = _pairs(rows.join(still, "doc", "left_semi").join(parts, "doc", "left").select(*rows.columns, part), percent, F.col("part") != F.col("part2"))
+        pairs = cut(pairs)
+        if not pairs.isEmpty():
+            links = cut(links.unionByName(_verified(pairs, texts, n, percent)))
+        elif turn < ROUNDS:
+            continue
     return links
