@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from safesight.llm.common import cut
 
-LEAF = 192
-TREES = 4
+LEAF = 1024
+TREES = 6
 SALTS = 32
 
 
@@ -56,6 +56,11 @@ def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 EDGES = "u long, v long, d float"
 
 
+def _kept(df: DataFrame, key: str) -> DataFrame:
+    """df with its lineage cut, dealt by the key and kept so: joins on the key don't deal it anew, and plans stay short."""
+    return cut(df).repartition(key).persist()
+
+
 def _nodes(rows: DataFrame, id_col: str, vector_col: str, answers: int) -> DataFrame:
     """Distinct vectors: node (smallest id), vec (float32 binary), ids (the smallest ones, ascending)."""
     vector = F.col(vector_col).cast("array<float>")
@@ -82,11 +87,23 @@ def _nodes(rows: DataFrame, id_col: str, vector_col: str, answers: int) -> DataF
 def _first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     """Nearest neighbours within the leaves of random trees."""
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = 0.0, 0
+        for b in batches:
+            sums, n = sums + _vectors(b.column("vec")).sum(0), n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["sums", "n"])
+
+    # the mean vector, from one row of sums per task
+    parts = nodes.select("vec").mapInArrow(total, "sums binary, n long").collect()
+    mean = (sum(np.frombuffer(r["sums"], np.float64) for r in parts) / sum(r["n"] for r in parts)).astype(np.float32)
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _vectors(b.column("vec"), np.float32)
             if not len(x):
                 continue
+            x = x - mean
             for tree in range(TREES):
                 rng = np.random.default_rng(seed + tree)
                 # the sign pattern of random directions is the path down a tree
@@ -124,7 +141,7 @@ def _top(edges: DataFrame, by: str, k: int, order: Column | str) -> DataFrame:
 def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
     """One round: compare the neighbours of each node with one another."""
     back = _top(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", k, F.xxhash64("v", F.lit(turn)))
-    around = graph.select("u", "v").unionByName(back.select("u", "v")).distinct()
+    around = graph.select("u", "v").unionByName(back.select("u", "v"))
     worst = graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("inf")).cast("float").alias("worst"))
     members = around.join(nodes.select(F.col("node").alias("v"), "vec").join(worst, "v"), "v")
 
@@ -134,22 +151,25 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame
             ids.append(p.column("v").to_numpy())
             worst.append(p.column("worst").to_numpy())
             x.append(_vectors(p.column("vec"), np.float32))
-        ids, worst, x = np.concatenate(ids), np.concatenate(worst), np.concatenate(x)
+        # a neighbour both ways comes twice
+        ids, first = np.unique(np.concatenate(ids), return_index=True)
+        worst, x = np.concatenate(worst)[first], np.concatenate(x)[first]
         d = _distances(x)
         a, b = np.nonzero(d < worst[:, None])
         yield _edges(ids[a], ids[b], d[a, b])
 
     found = members.groupBy("u").applyInArrow(local, EDGES)
-    both = graph.unionByName(found).groupBy("u", "v").agg(F.min("d").alias("d"))
+    both = graph.unionByName(found).repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"))
     return _top(both, "u", k, "d")
 
 
 def build(nodes: DataFrame, k: int, rounds: int, seed: int = 7) -> DataFrame:
     """Edges (u, v, d squared): the k nearest neighbours found of each node."""
-    first = _first_graph(nodes, k, seed).groupBy("u", "v").agg(F.min("d").alias("d"))
-    graph = cut(_top(first, "u", k, "d"))
+    first = _first_graph(nodes, k, seed).repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"))
+    graph = _kept(_top(first, "u", k, "d"), "u")
     for turn in range(rounds):
-        graph = cut(_descend(graph, nodes, k, turn))
+        before, graph = graph, _kept(_descend(graph, nodes, k, turn), "u")
+        before.unpersist()
     return graph
 
 
@@ -159,7 +179,8 @@ BEAM = "q long, vec binary, nodes binary, distances binary, expanded binary"
 def _search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, beam: int, width: int, max_rounds: int) -> DataFrame:
     """queries (q, vec, start node) to beams: nodes and exact distances, nearest first."""
     back = _top(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", k, "d")
-    near = cut(graph.select("u", "v").unionByName(back.select("u", "v")).distinct())
+    # at most 2 k neighbours per node
+    near = _kept(graph.select("u", "v").unionByName(back.select("u", "v")).groupBy("u").agg(F.collect_set("v").alias("near")), "u")
     vectors = nodes.select("node", F.col("vec").alias("nvec"))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,21 +220,21 @@ def _search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, beam
     state = cut(queries.mapInArrow(begin, BEAM))
     for _ in range(max_rounds):
         open_ = state.select("q", "nodes", "expanded").mapInArrow(frontier, "q long, u long")
-        met = open_.join(near, "u").select("q", F.col("v").alias("node")).distinct().join(vectors, "node")
+        met = open_.join(near, "u").select("q", F.explode("near").alias("node")).repartition("node").dropDuplicates(["node", "q"]).join(vectors, "node")
         state = cut(state.groupBy("q").cogroup(met.groupBy("q")).applyInArrow(merge, BEAM))
         if state.select("q", "nodes", "expanded").mapInArrow(frontier, "q long, u long").isEmpty():
             break
     return state
 
 
-def search(rows: DataFrame, queries: Column, n: int = 10, k: int = 20, rounds: int = 2, beam: int = 128, width: int = 24, max_rounds: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: Column, n: int = 10, k: int = 24, rounds: int = 2, beam: int = 160, width: int = 160, max_rounds: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the id column and score (distance) of the n nearest found to each row that queries selects."""
     spark = rows.sparkSession
     schema = f"query_id long, rank int, {id_col} long, score double"
     nodes = _nodes(rows, id_col, vector_col, n + 1)
     if nodes is None:
         return spark.createDataFrame([], schema)
-    nodes = cut(nodes)
+    nodes = _kept(nodes, "node")
     graph = build(nodes, k, rounds)
     # queries of one vector share its node: they are searched once
     sound = rows.where(queries & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.transform(F.col(vector_col).cast("array<float>"), lambda x: x + F.lit(0.0).cast("float")).alias("vector")).dropDuplicates(["query_id"])
