@@ -5,7 +5,9 @@ answers). Random binary trees deal nodes to leaves of LEAF consecutive nodes, wh
 members are compared with each other: the first graph. NN-descent (Dong, Moses and
 Li, 2011) then joins each node's neighbours and reverse neighbours with their
 vectors and compares them with one another; closer pairs replace farther
-ones. Lists are bounded by k each way, so no hub gathers more.
+ones, round by round until less than ``delta`` of all edges is new (their rule).
+Lists are bounded by k each way, so no hub gathers more. The leaves are a start
+only: as nodes grow, they hold fewer of the true neighbours, and rounds follow.
 
 Search: every query keeps a beam of the nearest nodes seen. Each round joins the
 nearest unexpanded nodes of the beam to their neighbours, and these to their
@@ -159,18 +161,26 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame
         yield _edges(ids[a], ids[b], d[a, b])
 
     found = members.groupBy("u").applyInArrow(local, EDGES)
-    both = graph.unionByName(found).repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"))
+    marked = graph.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True)))
+    both = marked.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return _top(both, "u", k, "d")
 
 
-def build(nodes: DataFrame, k: int, rounds: int, seed: int = 7) -> DataFrame:
-    """Edges (u, v, d squared): the k nearest neighbours found of each node."""
+def build(nodes: DataFrame, k: int, delta: float, seed: int = 7) -> DataFrame:
+    """Edges (u, v, d squared): the k nearest neighbours found of each node.
+
+    Rounds go on until at most delta of the edges is new. Edges only give way to nearer
+    ones, so this ends.
+    """
     first = _first_graph(nodes, k, seed).repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"))
-    graph = _kept(_top(first, "u", k, "d"), "u")
-    for turn in range(rounds):
-        before, graph = graph, _kept(_descend(graph, nodes, k, turn), "u")
+    graph, turn = _kept(_top(first, "u", k, "d"), "u"), 0
+    while True:
+        before, graph = graph, _kept(_descend(graph.select("u", "v", "d"), nodes, k, turn), "u")
+        edges, new = graph.agg(F.count("*"), F.count_if("new")).first()
         before.unpersist()
-    return graph
+        turn += 1
+        if new <= delta * edges:
+            return graph.select("u", "v", "d")
 
 
 BEAM = "q long, vec binary, nodes binary, distances binary, expanded binary"
@@ -227,7 +237,7 @@ def _search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, beam
     return state
 
 
-def search(rows: DataFrame, queries: Column, n: int = 10, k: int = 24, rounds: int = 2, beam: int = 160, width: int = 160, max_rounds: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: Column, n: int = 10, k: int = 24, delta: float = 0.01, beam: int = 160, width: int = 160, max_rounds: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the id column and score (distance) of the n nearest found to each row that queries selects."""
     spark = rows.sparkSession
     schema = f"query_id long, rank int, {id_col} long, score double"
@@ -235,7 +245,7 @@ def search(rows: DataFrame, queries: Column, n: int = 10, k: int = 24, rounds: i
     if nodes is None:
         return spark.createDataFrame([], schema)
     nodes = _kept(nodes, "node")
-    graph = build(nodes, k, rounds)
+    graph = build(nodes, k, delta)
     # queries of one vector share its node: they are searched once
     sound = rows.where(queries & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.transform(F.col(vector_col).cast("array<float>"), lambda x: x + F.lit(0.0).cast("float")).alias("vector")).dropDuplicates(["query_id"])
     keyed = sound.select("query_id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(7), "vector").alias("h2"))
