@@ -8,8 +8,10 @@ Branches of low composite importance are dropped from every page: repeated
 boilerplate is low in both. Menus, adverts and footers whose words change from page
 to page look important to entropies alone, so elements whose tag, class, id or role
 names such a part are dropped whatever their importance, and where a page marks an
-article or main element, blocks outside it are. Inside an article the entropies
-drop nothing that is a plain block (a paragraph that many pages share is text).
+article or main element, blocks outside it are. A named element that holds the
+article, or most of the page's text, is a wrapper and no such part: only its
+entropies decide. Inside an article the entropies drop nothing that is a plain
+block (a paragraph that many pages share is text).
 
 Counts per host are pre-aggregated by page batch and then by style node, so that one
 host with most pages is no group of its own; its pages are never gathered.
@@ -44,6 +46,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NOISE_TAGS = frozenset("nav header footer aside form menu button dialog head script style noscript template iframe svg select textarea object".split())
 NOISE_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form header menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Their readers' words may outweigh the text, so these are wrappers only if all of it is inside.
+TALK_NAMES = frozenset("comment comments disqus replies reply".split())
+ARTICLES = frozenset(("article", "main"))
 P_ENDS = BLOCK  # a p is closed by any of these
 SAME_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
@@ -63,23 +68,24 @@ class Block(NamedTuple):
 
 def _noisy(tag: str, attributes: dict[str, str]) -> bool:
     if tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES or "hidden" in attributes:
-        return tag not in ("html", "body", "article", "main")
+        return tag not in ("html", "body", *ARTICLES)
     names = re.split(r"[^a-z0-9]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())
-    return tag not in ("html", "body", "article", "main") and not NOISE_NAMES.isdisjoint(names)
+    return tag not in ("html", "body", *ARTICLES) and not NOISE_NAMES.isdisjoint(names)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in its order. Bad markup is taken as browsers do, roughly."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, style, noise, article
+    out: list[tuple[tuple[str, ...], tuple[int, ...], tuple[int, ...], bool, str]] = []  # path, named parts, those around the article, article, text
+    stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...], bool]] = []  # tag, style, named parts, those around the article, article
+    talk: list[bool] = []  # of each named part
     held: list[str] = []
 
     def flush() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
         held.clear()
         if text:
-            top = stack[-1] if stack else ("", "", False, False)
-            out.append(Block(tuple(s for t, s, _, _ in stack if t in BLOCK), top[2], top[3], text))
+            top = stack[-1] if stack else ("", "", (), (), False)
+            out.append((tuple(s for t, s, *_ in stack if t in BLOCK), *top[2:], text))
 
     def close(k: int) -> None:
         if any(t in BLOCK for t, *_ in stack[k:]):
@@ -126,9 +132,14 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        noise, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        parts, around, article = stack[-1][2:] if stack else ((), (), False)
         style = tag + "".join("." + c for c in sorted(set(attributes.get("class", "").lower().split())))
-        stack.append((tag, style, noise or _noisy(tag, attributes), article or tag in ("article", "main")))
+        if tag in ARTICLES and not article:
+            around, article = parts, True
+        if _noisy(tag, attributes):
+            parts += (len(talk),)
+            talk.append(not TALK_NAMES.isdisjoint((attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()))
+        stack.append((tag, style, parts, around, article))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -136,7 +147,23 @@ def blocks(page: str | None) -> list[Block]:
     if not (stack and stack[-1][0] in RAW):
         held.append(page[at:])
     flush()
-    return out
+    wrappers = _wrappers(out, talk)
+    return [Block(path, not wrappers.issuperset(parts), article, text) for path, parts, _, article, text in out]
+
+
+def _wrappers(found: list[tuple], talk: list[bool]) -> set[int]:
+    """The named parts that hold most of the page's article text from outside, or most (talk: all) of its text."""
+    if not talk:
+        return set()
+    within, around, total, marked = [0] * len(talk), [0] * len(talk), 0, 0
+    for _, parts, outer, article, text in found:
+        total += len(text)
+        marked += len(text) * article
+        for p in parts:
+            within[p] += len(text)
+        for p in outer:
+            around[p] += len(text)
+    return {p for p in range(len(talk)) if 2 * around[p] > marked or (within[p] == total if talk[p] else 2 * within[p] > total)}
 
 
 def _key(path: tuple[str, ...]) -> int:

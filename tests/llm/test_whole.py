@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from safesight.llm import nn_descent
+from safesight.llm import nn_descent, site_style
 
 
 def test_descent_goes_on_until_the_graph_is_settled(spark, monkeypatch):
@@ -19,3 +19,19 @@ def test_descent_goes_on_until_the_graph_is_settled(spark, monkeypatch):
     true = {(u, int(v)) for u, row in enumerate(np.argpartition(d, 10, axis=1)[:, :10]) for v in row}
     share = len(true & {(r.u, r.v) for r in graphs[0]}) / len(true)
     assert share >= 0.85, share
+
+
+def test_named_wrappers_of_the_article_stay():
+    text = "<article><h1>Title</h1><p>A long enough text of the page</p><div class='comments'><p>me too</p></div></article>"
+    wrapped = ["<div class='layout has-sidebar'>{}</div>", "<div class='no-ads'>{}</div>", "<section id='with-header'>{}</section>", "<form id='aspnetForm'>{}</form>", "<div class='comments'>{}</div>"]
+    for outer in wrapped:
+        page = "<body><nav>Menu</nav>" + outer.format(text + "<aside><article>Also read</article></aside>") + "<footer>F</footer></body>"
+        assert site_style.kept(site_style.blocks(page), set()) == ["Title", "A long enough text of the page"], outer
+        # without an article, the part that holds most of the text is its wrapper
+        plain = outer.format("<p>A long enough text of the page</p><div class='share'>Share</div>")
+        assert site_style.kept(site_style.blocks(f"<nav>Menu</nav>{plain}" if "comments" not in outer else plain), set()) == ["A long enough text of the page"], outer
+    inner = "<article><div class='content no-sidebar'><p>The whole text of the page</p></div><div class='ad'>Buy</div></article>"
+    assert site_style.kept(site_style.blocks(inner), set()) == ["The whole text of the page"]
+    # readers' words stay out even where they outweigh the text
+    talk = "<article><p>Short</p><div class='comments'><p>Much longer words of readers</p></div></article>"
+    assert site_style.kept(site_style.blocks(talk), set()) == ["Short"]
