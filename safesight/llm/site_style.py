@@ -10,8 +10,9 @@ to page look important to entropies alone, so elements whose tag, class, id or r
 names such a part are dropped whatever their importance, and where a page marks an
 article or main element, blocks outside it are. A named element that holds the
 article, or most of the page's text, is a wrapper and no such part: only its
-entropies decide. Inside an article the entropies drop nothing that is a plain
-block (a paragraph that many pages share is text).
+entropies decide. Inside an article the entropies judge whole branches (divisions,
+sections, lists), and drop nothing that is a plain block (a paragraph that many
+pages share is text); they never drop an article's whole text.
 
 Counts per host are pre-aggregated by page batch and then by style node, so that one
 host with most pages is no group of its own; its pages are never gathered.
@@ -49,6 +50,8 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 #: Their readers' words may outweigh the text, so these are wrappers only if all of it is inside.
 TALK_NAMES = frozenset("comment comments disqus replies reply".split())
 ARTICLES = frozenset(("article", "main"))
+#: What the entropies judge as a whole inside an article.
+BRANCHES = frozenset("details div dl ol section ul".split())
 P_ENDS = BLOCK  # a p is closed by any of these
 SAME_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
@@ -166,6 +169,13 @@ def _wrappers(found: list[tuple], talk: list[bool]) -> set[int]:
     return {p for p in range(len(talk)) if 2 * around[p] > marked or (within[p] == total if talk[p] else 2 * within[p] > total)}
 
 
+def _branches(path: tuple[str, ...]) -> list[int]:
+    """Lengths of the path at the branches inside an article that entropies judge."""
+    tags = [s.split(".", 1)[0] for s in path]
+    first = next((k for k, t in enumerate(tags) if t in ARTICLES), len(tags))
+    return [k + 1 for k in range(first + 1, len(tags)) if tags[k] in BRANCHES]
+
+
 def _key(path: tuple[str, ...]) -> int:
     return xxhash.xxh3_64_intdigest("/".join(path)) - (1 << 63)
 
@@ -177,7 +187,8 @@ def _hash(text: str) -> int:
 def observe(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Rows (host, node, kind, value, n): how many pages of the host have the value at the style node.
 
-    kind 0: the page has the node; 1: the sequence of child styles; 2: a block of text.
+    kind 0: the page has the node; 1: the sequence of child styles; 2: a block of text
+    at the node or, for a branch inside an article, anywhere in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +201,8 @@ def observe(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
                 for b in blocks(page.as_py()):
                     for k in range(len(b.path)):
                         children[b.path[:k]].append(b.path[k])
-                    own.add((host, _key(b.path), 2, _hash(b.text)))
+                    for path in {b.path, *(b.path[:k] for k in _branches(b.path))}:
+                        own.add((host, _key(path), 2, _hash(b.text)))
                     children[b.path]  # a leaf has no children
                 for path, found in children.items():
                     own.add((host, _key(path), 0, 0))
@@ -225,15 +237,11 @@ def importance(observed: DataFrame) -> DataFrame:
 
 def kept(found: list[Block], low: set[int]) -> list[str]:
     """The texts of the blocks that stay."""
-    inside = any(b.article and not b.noise for b in found)
-    out = []
-    for b in found:
-        if b.noise or (inside and not b.article):
-            continue
-        if not inside and any(_key(b.path[: k + 1]) in low for k in range(len(b.path))):
-            continue
-        out.append(b.text)
-    return out
+    if any(b.article and not b.noise for b in found):
+        own = [b for b in found if b.article and not b.noise]
+        rest = [b for b in own if not any(_key(b.path[:k]) in low for k in _branches(b.path))]
+        return [b.text for b in rest or own]
+    return [b.text for b in found if not b.noise and not any(_key(b.path[: k + 1]) in low for k in range(len(b.path)))]
 
 
 def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

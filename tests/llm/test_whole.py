@@ -35,3 +35,15 @@ def test_named_wrappers_of_the_article_stay():
     # readers' words stay out even where they outweigh the text
     talk = "<article><p>Short</p><div class='comments'><p>Much longer words of readers</p></div></article>"
     assert site_style.kept(site_style.blocks(talk), set()) == ["Short"]
+
+
+def test_entropies_decide_inside_articles(spark):
+    strip = "<div class='strip'><p>Same words on every page</p></div><ul class='more'><li>Same</li><li>list</li></ul>"
+    rows = [(i, f"http://s.com/{i}", f"<article><h1>Title {i}</h1><div class='body'><p>Shared by all</p>" + "".join(f"<p>Text {i} {k}</p>" for k in range(i % 5 + 1)) + f"</div>{strip}</article>") for i in range(40)]
+    # copies of one article keep their text
+    rows += [(100 + i, f"http://copies.com/{i}", "<article><div><p>One text</p></div></article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style.extract(df).collect()}
+    for i in range(40):
+        assert got[i] == "\n".join([f"Title {i}", "Shared by all", *(f"Text {i} {k}" for k in range(i % 5 + 1))])
+    assert all(got[100 + i] == "One text" for i in range(20))
