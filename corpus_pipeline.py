@@ -39,8 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and digests of ids and decoded text."""
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token ids of every text, and the text decoded from them."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,9 +1,11 @@
 """Each operator does its whole job where a shorter way would look alike on small tables."""
 
+import corpus_pipeline
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from safesight.llm import nn_descent, site_style
+from safesight.llm import bpe, nn_descent, site_style
 
 
 def test_descent_goes_on_until_the_graph_is_settled(spark, monkeypatch):
@@ -47,3 +49,12 @@ def test_entropies_decide_inside_articles(spark):
     for i in range(40):
         assert got[i] == "\n".join([f"Title {i}", "Shared by all", *(f"Text {i} {k}" for k in range(i % 5 + 1))])
     assert all(got[100 + i] == "One text" for i in range(20))
+
+
+def test_pipeline_delivers_token_ids(spark):
+    docs = spark.createDataFrame([(1, "One text, two words"), (2, None)], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.WordBpe(path)
+    got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    want = own.encode("One text, two words")
+    assert want and got[1].ids == want and got[1].decoded == own.decode(want) and got[2].ids == [] and got[2].decoded == ""
