@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join the document with the smallest id stays (once, if its row is repeated)."""
-    found = jaccard_join.join(docs.select("doc_id", "text"))
+    """Of each component of texts that share 80 % of their five-word shingles the document with the smallest id stays (once, if its row is repeated)."""
+    found = jaccard_join.join(docs.select("doc_id", "text"), n=5, percent=80)
     kept = by_ids(docs, cut(found.where("component_id <> doc_id").select("doc_id").distinct()), "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])

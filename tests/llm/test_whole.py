@@ -58,3 +58,11 @@ def test_pipeline_delivers_token_ids(spark):
     got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
     want = own.encode("One text, two words")
     assert want and got[1].ids == want and got[1].decoded == own.decode(want) and got[2].ids == [] and got[2].decoded == ""
+
+
+def test_pipeline_drops_scattered_edits(spark):
+    w = [f"w{i}" for i in range(1000)]
+    near = [f"new{i}" if i % 50 == 25 else x for i, x in enumerate(w)]  # 5-word similarity 0.82, 3-word similarity 0.89
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, "something else entirely in this text")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
