@@ -4,14 +4,16 @@ A document leaks an item when some run of its words is within floor(rate x n)
 word edits of the item's n words. Words are lower-cased (A-Z) and stripped of
 ASCII punctuation at their ends.
 
-Items fall in size classes with a window of nearly their size and a stride: the
-document's windows start at multiples of the stride, the item's at each offset
-below it, so that some pair of windows is aligned within every copy. A window
-goes on if enough of its words and neighbouring pairs of words occur in the
+Items fall in size classes with a stride and a window: a copy's least length, less
+what the stride takes. The document's windows start at multiples of the stride, and
+one ends at its last word; the item's start at each offset below the stride, and one
+ends at its last word. So some pair of windows is aligned within every copy, however
+its words are deleted and wherever it stands. A window goes on if enough of its words and neighbouring pairs of words occur in the
 benchmark (lossless: an edit spoils one word and two pairs at most). Those are embedded by the random walk of Chakraborty,
 Goldenberg and Koucky (2016), which maps edit distance to Hamming distance;
 sampled positions of the embedding are LSH keys. Walks and samples repeat until
-the expected recall at the largest distance reaches ``recall``. Each candidate is
+the expected recall at the largest distance, by deletions alone (the worst edits: they
+shift what follows and shorten the copy), reaches ``recall``. Each candidate is
 verified by the exact edit distance of the whole item, so there are no false
 alarms.
 
@@ -37,9 +39,10 @@ from pyspark.sql import functions as F
 from safesight.llm.common import CACHE_WORDS, LOWER, byte_rows, mix
 
 PUNCTUATION = string.punctuation.encode()
-#: Share of the embedding that agrees at the largest distance; measured on random edits (tests).
-AGREE = 0.6
 SAMPLE = 4
+#: Share of the embedding that agrees after a fifth of the words is deleted: measured for windows of
+#: 31 and 49 words (items of 59 and 100), between and beyond on the line through both, not under LEAST.
+AGREE, AGREE_WORDS, AGREE_FALL, LEAST = 0.54, 31, 0.0078, 0.3
 SAMPLES_PER_WALK = 4
 #: Documents that are worked on together.
 GROUP = 200
@@ -64,11 +67,6 @@ class Ids(dict):
         return found
 
 
-def repeats(recall: float) -> int:
-    """Keys per window that reach the recall at the largest distance."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLE))
-
-
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
     """CGK: rows of word ids to rows of 3 w symbols (-9 after the end); the walk's coin depends on step and symbol."""
     n, w = windows.shape
@@ -100,6 +98,12 @@ def keys(windows: np.ndarray, n_keys: int) -> np.ndarray:
     return out
 
 
+def repeats(width: int, recall: float) -> int:
+    """Keys per window of so many words that reach the recall at the largest distance."""
+    agree = max(LEAST, AGREE - AGREE_FALL * max(0, width - AGREE_WORDS))
+    return math.ceil(math.log(1 - recall) / math.log(1 - agree**SAMPLE))
+
+
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edit distance of the item to a run of the region, and the run's end (first if tied)."""
     at = np.arange(len(region) + 1)
@@ -116,15 +120,15 @@ def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 class Items:
     """Size classes, vocabulary and keys of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], rate: float, n_keys: int, min_words: int, growth: float = 1.3):
+    def __init__(self, items: list[tuple[int, list[bytes]]], rate: float, recall: float, min_words: int, growth: float = 1.3):
         self.vocabulary: dict[bytes, int] = {}
-        self.rate, self.n_keys = rate, n_keys
+        self.rate = rate
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int64) for _, ws in items]
         pairs = [w[:-1] * len(self.vocabulary) + w[1:] for w in self.words]
         self.linked = [set(zip(w[:-1].tolist(), w[1:].tolist())) for w in self.words]
         self.pairs = np.unique(np.concatenate([*pairs, np.array([-1])]))
-        self.classes: dict[tuple[int, int, int], dict[tuple[int, int], list[tuple[int, int]]]] = {}
+        self.classes: list[tuple[int, int, int, int, dict[int, list[tuple[int, int]]]]] = []
         sizes, low = [], min_words
         longest = max(map(len, self.words), default=0)
         while low <= longest:
@@ -134,15 +138,16 @@ class Items:
             own = [i for i, w in enumerate(self.words) if low <= len(w) < high]
             if own:
                 stride = max(1, low // 5)
-                width = low - stride + 1
+                width = max(1, low - int(rate * low) - stride + 1)
                 most = int(rate * (high - 1))  # edits of the largest item of the class
-                places = [(i, o) for i in own for o in range(stride)]
+                n_keys = repeats(width, recall)
+                places = [(i, o) for i in own for o in sorted({*range(stride), len(self.words[i]) - width})]
                 found = keys(np.stack([self.words[i][o : o + width] for i, o in places]), n_keys)
                 table: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 for place, row in zip(places, found):
                     for k in row.tolist():
                         table[k].append(place)
-                self.classes[width, stride, most] = dict(table)
+                self.classes.append((width, stride, most, n_keys, dict(table)))
 
     def leaks(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(place of the document, item, distance, first word, end) of the best match of each leaked item."""
@@ -159,8 +164,8 @@ class Items:
         linked = np.zeros(len(ids), np.int64)
         linked[both] = self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
         linked = np.concatenate([[0], np.cumsum(linked)])
-        for (width, stride, most), table in self.classes.items():
-            starts = np.flatnonzero((at % stride == 0) & (at + width <= lengths[doc]))
+        for width, stride, most, n_keys, table in self.classes:
+            starts = np.flatnonzero(((at % stride == 0) & (at + width <= lengths[doc])) | (at + width == lengths[doc]))
             starts = starts[inside[starts + width] - inside[starts] >= width - most]
             starts = starts[linked[starts + width - 1] - linked[starts] >= width - 1 - 2 * most]
             if not len(starts):
@@ -170,7 +175,7 @@ class Items:
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             tried: set[tuple[int, int, int]] = set()
             for lo in range(0, len(where), 20_000):
-                for (d, s), row in zip(where[lo : lo + 20_000], keys(flat[lo : lo + 20_000], self.n_keys).tolist()):
+                for (d, s), row in zip(where[lo : lo + 20_000], keys(flat[lo : lo + 20_000], n_keys).tolist()):
                     for place in {p for k in row if k in table for p in table[k]}:
                         i, o = place
                         item, begin = self.words[i], s - o
@@ -196,7 +201,6 @@ class Items:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, min_words: int = 5, part_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it leaks: ids, distance (word edits), first_word, end_word of its best match."""
     spark = docs.sparkSession
-    n_keys = repeats(recall)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     schema = f"{id_col} long, {item_col} long, distance int, first_word long, end_word long"
@@ -227,10 +231,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall:
         if len(words) < min_words:
             continue
         if part and size + len(words) > part_words:
-            step = search(spark.sparkContext.broadcast((part, rate, n_keys, min_words)))
+            step = search(spark.sparkContext.broadcast((part, rate, recall, min_words)))
             found = step if found is None else found.unionByName(step)
             part, size = [], 0
         part.append((r["item"], words))
         size += len(words)
-    step = search(spark.sparkContext.broadcast((part, rate, n_keys, min_words)))
+    step = search(spark.sparkContext.broadcast((part, rate, recall, min_words)))
     return step if found is None else found.unionByName(step)

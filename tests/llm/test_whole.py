@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, nn_descent, site_style
+from safesight.llm import bpe, decontaminate, nn_descent, site_style
 
 
 def test_descent_goes_on_until_the_graph_is_settled(spark, monkeypatch):
@@ -66,3 +66,16 @@ def test_pipeline_drops_scattered_edits(spark):
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, "something else entirely in this text")], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_leaks_after_deletions_at_the_end():
+    rng = np.random.default_rng(7)
+    items = [(i, [b"w%d" % w for w in rng.integers(0, 50_000, n)]) for i, n in enumerate([8, 16, 30, 45, 59, 100] * 20)]
+    own = decontaminate.Items(items, 0.2, 0.99, 5)
+    docs = []
+    for w in own.words:
+        gone = rng.choice(len(w), int(0.2 * len(w)), replace=False)
+        docs.append(np.concatenate([np.full(rng.integers(0, 30), -1), np.delete(w, gone)]))
+    found = {(d, i) for d, i, *_ in own.leaks(docs)}
+    share = len(found & {(i, i) for i in range(len(docs))}) / len(docs)
+    assert share >= 0.98, share
