@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 #: Words are what bytes.split() leaves: runs without \x20 and \x09-\x0D.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-#: A worker's word cache is emptied at this many entries.
-CACHE_WORDS = 400_000
+#: A worker's word cache is emptied at this many entries (some 20 MB), and keeps no word over so many bytes.
+CACHE_WORDS, CACHE_BYTES = 150_000, 64
+#: Rows of texts that a worker takes from a batch at a time.
+PART_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,13 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of PART_ROWS rows at most, so that Python holds few texts at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(k, PART_ROWS)
+
+
 def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column of a batch as bytes; null becomes empty."""
     i = batch.schema.get_field_index(column)
@@ -83,9 +93,11 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for reuse."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:

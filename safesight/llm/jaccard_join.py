@@ -12,10 +12,13 @@ distinct n-word shingles (64-bit hashes). Steps, all Spark jobs:
    tokens, and l tokens within l - 1 more. Document frequencies of all prefix
    tokens give each text's candidate cost, which sets its l: the costlier, the
    longer its prefix, and a pair must share the smaller l of both.
-4. Pairs of a token's bucket are counted over shared tokens, then verified on
-   the whole sets. Buckets over LARGE texts first link their members to a few
-   leaders, so that a group of copies joins one component without all its pairs;
-   then only pairs of different components are verified, all of them.
+4. A bucket is the texts whose prefixes hold a token. In LEADERS turns every text
+   of a bucket that is not yet in its leader's component is verified against that
+   leader, so that a group of copies joins one component without all its pairs.
+   Then all pairs of different components that share a bucket are verified: the
+   texts outside a bucket's commonest component, dealt by salt, meet the bucket.
+   Two texts of different components find all their common tokens in such mixed
+   buckets, so shared tokens are counted there alone.
 5. Components by alternating stars.
 
 Texts without words have no shingles and link with nothing; null counts as
@@ -35,14 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.llm.common import LOWER, WordHashes, by_ids, byte_rows, components, cut, discard, shingle_set, table_path, written
+from safesight.llm.common import LOWER, WordHashes, by_ids, byte_rows, components, cut, discard, in_parts, shingle_set, table_path, written
 
 CELLS = 1 << 22
 SLICES = 64
 #: Candidate costs above which a text's prefix grows, and by what part of its size: (cost, parts).
 GROWTH = ((4, 40), (32, 20))
-LARGE = 16
-ROUNDS = 2
+LEADERS = 2
+#: Texts outside the commonest component of a bucket that one salt takes.
+SALT_ROWS = 512
 
 
 def _sets(batch: pa.RecordBatch, words: WordHashes, n: int) -> Iterator[np.ndarray]:
@@ -55,11 +59,11 @@ def _loads(texts: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total, held, size = WordHashes(), np.zeros(CELLS, np.int64), [], 0
-        for batch in batches:
+        for batch in in_parts(batches):
             for found in _sets(batch, words, n):
                 held.append((found & np.uint64(CELLS - 1)).astype(np.int64))
                 size += len(found)
-                if size > 500_000:
+                if size > 250_000:
                     total += np.bincount(np.concatenate(held), minlength=CELLS)
                     held, size = [], 0
         if held:
@@ -89,7 +93,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, order = WordHashes(), classes.value
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, d1, d2, prefix = [], [], [], []
             for found in _sets(batch, words, n):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
@@ -110,10 +114,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part, words, n)], pa.binary())], ["doc", "tokens"])
+        for part in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part, words, n)], pa.binary())], ["doc", "tokens"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,13 +157,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     own = Window.partitionBy("doc")
     before = (F.row_number().over(own.orderBy("at")) - 1).alias("before")
     alone = (F.max("at").over(own) - F.count("*").over(own)).cast("int").alias("alone")
-    rows = written(longer.join(_frequent(longer), "token").select("token", "doc", "size", "need", "at", "df", before, alone))
+    rows = written(longer.join(_frequent(longer), "token").select("token", "doc", "size", "need", "at", before, alone))
     discard(spark, path)
 
-    links = _verified(cut(_pairs(rows.where(F.col("df") <= LARGE), percent)), texts, n, percent)
-    many = rows.where(F.col("df") > LARGE)
-    if not many.isEmpty():
-        links = _large(many, rows, links, texts, n, percent)
+    links = _links(rows, texts, n, percent)
     parts = components(links)
     known = reps.select("d1", "d2", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
     return every.select("doc", "size", "d1", "d2").join(known, ["d1", "d2"], "left").select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
@@ -194,36 +193,47 @@ def _sharing(met: DataFrame) -> DataFrame:
     return shared.where(F.col("shared") >= F.col("need")).select("a", "b")
 
 
-def _pairs(rows: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
-    """Pairs of a bucket that may link."""
-    rows = rows.drop("df", "alone")
-    other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in rows.columns if c != "token"))
-    met = rows.join(other, "token").where((F.col("doc") < F.col("doc2")) & _close(percent))
-    return _sharing(met if also is None else met.where(also))
+MEMBER = ("doc", "size", "need", "at", "before", "part")
 
 
-def _large(many: DataFrame, rows: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links within large buckets: leaders first, then all pairs of different components that are left.
+def _links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """All links but those inside a component that other links already join.
 
-    A bucket's leader is the text with the fewest tokens of its own, as the original
-    of a group of copies has. Leaders only save work: what they miss is verified at the end.
+    A bucket's first leader is the text with the fewest tokens of its own, as the
+    original of a group of copies has; later ones are drawn by hash. Leaders only save
+    work: what they miss is verified in the last turn.
     """
-    for turn in range(ROUNDS + 1):
-        parts = components(links).withColumnRenamed("node", "doc")
-        part = F.coalesce("component", "doc").alias("part")
-        named = many.join(parts, "doc", "left").select("token", "doc", "size", "need", "at", "before", "alone", part)
-        # a bucket of one component is done
-        lead = F.struct("alone", F.xxhash64("doc", F.lit(turn)).alias("h"), *(F.col(c).alias(f"{c}2") for c in ("doc", "size", "need", "at", "before", "part")))
-        mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(lead).alias("leader")).where("p < q").select("token", "leader")
-        if turn < ROUNDS:
-            met = named.join(mixed, "token").select("*", *(f"leader.{c}2" for c in ("doc", "size", "need", "at", "before", "part")))
+    links = tested = None
+    for turn in range(LEADERS + 1):
+        named = rows.withColumn("part", F.col("doc"))
+        if links is not None:
+            parts = components(links).withColumnRenamed("node", "doc")
+            named = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+        other = [F.col(c).alias(f"{c}2") for c in MEMBER]
+        drawn = F.struct(*(["alone"] if turn == 0 else []), F.xxhash64("doc", F.lit(turn)).alias("h"), *other)
+        if turn < LEADERS:
+            led = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(drawn).alias("leader")).where("p < q")
+            met = named.join(led.select("token", "leader"), "token").select("*", "leader.*")
             pairs = _sharing(met.where((F.col("part") != F.col("part2")) & _close(percent)))
         else:
-            still = named.join(mixed, "token", "left_semi").select("doc").distinct()
-            pairs = _pairs(rows.join(still, "doc", "left_semi").join(parts, "doc", "left").select(*rows.columns, part), percent, F.col("part") != F.col("part2"))
+            pairs = _sharing(_mixed(named, percent))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if not pairs.isEmpty():
-            links = cut(links.unionByName(_verified(pairs, texts, n, percent)))
-        elif turn < ROUNDS:
+        if pairs.isEmpty():
             continue
-    return links
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = _verified(pairs, texts, n, percent)
+        links = found if links is None else cut(links.unionByName(found))
+    return texts.sparkSession.createDataFrame([], "a long, b long") if links is None else links
+
+
+def _mixed(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of a bucket that are of different components and may link."""
+    shares = named.groupBy("token", "part").agg(F.count("*").alias("rows"))
+    most = F.max(F.struct("rows", "part"))
+    mixed = shares.groupBy("token").agg(most["part"].alias("common"), F.count("*").alias("parts"), (F.sum("rows") - most["rows"]).alias("rest")).where("parts > 1")
+    bucket = named.join(mixed.select("token", "common", F.floor(F.col("rest") / SALT_ROWS).cast("int").alias("last")), "token").drop("alone")
+    few = bucket.where("part <> common").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("last") + 1).cast("int")).drop("common", "last")
+    every = bucket.select("token", *(F.col(c).alias(f"{c}2") for c in MEMBER), (F.col("part") == F.col("common")).alias("base"), F.explode(F.sequence(F.lit(0), "last")).alias("salt"))
+    return few.join(every, ["token", "salt"]).where((F.col("part") != F.col("part2")) & (F.col("base") | (F.col("doc") < F.col("doc2"))) & _close(percent))

@@ -309,8 +309,10 @@ def brute_components(rows, percent=90):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_jaccard_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LARGE", 6)
+@pytest.mark.parametrize("leaders, salt", [(2, 512), (0, 3)])
+def test_jaccard_against_brute_force(spark, monkeypatch, leaders, salt):
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", salt)
     rnd = random.Random(8)
     vocab = [f"v{i}" for i in range(2000)]
     base = [rnd.choice(vocab) for _ in range(150)]
