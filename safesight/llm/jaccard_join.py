@@ -203,12 +203,16 @@ def _links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
     original of a group of copies has; later ones are drawn by hash. Leaders only save
     work: what they miss is verified in the last turn.
     """
-    links = tested = None
+    links = tested = parts = None
     for turn in range(LEADERS + 1):
         named = rows.withColumn("part", F.col("doc"))
         if links is not None:
             parts = components(links).withColumnRenamed("node", "doc")
             named = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+        if turn == 1 and links is not None:  # buckets of one component are done for good
+            mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
+            rows = written(named.join(mixed, "token", "left_semi").drop("part"))
+            named = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
         other = [F.col(c).alias(f"{c}2") for c in MEMBER]
         drawn = F.struct(*(["alone"] if turn == 0 else []), F.xxhash64("doc", F.lit(turn)).alias("h"), *other)
         if turn < LEADERS:

@@ -1,132 +1,164 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and word beginnings (five letters and a star). Their document
-frequencies by label cover all training rows; the vocabulary keeps those most
-associated with label 1. A text's vector holds the rate of each feature in its
-words (TF) times IDF, and one constant feature, so that a single hit in a long
-text is not the same as many. The index holds at most ``max_examples`` training
-rows (those with the smallest hash of their id: a bounded sample, documented
-here); every text is searched against all of it, exactly: blocks of examples are
-visited in falling order of their score bound until no block can improve the k
-best. Votes are weighted by distance and calibrated by isotonic regression on
-the examples' own leave-one-out votes.
-
-Null and empty texts hold the constant feature alone and are scored by it.
-Repeated rows give repeated rows; ties go to the example that comes first in
-the index. Labels with a null id or label are ignored; several labels of one id
-count as their largest. Without any training row, every score is 0.
+Terms are the lower-cased words of letters. A term's weight in a text is (1 + log
+tf) x idf x rf: idf = log(1 + n / df), and the relevance frequency of Lan et al.
+(2009), rf = log2(2 + odds), where odds compares how often the term occurs in label
+1 and label 0. All frequencies count every training row. Plain TF-IDF without rf
+finds texts on the same subject rather than of the same label.
+
+The index holds a sample of the training rows: those with the smallest hash of their
+id, ``max_examples`` at most, and as many of them as have ``max_terms`` different
+words together (both bound the broadcast). All words of the examples are terms,
+none is picked by its label. Every text is searched against the whole index,
+exactly: blocks of examples are visited in falling order of their score bound until
+no block can improve the k best. Votes are weighted by distance and calibrated by
+isotonic regression on the examples' own leave-one-out votes.
+
+Texts without a known term (null and empty ones too) are no example's neighbours
+and get the training rows' share of label 1. Repeated rows give repeated rows; ties
+go to the example that comes first in the index. Labels with a null id or label are
+ignored; several labels of one id count as their largest, several texts of an
+example's id as the smallest. Without any training row, every score is 0.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import cut
+from safesight.llm.common import CACHE_BYTES, CACHE_WORDS, in_parts, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEM = 5
 #: Labels up to this many rows are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: The vocabulary is dealt in so many parts where its counts are summed.
+SLICES = 32
 
 
-def counts(text: str | None) -> tuple[Counter, int]:
-    """Feature counts and number of words."""
-    words = LETTERS.findall((text or "").lower())
-    found = Counter(words)
-    for w, n in list(found.items()):
-        if len(w) > STEM:
-            found[w[:STEM] + "*"] += n
-    return found, len(words)
+def counts(text: str | None) -> Counter:
+    """Words and how often they occur."""
+    return Counter(LETTERS.findall((text or "").lower()))
 
 
-class Model(NamedTuple):
-    """Vocabulary, index and calibration; bounded by max_features and max_examples."""
+class Places(dict):
+    """Word to its place in a sorted vocabulary of 64-bit hashes; -1 elsewhere."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode("utf-8", "surrogatepass")
+        key = np.uint64(xxhash.xxh3_64_intdigest(raw))
+        at = int(np.searchsorted(self.vocabulary, key))
+        found = at if at < len(self.vocabulary) and self.vocabulary[at] == key else -1
+        if len(raw) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's known words, and how often they occur."""
+        found = counts(text)
+        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        n = np.fromiter(found.values(), np.float64, len(found))
+        return at[at >= 0], n[at >= 0]
+
 
-    place: dict[str, int]
-    idf: np.ndarray
-    vectors: np.ndarray  # examples x (features + 1), of length 1, in index order
-    labels: np.ndarray
-    ids: np.ndarray
+class Model(NamedTuple):
+    """Vocabulary, block-max index and calibration; bounded by max_examples and max_terms."""
+
+    vocabulary: np.ndarray  # sorted hashes
+    weights: np.ndarray  # idf x rf of each term
+    pairs: np.ndarray  # term -> its first (term, block) pair; one more at the end
+    blocks: np.ndarray  # of each pair
+    most: np.ndarray  # largest weight of the pair's postings
+    posts: np.ndarray  # pair -> its first posting; one more at the end
+    examples: np.ndarray  # of each posting
+    values: np.ndarray  # weight of each posting
+    labels: np.ndarray  # of the examples, in index order
+    ids: list[str]
     k: int
     block: int
+    prior: float
     steps: np.ndarray  # isotonic steps: raw vote to probability
-    values: np.ndarray
-
-
-def vector(text: str | None, place: dict[str, int], idf: np.ndarray) -> np.ndarray:
-    """The TF-IDF vector of a text, of length 1."""
-    out = np.zeros(len(idf), np.float64)
-    words = LETTERS.findall((text or "").lower())
-    get = place.get
-    for w in words:
-        if (j := get(w)) is not None:
-            out[j] += 1
-        if len(w) > STEM and (j := get(w[:STEM] + "*")) is not None:
-            out[j] += 1
-    out *= 100 / max(len(words), 20)
-    out[-1] = 1
-    out *= idf
-    return out / math.sqrt(out @ out)
-
-
-class Index:
-    """Inverted index in blocks: each term's postings by block, with the block's largest weight."""
-
-    def __init__(self, m: Model):
-        self.m = m
-        n = len(m.labels)
-        self.starts = np.arange(0, n, m.block)
-        self.most = np.maximum.reduceat(m.vectors, self.starts, axis=0) if n else np.zeros((0, len(m.idf)))
-        self.postings = []  # by block: term -> (examples within the block, weights)
-        for s in self.starts:
-            part = m.vectors[s : s + m.block]
-            self.postings.append({t: ((rows := np.flatnonzero(part[:, t])), part[rows, t]) for t in np.flatnonzero(part.any(0))})
-
-    def nearest(self, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k best examples, best first, ties by place."""
-        m = self.m
-        terms = np.flatnonzero(q)
-        bounds = self.most[:, terms] @ q[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, int), np.zeros(0)
-        for b in order:
-            if len(best) >= m.k and bounds[b] < best[m.k - 1] - 1e-12:
-                break
-            start = self.starts[b]
-            score = np.zeros(min(m.block, len(m.labels) - start))
-            own = self.postings[b]
-            for t in terms:
-                if (found := own.get(t)) is not None:
-                    score[found[0]] += found[1] * q[t]
-            at = np.arange(start, start + len(score))
-            if start <= skip < start + len(score):
-                keep = at != skip
-                at, score = at[keep], score[keep]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, score])
-            top = np.lexsort((best_at, -np.round(best, 9)))[: m.k]
-            best_at, best = best_at[top], best[top]
-        return best_at, best
-
-    def vote(self, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Distance-weighted share of label 1 among the nearest, their places and cosines."""
-        at, cosine = self.nearest(q, skip)
-        if not len(at):
-            return 0.0, at, cosine
-        w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosine)) + 0.05)
-        return float((w * self.m.labels[at]).sum() / w.sum()), at, cosine
-
-    def calibrated(self, raw: float) -> float:
-        """Probability for a raw vote."""
-        return float(np.interp(raw, self.m.steps, self.m.values)) if len(self.m.steps) else raw
+    chances: np.ndarray
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of a text with terms at these places, of length 1."""
+        x = (1 + np.log(n)) * self.weights[at]
+        return x / (math.sqrt(x @ x) or 1)
+
+
+def index(vocabulary: np.ndarray, weights: np.ndarray, rows: list[tuple[str, int, np.ndarray, np.ndarray]], k: int, block: int, prior: float) -> Model:
+    """The index of examples: id, label, places and counts of terms. Like examples share blocks."""
+    m = Model(vocabulary, weights, *[np.zeros(0)] * 7, [], k, block, prior, np.zeros(0), np.zeros(0))
+    vectors = [m.vector(at, n) for _, _, at, n in rows]
+    first = [(int(r[2][v.argmax()]), -v.max()) if len(v) else (-1, 0.0) for r, v in zip(rows, vectors)]
+    order = sorted(range(len(rows)), key=lambda i: (first[i], rows[i][0]))
+    sizes = np.array([len(vectors[i]) for i in order], np.int64)
+    example = np.repeat(np.arange(len(order)), sizes)
+    term = np.concatenate([*(rows[i][2] for i in order), np.zeros(0, np.int64)])
+    value = np.concatenate([*(vectors[i] for i in order), np.zeros(0)])
+    by = np.lexsort((example, term))
+    example, term, value = example[by].astype(np.int32), term[by], value[by]
+    pair = term * (len(rows) // block + 1) + example // block
+    posts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(value, posts) if len(posts) else np.zeros(0)
+    pairs = np.searchsorted(term[posts], np.arange(len(vocabulary) + 1))
+    blocks = (example[posts] // block).astype(np.int32)
+    return m._replace(pairs=pairs, blocks=blocks, most=most, posts=np.append(posts, len(term)), examples=example, values=value, labels=np.array([float(rows[i][1]) for i in order]), ids=[rows[i][0] for i in order])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of all ranges, one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+def nearest(m: Model, at: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the k best examples for a vector q of length 1, best first, ties by place."""
+    size = m.pairs[at + 1] - m.pairs[at]
+    pair, own = _ranges(m.pairs[at], size), np.repeat(q, size)
+    block = m.blocks[pair]
+    n_blocks = -(-len(m.labels) // m.block)
+    bounds = np.bincount(block, m.most[pair] * own, minlength=n_blocks)
+    order = np.argsort(-bounds, kind="stable")
+    best, cosine, done, more = np.zeros(0, np.int64), np.zeros(0), 0, 2
+    while done < n_blocks and not (len(best) >= m.k and bounds[order[done]] < cosine[m.k - 1] - 1e-9):
+        now = np.zeros(n_blocks, bool)
+        now[order[done : done + more]] = True
+        mine = now[block]
+        start = m.posts[pair[mine]]
+        size = m.posts[pair[mine] + 1] - start
+        post = _ranges(start, size)
+        scores = np.bincount(m.examples[post], m.values[post] * np.repeat(own[mine], size), minlength=len(m.labels))
+        new = np.flatnonzero(np.repeat(now, m.block)[: len(m.labels)])
+        new = new[new != skip]
+        best, cosine = np.concatenate([best, new]), np.concatenate([cosine, scores[new]])
+        top = np.lexsort((best, -np.round(cosine, 9)))[: m.k]
+        best, cosine = best[top], cosine[top]
+        done, more = done + more, more * 2
+    return best, cosine
+
+
+def vote(m: Model, at: np.ndarray, n: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    """Distance-weighted share of label 1 among the nearest examples, their places and cosines."""
+    best, cosine = nearest(m, at, m.vector(at, n), skip) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
+    if not len(best):
+        return m.prior, best, cosine
+    w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosine)) + 0.05)
+    return float((w * m.labels[best]).sum() / w.sum()), best, cosine
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,100 +174,102 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([t / w for _, w, t in levels]), np.array([(s + mean) / (w + 1) for s, w, _ in levels])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (id, text) with their label; labels are broadcast only up to BROADCAST_ROWS."""
-    n = labels.limit(BROADCAST_ROWS + 1).count()
-    return docs.join(F.broadcast(labels) if n <= BROADCAST_ROWS else labels, "id")
+def weigh(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int) -> np.ndarray:
+    """idf x rf of terms in n0 of rows0 rows of label 0 and n1 of rows1 rows of label 1."""
+    odds = n1 / np.maximum(n0, 1) * (max(rows0, 1) / max(rows1, 1))
+    return np.log(1 + (rows0 + rows1) / np.maximum(n0 + n1, 1)) * np.log2(2 + odds)
+
 
+def _frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """In how many of the rows (text, label) each term occurs, by label, and the number of rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # 8 x max_terms bytes at most
+    size = -(-(len(vocabulary) + 1) // SLICES)
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 8000, max_features: int = 512, min_count: int = 5, k: int = 21, block: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, seen = Places(shared.value), np.zeros((2, size * SLICES), np.uint32)
+        for batch in in_parts(batches):
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+                own = seen[int(label != 0)]
+                own[places.of(text.as_py())[0]] += 1
+                own[-1] += 1  # no term's place: all rows
+        parts = [zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in np.split(seen, SLICES, axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "seen"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = np.zeros(2 * size, np.int64), 0
+        for part in parts:
+            at = part.column(0)[0].as_py()
+            for x in part.column(1):
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "seen"])
+
+    found = rows.mapInArrow(count, "slice int, seen binary").groupBy("slice").applyInArrow(add, "slice int, seen binary").collect()
+    total = np.zeros((2, size * SLICES), np.int64)
+    for r in found:
+        total[:, r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["seen"], np.int64).reshape(2, size)
+    shared.destroy()
+    return total[0, : len(vocabulary)], total[1, : len(vocabulary)], int(total[0, -1]), int(total[1, -1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 2_000_000, k: int = 21, block: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on the rows of docs that labels (id, label 0/1) covers."""
+    spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(known) if few else known, "id")
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches):
+            own = [counts(t.as_py()) for t in batch.column("text")]
+            keys = [b"".join(xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))[::-1] for w in c) for c in own]
+            n = [np.fromiter(c.values(), np.uint32, len(c)).tobytes() for c in own]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("h"), batch.column("label"), pa.array(map(len, own), pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], ["id", "h", "label", "size", "keys", "n"])
+
+    sample = labelled.select("id", "label").distinct().select("id", "label", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_examples)
+    drawn = texts.join(F.broadcast(sample), "id").groupBy("id", "h", "label").agg(F.min("text").alias("text"))
+    drawn = written(drawn.mapInArrow(terms, "id string, h long, label int, size long, keys binary, n binary"))
+    sizes = sorted(tuple(r) for r in drawn.select("h", "id", "size").collect())
+    fits = np.cumsum([s for *_, s in sizes]) <= max_terms
+    if len(sizes) and not fits.all():
+        h, last, _ = sizes[max(0, int(fits.sum()) - 1)]
+        drawn = drawn.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("id") <= last)))
+    rows = [(r["id"], r["label"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in drawn.collect()]
+    vocabulary = np.unique(np.concatenate([*(keys for *_, keys, _ in rows), np.zeros(0, np.uint64)]))
+    n0, n1, rows0, rows1 = _frequencies(labelled.select("text", "label"), vocabulary)
+    m = index(vocabulary, weigh(n0, n1, rows0, rows1), [(i, y, np.searchsorted(vocabulary, keys), n.astype(np.float64)) for i, y, keys, n in rows], k, block, rows1 / max(1, rows0 + rows1))
+    if not rows:
+        return m
+    shared = spark.sparkContext.broadcast(m)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
-            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], ["feature", "n0", "n1"])
-            for s in seen:
-                s.clear()
-            return made
-
-        rows = [0, 0]
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        place = {i: at for at, i in enumerate(own.ids)}
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                seen[label != 0].update(counts(text.as_py())[0].keys())
-                rows[label != 0] += 1
-                if len(seen[0]) + len(seen[1]) > 200_000:
-                    yield out()
-        seen[0][""], seen[1][""] = rows  # the number of documents
-        yield out()
-
-    counted = _labelled(texts, known).select("text", "label").mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    both = F.col("n0") + F.col("n1")
-    # all of the documents stand in the row of the empty feature; it sorts first
-    ranked = counted.where((F.col("feature") == "") | (F.col("n1") >= min_count))
-    ranked = cut(ranked)
-    total = ranked.where("feature = ''").first()
-    n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
-    if not n0 + n1:
-        return Model({}, np.ones(1), np.zeros((0, 1)), np.zeros(0), np.zeros(0), k, block, np.zeros(0), np.zeros(0))
-    n = n0 + n1
-    expected = both * F.lit(n1 / n)
-    chi2 = F.pow(F.col("n1") - expected, 2) * n / (expected * (n - both) * F.lit(max(n0, 1) / n))
-    chosen = ranked.where((F.col("feature") != "") & (both < n) & (F.col("n1") > expected)).withColumn("chi2", chi2).where("chi2 > 15").orderBy(F.desc("chi2"), "feature").limit(max_features).collect()
-    place = {r["feature"]: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log(1 + n / (r["n0"] + r["n1"])) for r in chosen] + [1.0])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [vector(t.as_py(), place, idf) for t in batch.column("text")]
-            used = [np.flatnonzero(v) for v in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(used, pa.list_(pa.int32())), pa.array([v[u] for v, u in zip(found, used)], pa.list_(pa.float64()))], ["id", "label", "at", "weight"])
-
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
-    rows = texts.join(F.broadcast(sample), "id").mapInArrow(vectors, "id string, label int, at array<int>, weight array<double>").limit(max_examples).collect()
-    rows.sort(key=lambda r: (max(zip(r["weight"], r["at"]))[1], r["weight"][-1], r["id"]))  # like examples share blocks
-    x = np.zeros((len(rows), len(idf)))
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["weight"]
-    m = Model(place, idf, x, np.array([float(r["label"]) for r in rows]), np.array([r["id"] for r in rows]), k, block, np.zeros(0), np.zeros(0))
-    if not len(rows):
-        return m
-    index, memo = Index(m), {}
-    raw = np.zeros(len(rows))
-    for i in range(len(rows)):  # equal vectors of one label have equal votes, but for which of them is left out
-        key = (x[i].tobytes(), m.labels[i])
-        if key not in memo:
-            memo[key] = index.vote(x[i], skip=i)[0]
-        raw[i] = memo[key]
-    steps, values = isotonic(np.round(raw, 6), m.labels)
-    return m._replace(steps=steps, values=values)
+            found = [vote(own, np.searchsorted(own.vocabulary, np.frombuffer(r["keys"], np.uint64)), np.frombuffer(r["n"], np.uint32).astype(np.float64), place[r["id"]])[0] for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], ["raw", "label"])
+
+    # the sample is small in bytes, so it is dealt out for the votes
+    raw = drawn.select("id", "label", "keys", "n").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(left_out, "raw double, label int").collect()
+    shared.destroy()
+    steps, chances = isotonic(np.round([r["raw"] for r in raw], 6), np.array([float(r["label"]) for r in raw]))
+    return m._replace(steps=steps, chances=chances)
 
 
 def score(docs: DataFrame, model: Model, evidence: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score (0 to 1) and, if asked for, evidence: the nearest examples' ids, labels and cosines."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples x max_features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        index = Index(m)
-        memo: dict[bytes, tuple] = {}
-        for batch in batches:
+        places = Places(m.vocabulary)
+        for batch in in_parts(batches):
             made, shown = [], []
             for text in batch.column(1):
-                q = vector(text.as_py(), m.place, m.idf)
-                key = q.tobytes() if np.count_nonzero(q) < 3 else b""
-                found = memo.get(key) if key else None
-                if found is None:
-                    found = index.vote(q)
-                    if key and len(memo) < 20_000:
-                        memo[key] = found
-                made.append(index.calibrated(found[0]))
+                raw, best, cosine = vote(m, *places.of(text.as_py()))
+                made.append(float(np.interp(raw, m.steps, m.chances)) if len(best) else raw)
                 if evidence:
-                    shown.append([{"id": str(m.ids[i]), "label": int(m.labels[i]), "cosine": float(c)} for i, c in zip(found[1], found[2])])
+                    shown.append([{"id": m.ids[i], "label": int(m.labels[i]), "cosine": float(c)} for i, c in zip(best, cosine)])
             columns = [batch.column(0), pa.array(made, pa.float64())]
             if evidence:
                 columns.append(pa.array(shown, pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))))
