@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: A worker's word cache is emptied at this many entries (some 20 MB), and keeps no word over so many bytes.
 CACHE_WORDS, CACHE_BYTES = 150_000, 64
-#: Rows of texts that a worker takes from a batch at a time.
-PART_ROWS = 500
+#: Rows and bytes of texts that a worker takes from a batch at a time (one longer text is alone).
+PART_ROWS, PART_BYTES = 500, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +79,11 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of PART_ROWS rows at most, so that Python holds few texts at once."""
+    """Batches of some PART_BYTES and PART_ROWS rows at most, so that Python holds few texts at once."""
     for batch in batches:
-        for k in range(0, batch.num_rows, PART_ROWS):
-            yield batch.slice(k, PART_ROWS)
+        rows = max(1, min(PART_ROWS, PART_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -89,22 +92,6 @@ def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(i).cast(pa.large_binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for reuse."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of a list of words."""
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -112,6 +99,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed together; a longer word is hashed alone.
+SEGMENT = 1 << 20
+_FACTOR = 0x9E3779B97F4A7C15
+_LOWERED = np.frombuffer(LOWER, np.uint8)
+_INSIDE = np.array([c not in b" \t\n\v\f\r" for c in range(256)])
+_SOLID = np.array([c not in b" \t\n\v\f\r" and c not in string.punctuation.encode() for c in range(256)])
+
+
+@cache
+def _powers(factor: int) -> np.ndarray:
+    out = np.full(SEGMENT, factor, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def word_hashes(texts: pa.Array, strip: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a string column, text after text, and each text's number of words.
+
+    Words are lower-cased (A-Z); strip: without ASCII punctuation at their ends, and
+    none of punctuation alone. A word's hash is a polynomial of its bytes modulo 2^64,
+    taken from running sums over all bytes at once, then scrambled.
+    """
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = _INSIDE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = offsets[:-1] < offsets[1:]
+    for edge, at in ((first, offsets[:-1][full]), (last, offsets[1:][full] - 1)):
+        edge[at] = inside[at]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if strip:
+        solid = np.flatnonzero(_SOLID[data])
+        b, e = np.searchsorted(solid, begin), np.searchsorted(solid, end)
+        begin, end = solid[b[b < e]], solid[e[b < e] - 1] + 1
+    out, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        base = begin[i]
+        j = int(np.searchsorted(end, base + SEGMENT - 1, "right"))
+        if j <= i:
+            out[i] = xxhash.xxh3_64_intdigest(data[base : end[i]].tobytes().translate(LOWER))
+            i += 1
+            continue
+        part = _LOWERED[data[base : end[j - 1]]].astype(np.uint64) + np.uint64(1)
+        part *= _powers(_FACTOR)[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        out[i:j] = (sums[end[i:j] - base] - sums[begin[i:j] - base]) * _powers(pow(_FACTOR, -1, 1 << 64))[begin[i:j] - base]
+        i = j
+    return mix(out), np.diff(np.searchsorted(begin, offsets))
+
+
+def per_text(hashes: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The hashes of one text after another."""
+    at = 0
+    for n in sizes.tolist():
+        yield hashes[at : at + n]
+        at += n
+
+
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; fewer words count as one shingle, none as nothing."""
     if not len(hashes):
@@ -121,7 +176,9 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     out = hashes[: len(hashes) - n + 1]
     for k in range(1, n):
         out = mix(out + np.uint64(0x9E3779B97F4A7C15)) + hashes[k : len(hashes) - n + 1 + k]
-    return np.unique(mix(out))
+    out = mix(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

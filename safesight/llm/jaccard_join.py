@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.llm.common import LOWER, WordHashes, by_ids, byte_rows, components, cut, discard, in_parts, shingle_set, table_path, written
+from safesight.llm.common import by_ids, components, cut, discard, in_parts, per_text, shingle_set, table_path, word_hashes, written
 
 CELLS = 1 << 22
 SLICES = 64
@@ -49,18 +49,18 @@ LEADERS = 2
 SALT_ROWS = 512
 
 
-def _sets(batch: pa.RecordBatch, words: WordHashes, n: int) -> Iterator[np.ndarray]:
-    for text in byte_rows(batch, "text"):
-        yield shingle_set(words.of(text.translate(LOWER).split()), n)
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    for found in per_text(*word_hashes(batch.column("text"))):
+        yield shingle_set(found, n)
 
 
 def _loads(texts: DataFrame, n: int) -> np.ndarray:
     """Order classes of the cells: 0 up to four deviations above the mean load, then by powers of two of the excess."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, held, size = WordHashes(), np.zeros(CELLS, np.int64), [], 0
+        total, held, size = np.zeros(CELLS, np.int64), [], 0
         for batch in in_parts(batches):
-            for found in _sets(batch, words, n):
+            for found in _sets(batch, n):
                 held.append((found & np.uint64(CELLS - 1)).astype(np.int64))
                 size += len(found)
                 if size > 250_000:
@@ -92,10 +92,10 @@ def _prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     classes = texts.sparkSession.sparkContext.broadcast(_loads(texts, n))  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, order = WordHashes(), classes.value
+        order = classes.value
         for batch in in_parts(batches):
             sizes, d1, d2, prefix = [], [], [], []
-            for found in _sets(batch, words, n):
+            for found in _sets(batch, n):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 a, b = np.frombuffer(digest, np.int64)
                 sizes.append(len(found))
@@ -113,9 +113,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     """Those pairs (a, b) that link, by their whole sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for part in in_parts(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part, words, n)], pa.binary())], ["doc", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part, n)], pa.binary())], ["doc", "tokens"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,23 +1,27 @@
 """Language-model scoring with a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Training counts all words and all pairs of neighbouring words of the training
-rows, without a cut-off. Word counts are exact. A pair's count c is held as level
-1 + floor(log_base c): the filter gets the keys (pair, 1) .. (pair, level), and a
-lookup probes level by level until one is missing, then reads the lower end of
-that level. The score is P(w | v) = share x c(v w) / c(v) + (1 - share) x P(w) with
-the add-0.1 probability P(w) (P(w) alone where c(v) is 0), which sums to one at
-most but for false positives.
+Training counts all words, pairs and triples of neighbouring words of the training
+rows, without a cut-off. Word counts are exact. The count c of a pair or triple is
+held as level 1 + floor(log_base c): the filter gets the keys (gram, 1) .. (gram,
+level), and a lookup probes level by level until one is missing. A level stands for
+the counts low .. high; with P(w) the add-0.1 probability,
+
+    P(w | v) = share x low(v w) / c(v) + (1 - share) x P(w)
+    P(w | u v) = share3 x low(u v w) / high(u v) + (1 - share3) x P(w | v)
+
+(the right term alone where the context was not seen, and no triple at a text's first
+token), which sum to one at most but for false positives.
 
 Counts are dealt to buckets by hash; each bucket's filter is built in one task
-(buckets follow the input's bytes, so their size is bounded). Workers get the
-buckets by broadcast, in pieces of ``piece_bytes``. Where all pieces are within
-``shard_bytes``, texts are scored in one pass; else the counts are filled in for
-that many bytes of pieces at a time in a written table, so memory stays bounded
-at any size (passes grow with the number of distinct pairs).
+(buckets follow the input's bytes, so their size is bounded). While all of them
+together are within ``shard_bytes``, workers get them by broadcast, in pieces of
+``piece_bytes`` that pass through the driver as bytes, one at a time. A larger
+model is never in one place: the texts' probes are dealt to the buckets and the
+answers come back, with the same scores.
 
 Null and empty texts are one token (the end). Repeated rows give repeated rows;
 columns besides the id and the text are ignored. With no training rows all
-counts are 0. Ids are integers; a null flag counts as not held out.
+counts are 0. Ids are integers or null; a null flag counts as not held out.
 """
 
 from __future__ import annotations
@@ -31,20 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import LOWER, WordHashes, byte_rows, discard, mix, table_path, written
+from safesight.llm.common import in_parts, mix, word_hashes, written
 
-END, START = np.uint64(0x5E4D), np.uint64(0x57A7)  # words have xxh3 hashes
+END, START = np.uint64(0x5E4D), np.uint64(0x57A7)  # words have scrambled hashes
 ADD = 0.1
-#: Texts are worked on together up to this many tokens (one longer text is alone).
-CHUNK_TOKENS = 500_000
+#: Texts are worked on together up to about this many tokens (one longer text is alone).
+CHUNK_TOKENS = 400_000
 #: Bytes of text per bucket.
 BUCKET_BYTES = 8 << 20
+#: Words, pairs and triples.
+ORDERS = (1, 2, 3)
 
 
 class Chunk:
     """Some texts: ids, flags, lengths and the hashes of all their tokens."""
 
-    def __init__(self, ids: np.ndarray, held: np.ndarray, lengths: np.ndarray, tokens: np.ndarray):
+    def __init__(self, ids: pa.Array, held: np.ndarray, lengths: np.ndarray, tokens: np.ndarray):
         self.ids, self.held, self.lengths, self.tokens = ids, held, lengths, tokens
         self.first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
@@ -59,55 +65,74 @@ class Chunk:
         out[self.first] = start
         return out
 
-    def pairs(self) -> np.ndarray:
-        """Hash of each token with its predecessor."""
-        return mix(mix(self.shifted(self.tokens, START)) + mix(self.tokens ^ np.uint64(0xA5A5A5A5)))
+    def keys(self, order: int) -> np.ndarray:
+        """A key for each token and the order - 1 tokens before it."""
+        out, back = mix(self.tokens), self.tokens
+        for k in range(1, order):
+            back = self.shifted(back, START)
+            out = mix(out ^ mix(back + np.uint64(k * 0xA5A5A5A5)))
+        return out
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """Batches of id, held, text as chunks."""
-    words, ids, held, streams, size = WordHashes(), [], [], [], 0
-    out = lambda: Chunk(np.array(ids, np.int64), np.array(held, bool), np.array([len(x) for x in streams], np.int64), np.concatenate(streams))
-    for batch in batches:
-        for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch, "text")):
-            found = text.translate(LOWER).split()
-            if streams and size + len(found) > CHUNK_TOKENS:
-                yield out()
-                ids, held, streams, size = [], [], [], 0
-            ids.append(i)
-            held.append(bool(h))
-            streams.append(np.append(words.of(found), END))
-            size += len(found) + 1
-    if streams:
+    held, size = [], 0
+
+    def out() -> Chunk:
+        ids, flags, lengths, tokens = zip(*held)
+        return Chunk(pa.concat_arrays(ids), np.concatenate(flags), np.concatenate(lengths), np.concatenate(tokens))
+
+    for part in in_parts(batches):
+        words, n = word_hashes(part.column("text"))
+        tokens = np.full(len(words) + len(n), END, np.uint64)
+        tokens[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
+        if held and size + len(tokens) > CHUNK_TOKENS:
+            yield out()
+            held, size = [], 0
+        held.append((part.column(0), part.column(1).fill_null(False).to_numpy(zero_copy_only=False), n + 1, tokens))
+        size += len(tokens)
+    if held:
         yield out()
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted keys (enough within a bucket of pairs)."""
+    """The upper 40 bits of keys (enough within a bucket of pairs or triples)."""
     return np.ascontiguousarray((keys >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    """Back to 64 bits."""
+    """Back to 64 bits, the lower 24 of them 0."""
     out = np.zeros((len(data) // 5, 8), np.uint8)
     out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).ravel()
 
 
+def within(keys: np.ndarray, order: int, bits: int) -> bytes:
+    """Keys of one bucket as bytes; the bucket's own bits are known, so a gram's 40 bits follow them."""
+    return packed(keys << np.uint64(bits)) if order > 1 else keys.tobytes()
+
+
+def edges_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys, and the end."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
+
+
 def count_by_bucket(texts: DataFrame, bits: int) -> DataFrame:
-    """Rows (kind, bucket, keys, n): kind 0 words, 1 pairs; the distinct keys of some chunks and their counts."""
+    """Rows (kind, bucket, keys, n): the distinct keys of an order in some chunks, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             keep = np.repeat(~c.held, c.lengths)
-            for kind, keys in ((0, c.tokens), (1, c.pairs())):
-                keys, n = np.unique(mix(keys[keep]), return_counts=True)
-                edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
-                for bucket in np.flatnonzero(np.diff(edges)):
-                    own = slice(edges[bucket], edges[bucket + 1])
-                    # the bucket's own bits are known, so 40 bits follow them
-                    data = packed(keys[own] << np.uint64(bits)) if kind else keys[own].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(bucket)], pa.int64()), pa.array([data], pa.binary()), pa.array([zlib.compress(n[own].astype(np.uint32).tobytes(), 1)], pa.binary())], ["kind", "bucket", "keys", "n"])
+            for kind in ORDERS:
+                keys = np.sort(c.keys(kind)[keep])
+                if not len(keys):
+                    continue
+                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                keys, n = keys[edge], np.diff(np.append(edge, len(keys))).astype(np.uint32)
+                edges = edges_of(keys, bits)
+                own = [(int(b), slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
+                rows = [pa.array([kind] * len(own), pa.int32()), pa.array([b for b, _ in own], pa.int64()), pa.array([within(keys[x], kind, bits) for _, x in own], pa.binary()), pa.array([zlib.compress(n[x].tobytes(), 1) for _, x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, ["kind", "bucket", "keys", "n"])
 
     return texts.mapInArrow(run, "kind int, bucket long, keys binary, n binary")
 
@@ -118,7 +143,7 @@ def seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return a, mix(a) | np.uint64(1)
 
 
-def probe(a: np.ndarray, b: np.ndarray, i: int, n_bits: np.ndarray | np.uint64) -> np.ndarray:
+def probe(a: np.ndarray, b: np.ndarray, i: int, n_bits: np.uint64) -> np.ndarray:
     """The i-th place among n_bits (under 2^32)."""
     return ((a + np.uint64(i) * b) >> np.uint64(32)) * n_bits >> np.uint64(32)
 
@@ -128,22 +153,32 @@ def level_of(counts: np.ndarray, base: float) -> np.ndarray:
     return (1 + np.floor(np.log(counts) / math.log(base) + 1e-9)).astype(np.int64)
 
 
+def low(level: np.ndarray, base: float) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return np.where(level > 0, np.ceil(base ** (level - 1.0) - 1e-9), 0)
+
+
+def high(level: np.ndarray, base: float) -> np.ndarray:
+    """The largest count of a level; 0 for level 0."""
+    return np.where(level > 0, np.maximum(low(level, base), np.ceil(base ** level.astype(float) - 1e-9) - 1), 0)
+
+
 def build(counted: DataFrame, base: float, bits_per_key: float, k: int) -> DataFrame:
-    """One row per kind and bucket: keys and counts of words, or the bits of the pairs' filter."""
+    """One row per kind and bucket: keys and counts of words, or the bits of the grams' filter."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, bucket, keys, n = 0, 0, [], []
         for part in parts:
             kind, bucket = part.column("kind")[0].as_py(), part.column("bucket")[0].as_py()
             for data, own in zip(part.column("keys").to_pylist(), part.column("n").to_pylist()):
-                keys.append(unpacked(data) if kind else np.frombuffer(data, np.uint64))
+                keys.append(unpacked(data) if kind > 1 else np.frombuffer(data, np.uint64))
                 n.append(np.frombuffer(zlib.decompress(own), np.uint32))
         keys, n = np.concatenate(keys), np.concatenate(n)
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order].astype(np.int64)
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, n = keys[edges], np.add.reduceat(n, edges)
-        if kind:
+        if kind > 1:
             level = level_of(n, base)
             n_bits = -(-int(level.sum() * bits_per_key) // 64) * 64
             held = np.zeros(n_bits, bool)
@@ -153,165 +188,156 @@ def build(counted: DataFrame, base: float, bits_per_key: float, k: int) -> DataF
                     held[probe(a, b, i, np.uint64(n_bits))] = True
             data, extra = np.packbits(held, bitorder="little").tobytes(), b""
         else:
-            data, extra = keys.tobytes(), n.tobytes()
+            # counts over 254 stand in a list of their own
+            many = n > 254
+            data, extra = keys.tobytes(), np.where(many, 255, n).astype(np.uint8).tobytes() + n[many].tobytes()
         row = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([len(data) + len(extra)], pa.int64()), pa.array([data], pa.binary()), pa.array([extra], pa.binary())]
         yield pa.RecordBatch.from_arrays(row, ["kind", "bucket", "keys", "total", "bytes", "data", "extra"])
 
     return counted.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket long, keys long, total long, bytes long, data binary, extra binary")
 
 
-class Lookup:
-    """What a chunk asks for: its distinct words and its pairs."""
-
-    def __init__(self, c: Chunk):
-        self.keys, self.at = np.unique(mix(c.tokens), return_inverse=True)
-        self.found = np.zeros(len(self.keys), np.int64)
-        self.pair_keys, self.pairs = mix(c.pairs()), np.zeros(len(c.tokens))
-
-
-class Piece:
-    """The words and pair filters of buckets first .. last."""
-
-    def __init__(self, rows: list[dict], bits: int, first: int, last: int, base: float, k: int):
-        self.bits, self.first, self.last, self.base, self.k = bits, first, last, base, k
-        of = sorted((r for r in rows if not r["kind"]), key=lambda r: r["bucket"])
-        join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in of] or [np.zeros(0, kind)])
-        self.words, self.counts = join("data", np.uint64), join("extra", np.int64)
-        own = {r["bucket"]: np.frombuffer(r["data"], np.uint8) for r in rows if r["kind"]}
-        sizes = np.array([len(own.get(b, b"")) for b in range(first, last + 1)], np.int64)
-        self.sizes = (sizes * 8).astype(np.uint64)
-        self.starts = (np.cumsum(sizes) - sizes).astype(np.uint64) * np.uint64(8)
-        self.filter = np.concatenate([own[b] for b in sorted(own)] or [np.zeros(0, np.uint8)])
-
-    def _bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-
-    def fill(self, look: Lookup) -> None:
-        """Put the counts that this piece knows into a chunk's lookups."""
-        bucket = self._bucket(look.keys)
-        mine = np.flatnonzero((bucket >= self.first) & (bucket <= self.last))
-        if len(self.words) and len(mine):
-            keys = look.keys[mine]
-            place = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-            look.found[mine] = np.where(self.words[place] == keys, self.counts[place], 0)
-        keys = look.pair_keys
-        bucket = self._bucket(keys)
-        mine = np.flatnonzero((bucket >= self.first) & (bucket <= self.last))
-        bucket = bucket[mine] - self.first
-        keys = keys[mine] << np.uint64(self.bits) >> np.uint64(24) << np.uint64(24)
-        sizes, starts, level = self.sizes[bucket], self.starts[bucket], np.zeros(len(mine), np.int64)
-        alive, step = np.flatnonzero(sizes > 0), 1
-        while len(alive):
-            a, b = seeds(keys[alive], step)
-            rest = np.arange(len(alive))
-            for i in range(self.k):
-                at = probe(a[rest], b[rest], i, sizes[alive[rest]]) + starts[alive[rest]]
-                rest = rest[(self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            alive = alive[rest]
-            level[alive] = step
-            step += 1
-        look.pairs[mine] = np.where(level > 0, np.ceil(self.base ** (level - 1.0) - 1e-9), 0)
+def counts_of(keys: np.ndarray, data: bytes, extra: bytes) -> np.ndarray:
+    """Counts of words of a bucket; 0 where it doesn't hold them."""
+    held = np.frombuffer(data, np.uint64)
+    small = np.frombuffer(extra, np.uint8, len(held))
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    n = np.where(held[at] == keys, small[at], 0).astype(np.int64)
+    if (many := np.flatnonzero(n == 255)).size:
+        n[many] = np.frombuffer(extra, np.int64, offset=len(held))[np.searchsorted(np.flatnonzero(small == 255), at[many])]
+    return n
+
+
+def levels_of(keys: np.ndarray, data: bytes, k: int) -> np.ndarray:
+    """Levels of grams of a bucket (their 40 bits, see unpacked) by repeated probes."""
+    bits, n_bits = np.frombuffer(data, np.uint8), np.uint64(8 * len(data))
+    level, alive, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while len(alive):
+        a, b = seeds(keys[alive], step)
+        for i in range(k):
+            at = probe(a, b, i, n_bits)
+            held = (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            a, b, alive = a[held], b[held], alive[held]
+        level[alive] = step
+        step += 1
+    return level
+
+
+def answers(kind: int, keys: np.ndarray, data: bytes, extra: bytes, k: int) -> np.ndarray:
+    """Counts (words, by whole keys) or levels (grams, by their 40 bits)."""
+    return counts_of(keys, data, extra) if kind == 1 else levels_of(keys, data, k)
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored(c: Chunk, words: np.ndarray, pairs: np.ndarray, n_train: int, n_words: int, n_texts: int, share: float) -> pa.RecordBatch:
-    """The scores of a chunk whose counts are known."""
-    p = (words + ADD) / (n_train + ADD * (n_words + 1))
-    of = c.shifted(words.astype(np.float64), n_texts)  # every word, and the start, is followed by one token
-    conditional = np.where(of > 0, share * np.minimum(pairs, of) / np.maximum(of, 1) + (1 - share) * p, p)
-    known = c.sums((words > 0).astype(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(c.ids), pa.array(c.held), pa.array(c.lengths), pa.array(known), pa.array(c.sums(np.log10(p))), pa.array(c.sums(np.log10(conditional)))], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+class Scorer:
+    """The scores of a chunk whose counts and levels are known."""
+
+    def __init__(self, n_train: int, n_words: int, n_texts: int, share: float, share3: float, base: float):
+        self.n_train, self.n_words, self.n_texts, self.share, self.share3, self.base = n_train, n_words, n_texts, share, share3, base
+
+    def __call__(self, c: Chunk, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> pa.RecordBatch:
+        p = (words + ADD) / (self.n_train + ADD * (self.n_words + 1))
+        of = c.shifted(words.astype(np.float64), self.n_texts)  # every word, and the start, is followed by one token
+        p2 = np.where(of > 0, self.share * np.minimum(low(pairs, self.base), of) / np.maximum(of, 1) + (1 - self.share) * p, p)
+        of = c.shifted(high(pairs, self.base), 0)
+        p3 = np.where(of > 0, self.share3 * np.minimum(low(triples, self.base), of) / np.maximum(of, 1) + (1 - self.share3) * p2, p2)
+        known = c.sums((words > 0).astype(np.int64))
+        return pa.RecordBatch.from_arrays([c.ids.cast(pa.int64()), pa.array(c.held), pa.array(c.lengths), pa.array(known), pa.array(c.sums(np.log10(p))), pa.array(c.sums(np.log10(p3)))], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score(docs: DataFrame, held_out: str, share: float = 0.2, base: float = 1.5, bits_per_key: float = 10.0, k: int = 5, shard_bytes: int = 384 << 20, piece_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def asked(c: Chunk, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct keys of an order, sorted; each token's place among them; and the buckets' edges."""
+    keys, at = np.unique(c.keys(kind), return_inverse=True)
+    return keys, at, edges_of(keys, bits)
+
+
+def score(docs: DataFrame, held_out: str, share: float = 0.2, share3: float = 0.2, base: float = 1.5, bits_per_key: float = 10.0, k: int = 5, shard_bytes: int = 256 << 20, piece_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of its probability).
 
     held_out: name of a boolean column; rows where it is true are not learned from.
     """
-    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_out).alias("held"), F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, n_texts = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.coalesce("held", F.lit(False)))).first()
     bits = max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     built = written(build(count_by_bucket(texts, bits), base, bits_per_key, k))
-    sums = built.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first()
-    n_texts = texts.where(~F.coalesce("held", F.lit(False))).count()
-    n_train, n_words = sums
+    sums = built.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first()
+    scorer = Scorer(*sums, n_texts, share, share3, base)
+    total = built.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    out = _broadcast(texts, built, bits, k, scorer, piece_bytes) if total <= shard_bytes else _dealt(texts, built, bits, k, scorer)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(sums[0]).cast("long").alias("train_tokens"), "base_score", "score")
+
 
-    # pieces: runs of buckets of piece_bytes at most; each is built and broadcast alone
-    edges, room, total = [0], piece_bytes, 0
+def _broadcast(texts: DataFrame, built: DataFrame, bits: int, k: int, scorer: Scorer, piece_bytes: int) -> DataFrame:
+    """Scores by the whole model in every worker; it is within shard_bytes."""
+    sc = texts.sparkSession.sparkContext
+    runs, room = [], 0
     for r in built.groupBy("bucket").agg(F.sum("bytes").alias("b")).orderBy("bucket").collect():  # a row of sizes per bucket
-        if r["b"] > room and r["bucket"] > edges[-1]:
-            edges.append(r["bucket"])
+        if r["b"] > room:
+            runs.append([r["bucket"], r["bucket"]])
             room = piece_bytes
+        runs[-1][1] = r["bucket"]
         room -= r["b"]
-        total += r["b"]
-    edges.append(1 << bits)
+    columns = ("kind", "bucket", "data", "extra")
+    held = [sc.broadcast([(r.kind, r.bucket, bytes(r.data), bytes(r.extra)) for r in built.where(F.col("bucket").between(*run)).select(*columns).collect()]) for run in runs]
 
-    def piece(first: int, after: int):
-        rows = [r.asDict() for r in built.where(F.col("bucket").between(first, after - 1)).select("kind", "bucket", "data", "extra").collect()]
-        return sc.broadcast(Piece(rows, bits, first, after - 1, base, k))
-
-    runs = list(zip(edges, edges[1:]))
-    if total <= shard_bytes:
-        held = [piece(*run) for run in runs]
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for c in chunks(batches):
-                look = Lookup(c)
-                for one in held:
-                    one.value.fill(look)
-                yield scored(c, look.found[look.at], look.pairs, n_train, n_words, n_texts, share)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {(kind, bucket): (data, extra) for piece in held for kind, bucket, data, extra in piece.value}
+        for c in chunks(batches):
+            found = []
+            for kind in ORDERS:
+                keys, at, edges = asked(c, kind, bits)
+                values = np.zeros(len(keys), np.int64)
+                probes = keys if kind == 1 else keys << np.uint64(bits) >> np.uint64(24) << np.uint64(24)
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    if (kind, b) in own:
+                        mine = slice(edges[b], edges[b + 1])
+                        values[mine] = answers(kind, probes[mine], *own[kind, b], k)
+                found.append(values[at])
+            yield scorer(c, *found)
 
-        out = texts.mapInArrow(whole, SCORES)
-    else:
-        out = _by_pieces(texts, piece, runs, max(1, shard_bytes // piece_bytes), n_train, n_words, n_texts, share)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    return texts.mapInArrow(whole, SCORES)
 
 
-PARTS = ("ids", "held", "lengths", "tokens", "words", "pairs")
-KINDS = (np.int64, bool, np.int64, np.uint64, np.int64, np.float64)
+def _dealt(texts: DataFrame, built: DataFrame, bits: int, k: int, scorer: Scorer) -> DataFrame:
+    """The same scores by dealing probes to buckets and answers back to chunks; no task holds more than a bucket or a chunk."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            row = [pa.array([c.ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (c.held, c.lengths, c.tokens))]
+            yield pa.RecordBatch.from_arrays(row, ["ids", "held", "lengths", "tokens"])
 
-def _by_pieces(texts: DataFrame, piece, runs: list[tuple[int, int]], at_once: int, n_train: int, n_words: int, n_texts: int, share: float) -> DataFrame:
-    """The same scores with some pieces in memory at a time: a table of chunks is filled in by and by."""
-    schema = ", ".join(f"{p} binary" for p in PARTS)
+    def back(held: bytes, lengths: bytes, tokens: bytes, ids: list) -> Chunk:
+        return Chunk(pa.array(ids, pa.int64()), np.frombuffer(held, bool), np.frombuffer(lengths, np.int64), np.frombuffer(tokens, np.uint64))
 
-    def row(c: Chunk, words: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (c.ids, c.held, c.lengths, c.tokens, words, pairs)], list(PARTS))
+    table = written(texts.mapInArrow(cut, "ids array<long>, held binary, lengths binary, tokens binary").withColumn("chunk", F.monotonically_increasing_id()))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                a = [np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate(KINDS)]
-                yield Chunk(*a[:4]), a[4], a[5]
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            yield row(c, np.zeros(len(c.tokens), np.int64), np.zeros(len(c.tokens)))
-
-    spark, found, path = texts.sparkSession, texts.mapInArrow(begin, schema), None
-    for i in range(0, len(runs), at_once):
-        held = [piece(*run) for run in runs[i : i + at_once]]
-
-        def fill(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for c, words, pairs in unpack(batches):
-                look = Lookup(c)
-                for one in held:
-                    one.value.fill(look)
-                # each word and pair is known to one piece; the others leave it 0
-                yield row(c, words + look.found[look.at], pairs + look.pairs)
-
-        done, path = path, table_path(spark)
-        found = written(found.mapInArrow(fill, schema), path)
-        if done:
-            discard(spark, done)
-        for one in held:
-            one.destroy()
-
-    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, words, pairs in unpack(batches):
-            yield scored(c, words, pairs, n_train, n_words, n_texts, share)
-
-    return found.mapInArrow(end, SCORES)
+            for r in batch.to_pylist():
+                c = back(r["held"], r["lengths"], r["tokens"], [])
+                for kind in ORDERS:
+                    keys, _, edges = asked(c, kind, bits)
+                    own = np.flatnonzero(np.diff(edges)).tolist()
+                    columns = [[kind] * len(own), own, [r["chunk"]] * len(own), [within(keys[edges[b] : edges[b + 1]], kind, bits) for b in own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "bucket", "chunk", "keys"])
+
+    def answer(asks: pa.Table, own: pa.Table) -> pa.Table:
+        model, out = own.select(["data", "extra"]).to_pylist(), []
+        for r in asks.to_pylist():
+            keys = unpacked(r["keys"]) if r["kind"] > 1 else np.frombuffer(r["keys"], np.uint64)
+            found = answers(r["kind"], keys, model[0]["data"], model[0]["extra"], k) if model else np.zeros(len(keys), np.int64)
+            out.append({"chunk": r["chunk"], "kind": r["kind"], "bucket": r["bucket"], "found": zlib.compress(found.tobytes(), 1)})
+        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("found", pa.binary())]))
+
+    def end(rows: pa.Table, found: pa.Table) -> pa.Table:
+        r = rows.to_pylist()[0]
+        c, parts = back(r["held"], r["lengths"], r["tokens"], r["ids"]), sorted((x["kind"], x["bucket"], x["found"]) for x in found.to_pylist())
+        values = [np.concatenate([np.frombuffer(zlib.decompress(f), np.int64) for kind, _, f in parts if kind == own])[np.unique(c.keys(own), return_inverse=True)[1]] for own in ORDERS]
+        return pa.Table.from_batches([scorer(c, *values)])
+
+    asks = table.select("chunk", "held", "lengths", "tokens").mapInArrow(ask, "kind int, bucket long, chunk long, keys binary")
+    keys = ["kind", "bucket"]
+    found = asks.groupBy(keys).cogroup(built.select(*keys, "data", "extra").groupBy(keys)).applyInArrow(answer, "chunk long, kind int, bucket long, found binary")
+    return table.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(end, SCORES)

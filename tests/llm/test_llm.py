@@ -5,14 +5,16 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, toxicity, url_rules
+from safesight.llm import bpe, common, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, toxicity, url_rules
 from safesight.llm import queries as q
 from safesight.llm.common import components
 
@@ -389,34 +391,67 @@ def test_components(spark):
 
 
 def test_language_model(spark, docs, odd):
-    rows = [(i, t) for i, t in texts(docs).items()] + [(10_000 + i, t) for i, t in ODD]
+    rows = [(i, t) for i, t in texts(docs).items()] + [(10_000 + i, t) for i, t in ODD] + [(20_000, "end of " * 400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
     got = {r.doc_id: r for r in language_model.score(df, "held").collect()}
     streams = {i: [*words(t), 0] for i, t in rows}
     learned = [w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [streams[i]]]
-    c, pairs = collections.Counter(), collections.Counter()
+    c, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
     for s in learned:
         c.update(s)
         pairs.update(zip([1, *s[:-1]], s))
+        triples.update(zip([1, 1, *s[:-2]], [1, *s[:-1]], s))
     n, v = sum(c.values()), len(c)
+
+    def level(x):
+        return 0 if not x else 1 + math.floor(math.log(x) / math.log(1.5) + 1e-9)
+
+    low = lambda x: math.ceil(1.5 ** (level(x) - 1) - 1e-9) if x else 0
+    high = lambda x: max(low(x), math.ceil(1.5 ** level(x) - 1e-9) - 1) if x else 0
     off = total = 0
     for i, s in streams.items():
         p = [(c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in s]
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s), sum(c[w] > 0 for w in s), n)
         assert math.isclose(r.base_score, sum(map(math.log10, p)), rel_tol=1e-9)
-        of = [len(learned) if u == 1 else c[u] for u in [1, *s[:-1]]]
-        exact = sum(math.log10(0.2 * pairs[u, w] / k + 0.8 * x if k else x) for u, w, x, k in zip([1, *s[:-1]], s, p, of))
+        exact = 0
+        for x, w, u, t in zip(p, s, [1, *s[:-1]], [1, 1, *s[:-2]]):
+            k = len(learned) if u == 1 else c[u]
+            x = 0.2 * min(low(pairs[u, w]), k) / k + 0.8 * x if k else x
+            k = high(pairs[t, u]) if u != 1 else 0
+            exact += math.log10(0.2 * min(low(triples[t, u, w]), k) / k + 0.8 * x if k else x)
         off += abs(r.score - exact)
         total += len(s)
-    assert off / total < 0.05
+    assert off / total < 0.02
     held = [r for r in got.values() if r.held_out and r.doc_id < 10_000]
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
-    small = {r.doc_id: r.score for r in language_model.score(df, "held", shard_bytes=1, piece_bytes=1).collect()}
-    assert all(math.isclose(small[i], got[i].score) for i in small)
+    for way in ({"shard_bytes": 1}, {"piece_bytes": 1}):
+        small = {r.doc_id: r.score for r in language_model.score(df, "held", **way).collect()}
+        assert set(small) == set(got) and all(math.isclose(small[i], got[i].score) for i in small)
     assert language_model.score(df.limit(0), "held").count() == 0
     none = language_model.score(df.withColumn("held", F.lit(True)), "held").where("n_known > 0 or train_tokens > 0")
     assert none.count() == 0
+    nulls = language_model.score(df.limit(3).withColumn("doc_id", F.lit(None).cast("long")).withColumn("held", F.lit(None).cast("boolean")), "held").collect()
+    assert len(nulls) == 3 and all(r.doc_id is None and not r.held_out for r in nulls)
+
+
+def test_language_model_over_many_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", 5_000)
+    df = docs.withColumn("held", F.col("doc_id") % 10 == 0)
+    a, b = ({r.doc_id: r for r in language_model.score(df, "held", **way).collect()} for way in ({}, {"shard_bytes": 1}))
+    assert len(a) == docs.count() and all(math.isclose(a[i].score, b[i].score) and a[i].n_known == b[i].n_known for i in a)
+
+
+def test_word_hashes():
+    rnd = random.Random(1)
+    rows = [None, "", " \n", "a", "A b,c ..x.. --", " tail\x0b", "é ÀB", "x" * 3_000_000 + " y"] + ["".join(rnd.choice("abAB .,-\n\x1cé") for _ in range(rnd.randrange(60))) for _ in range(500)]
+    for strip in (False, True):
+        want = [words(t) if not strip else [x for w in words(t) if (x := w.strip(string.punctuation))] for t in rows]
+        hashes, sizes = common.word_hashes(pa.array(rows), strip)
+        assert sizes.tolist() == [len(w) for w in want]
+        seen = dict(zip((x for w in want for x in w), hashes.tolist()))
+        assert [seen[x] for w in want for x in w] == hashes.tolist() and len(set(seen.values())) == len(seen)
 
 
 # pipeline
