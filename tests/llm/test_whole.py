@@ -68,14 +68,44 @@ def test_pipeline_drops_scattered_edits(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
-def test_leaks_after_deletions_at_the_end():
+def test_recall_after_deletions_of_all_sizes():
     rng = np.random.default_rng(7)
-    items = [(i, [b"w%d" % w for w in rng.integers(0, 50_000, n)]) for i, n in enumerate([8, 16, 30, 45, 59, 100] * 20)]
+    sizes = [5, 8, 16, 30, 45, 47, 48, 59, 100, 150, 250, 400]
+    items = [(i, rng.integers(0, 1 << 62, n).astype(np.uint64)) for i, n in enumerate(sizes * 25)]
     own = decontaminate.Items(items, 0.2, 0.99, 5)
     docs = []
-    for w in own.words:
+    for i, (_, w) in enumerate(items):  # at a text's end, or before other words
         gone = rng.choice(len(w), int(0.2 * len(w)), replace=False)
-        docs.append(np.concatenate([np.full(rng.integers(0, 30), -1), np.delete(w, gone)]))
-    found = {(d, i) for d, i, *_ in own.leaks(docs)}
-    share = len(found & {(i, i) for i in range(len(docs))}) / len(docs)
-    assert share >= 0.98, share
+        parts = [rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64), np.delete(w, gone), rng.integers(0, 1 << 62, 40 * (i % 2)).astype(np.uint64)]
+        docs.append(np.concatenate(parts))
+    found = list(own.leaks(np.concatenate(docs), np.array([len(d) for d in docs])))
+    assert all(d == i and distance <= 0.2 * len(items[i][1]) for d, i, distance, *_ in found)
+    hit = {d for d, *_ in found}
+    for at, n in enumerate(sizes):
+        share = sum(i in hit for i in range(at, len(items), len(sizes))) / 25
+        assert share >= 0.92, (n, share)
+    assert len(hit) >= 0.98 * len(items), len(hit) / len(items)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, [f"w{w}" for w in rng.integers(0, 60, n)]) for i, n in enumerate([6, 9, 15, 25, 50] * 3)]
+    rows = []
+    for d in range(60):
+        w = list(items[d % 15][1])
+        for _ in range(int(rng.integers(0, len(w) // 3 + 1))):
+            w[rng.integers(0, len(w))] = f"w{rng.integers(0, 60)}"
+        rows.append((d, " ".join([f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 20))] + w + ["w1"])))
+
+    def least(a, b):  # of a to a run of b
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[j] + 1, old[j + 1] + 1, old[j] + (x != y)))
+        return min(row)
+
+    want = {(d, i): k for d, t in rows for i, w in items if (k := least(w, t.split())) <= len(w) // 5}
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.distance for r in found}
+    assert got.items() <= want.items() and len(got) >= 0.97 * len(want) and len(want) > 20
