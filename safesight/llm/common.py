@@ -19,6 +19,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: A worker's word cache is emptied at this many entries (some 20 MB), and keeps no word over so many bytes.
 CACHE_WORDS, CACHE_BYTES = 150_000, 64
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: Rows and bytes of texts that a worker takes from a batch at a time (one longer text is alone).
 PART_ROWS, PART_BYTES = 500, 4 << 20
 
@@ -28,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_texts(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Columns of docs for a Python stage: its Arrow batches get BATCH_ROWS rows at most from here on, as whole texts are long."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.select(*columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     sc = spark.sparkContext

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import in_parts, mix, word_hashes
+from safesight.llm.common import in_parts, mix, whole_texts, word_hashes
 
 PIECE = 24
 SAMPLE = 4
@@ -242,7 +242,7 @@ def _items(name: str, *given) -> Items:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, min_words: int = 5, part_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it leaks: ids, distance (word edits), first_word, end_word of its best match."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = whole_texts(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     schema = f"{id_col} long, {item_col} long, distance int, first_word long, end_word long"
 

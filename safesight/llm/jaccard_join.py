@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.llm.common import by_ids, components, cut, discard, in_parts, per_text, shingle_set, table_path, word_hashes, written
+from safesight.llm.common import by_ids, components, cut, discard, in_parts, per_text, shingle_set, table_path, whole_texts, word_hashes, written
 
 CELLS = 1 << 22
 SLICES = 64
@@ -139,7 +139,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = whole_texts(docs, F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     every = written(_prefixes(texts, n, percent))
     reps = every.where("size > 0").groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     base = (F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1).cast("int")

@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import in_parts, mix, word_hashes, written
+from safesight.llm.common import in_parts, mix, whole_texts, word_hashes, written
 
 END, START = np.uint64(0x5E4D), np.uint64(0x57A7)  # words have scrambled hashes
 ADD = 0.1
 #: Texts are worked on together up to about this many tokens (one longer text is alone).
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 300_000
 #: Bytes of text per bucket.
 BUCKET_BYTES = 8 << 20
 #: Words, pairs and triples.
@@ -253,12 +253,12 @@ def asked(c: Chunk, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return keys, at, edges_of(keys, bits)
 
 
-def score(docs: DataFrame, held_out: str, share: float = 0.2, share3: float = 0.2, base: float = 1.5, bits_per_key: float = 10.0, k: int = 5, shard_bytes: int = 256 << 20, piece_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: str, share: float = 0.2, share3: float = 0.2, base: float = 2.0, bits_per_key: float = 8.0, k: int = 5, shard_bytes: int = 256 << 20, piece_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of its probability).
 
     held_out: name of a boolean column; rows where it is true are not learned from.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_out).alias("held"), F.col(text_col).cast("string").alias("text"))
+    texts = whole_texts(docs, F.col(id_col).cast("long").alias("id"), F.col(held_out).alias("held"), F.col(text_col).cast("string").alias("text"))
     size, n_texts = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.coalesce("held", F.lit(False)))).first()
     bits = max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     built = written(build(count_by_bucket(texts, bits), base, bits_per_key, k))

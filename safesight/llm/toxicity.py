@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words of letters. A term's weight in a text is (1 + log
+Terms are the words, lower-cased (A-Z) and without ASCII punctuation at their ends. A term's weight in a text is (1 + log
 tf) x idf x rf: idf = log(1 + n / df), and the relevance frequency of Lan et al.
 (2009), rf = log2(2 + odds), where odds compares how often the term occurs in label
 1 and label 0. All frequencies count every training row. Plain TF-IDF without rf
@@ -24,55 +24,36 @@ example's id as the smallest. Without any training row, every score is 0.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import CACHE_BYTES, CACHE_WORDS, in_parts, written
+from safesight.llm.common import in_parts, per_text, whole_texts, word_hashes, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Labels up to this many rows are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: The vocabulary is dealt in so many parts where its counts are summed.
 SLICES = 32
 
 
-def counts(text: str | None) -> Counter:
-    """Words and how often they occur."""
-    return Counter(LETTERS.findall((text or "").lower()))
+def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of each text's different words, and how often they occur."""
+    for words in per_text(*word_hashes(texts, strip=True)):
+        words = np.sort(words)
+        edge = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+        yield words[edge], np.diff(np.append(edge, len(words)))
 
 
-class Places(dict):
-    """Word to its place in a sorted vocabulary of 64-bit hashes; -1 elsewhere."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> int:
-        raw = word.encode("utf-8", "surrogatepass")
-        key = np.uint64(xxhash.xxh3_64_intdigest(raw))
-        at = int(np.searchsorted(self.vocabulary, key))
-        found = at if at < len(self.vocabulary) and self.vocabulary[at] == key else -1
-        if len(raw) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text's known words, and how often they occur."""
-        found = counts(text)
-        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        n = np.fromiter(found.values(), np.float64, len(found))
-        return at[at >= 0], n[at >= 0]
+def known(vocabulary: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of those words that a sorted vocabulary has, and their counts."""
+    at = np.searchsorted(vocabulary, keys)
+    has = vocabulary[np.minimum(at, len(vocabulary) - 1)] == keys if len(vocabulary) else np.zeros(len(keys), bool)
+    return at[has], n[has].astype(np.float64)
 
 
 class Model(NamedTuple):
@@ -186,11 +167,11 @@ def _frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
     size = -(-(len(vocabulary) + 1) // SLICES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, seen = Places(shared.value), np.zeros((2, size * SLICES), np.uint32)
+        seen = np.zeros((2, size * SLICES), np.uint32)
         for batch in in_parts(batches):
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+            for bag, label in zip(bags(batch.column("text")), batch.column("label").to_pylist()):
                 own = seen[int(label != 0)]
-                own[places.of(text.as_py())[0]] += 1
+                own[known(shared.value, *bag)[0]] += 1
                 own[-1] += 1  # no term's place: all rows
         parts = [zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in np.split(seen, SLICES, axis=1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "seen"])
@@ -211,20 +192,19 @@ def _frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
     return total[0, : len(vocabulary)], total[1, : len(vocabulary)], int(total[0, -1]), int(total[1, -1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 2_000_000, k: int = 21, block: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, max_terms: int = 2_000_000, k: int = 21, block: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on the rows of docs that labels (id, label 0/1) covers."""
     spark = docs.sparkSession
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    labelled = texts.join(F.broadcast(known) if few else known, "id")
+    given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    few = given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = whole_texts(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(given) if few else given, "id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            own = [counts(t.as_py()) for t in batch.column("text")]
-            keys = [b"".join(xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))[::-1] for w in c) for c in own]
-            n = [np.fromiter(c.values(), np.uint32, len(c)).tobytes() for c in own]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("h"), batch.column("label"), pa.array(map(len, own), pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], ["id", "h", "label", "size", "keys", "n"])
+            own = list(bags(batch.column("text")))
+            sizes, keys, n = zip(*((len(k), k.tobytes(), n.astype(np.uint32).tobytes()) for k, n in own))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("h"), batch.column("label"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], ["id", "h", "label", "size", "keys", "n"])
 
     sample = labelled.select("id", "label").distinct().select("id", "label", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_examples)
     drawn = texts.join(F.broadcast(sample), "id").groupBy("id", "h", "label").agg(F.min("text").alias("text"))
@@ -262,11 +242,10 @@ def score(docs: DataFrame, model: Model, evidence: bool = False, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        places = Places(m.vocabulary)
         for batch in in_parts(batches):
             made, shown = [], []
-            for text in batch.column(1):
-                raw, best, cosine = vote(m, *places.of(text.as_py()))
+            for bag in bags(batch.column(1)):
+                raw, best, cosine = vote(m, *known(m.vocabulary, *bag))
                 made.append(float(np.interp(raw, m.steps, m.chances)) if len(best) else raw)
                 if evidence:
                     shown.append([{"id": m.ids[i], "label": int(m.labels[i]), "cosine": float(c)} for i, c in zip(best, cosine)])
@@ -277,4 +256,4 @@ def score(docs: DataFrame, model: Model, evidence: bool = False, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, score double" + ", evidence array<struct<id:string,label:int,cosine:double>>" * evidence
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return whole_texts(docs, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
