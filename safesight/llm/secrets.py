@@ -36,27 +36,57 @@ KINDS = ("assign", "access", "hex", "model")
 RUN = r"(?=[0-9]*[A-Za-z+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
+LEAST = -2147483647
+
+#: Code points of the blocks that redaction cuts a text into.
+CUT = 256
+
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once and not wherever of names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _running(values: Column, step, zero: int) -> Column:
+    """What step makes of all values before each place, in blocks of about the root of their number (no array grows by one value a time)."""
+    fold = lambda x: F.aggregate(x, F.lit(zero), step)
+
+    def blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+
+    def joined(own: Column) -> Column:
+        totals = F.transform(own, fold)
+        before = _let(totals, lambda t: F.transform(t, lambda _, k: fold(F.slice(t, 1, k))))
+        inner = lambda x, b: F.transform(x, lambda _, i: step(b, fold(F.slice(x, 1, i))))
+        return F.flatten(F.zip_with(own, before, inner))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(blocks(v), joined)).otherwise(F.array().cast("array<int>")))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """All leftmost non-overlapping matches as spans.
 
     split() gives the pieces between the matches: lengths of pieces and matches
     add up to the positions.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pieces = F.split(text, pattern, -1)
-    steps = F.arrays_zip(found.alias("m"), F.transform(pieces, F.length).alias("p"))
-    acc = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    def spans(steps: Column) -> Column:
+        at = _running(F.transform(steps, lambda x: x["p"] + F.length(x["m"])), _add, 0)
+        return F.zip_with(steps, at, lambda x, a: F.struct((a + x["p"]).alias("start"), F.lit(kind).alias("kind"), (a + x["p"] + F.length(x["m"])).alias("stop"), x["m"].alias("value")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["p"]
-        stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["m"].alias("value")))).alias("out"))
-
-    spans = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), acc, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    steps = F.zip_with(found, F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("p")))
+    return F.when(text.rlike(pattern), _let(F.filter(steps, lambda x: x["m"].isNotNull()), spans)).otherwise(F.array().cast(SPAN))
 
 
 def _base(text: Column) -> Column:
@@ -69,7 +99,16 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, base spans and the candidate runs that don't touch them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text")).select("row", "id", "text", _base(F.col("text")).alias("base"), _matches(F.col("text"), RUN, 3).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
+    # a run is free if base spans that start before it stop by its start, and those after it start at its end or later
+    def apart(both: Column) -> Column:
+        stop = _running(F.transform(both, lambda x: F.when(x["kind"] < 3, x["stop"]).otherwise(0)), _larger, 0)
+        start = F.transform(both, lambda x: F.when(x["kind"] < 3, -x["start"]).otherwise(LEAST))
+        after = F.reverse(_running(F.reverse(start), _larger, LEAST))
+        near = F.zip_with(stop, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        own = lambda x, n: F.when((x["kind"] == 3) & (n["b"] <= x["start"]) & (-n["a"] >= x["stop"]), x)
+        return F.filter(F.zip_with(both, near, own), lambda x: x.isNotNull())
+
+    free = F.when((F.size("base") > 0) & (F.size("runs") > 0), _let(F.array_sort(F.concat("base", "runs")), apart)).otherwise(F.col("runs"))
     return found.select("row", "id", "text", "base", free.alias("runs"))
 
 
@@ -78,22 +117,32 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     1: values that rules matched, and per document the base64 digest of its first
     ordinary run (a random string by construction, of the whole alphabet). 0: all
-    other long runs without digits.
+    other long runs without digits, and per document its first one as constants, paths
+    and time stamps write it (capitals, separators, numbers).
     """
     found = _prepared(docs, id_col, text_col)
     secret = F.transform("base", lambda b: F.struct(F.when(b["kind"] == 0, F.regexp_extract(b["value"], ASSIGN, 2)).otherwise(b["value"]).alias("value"), F.lit(1).alias("label")))
     plain = F.transform(F.filter("runs", lambda r: ~r["value"].rlike("[0-9]")), lambda r: F.struct(r["value"].alias("value"), F.lit(0).alias("label")))
     drawn = F.transform(F.slice(plain, 1, 1), lambda p: F.struct(F.rtrim(F.base64(F.unhex(F.sha2(p["value"], 256))), F.lit("=")).alias("value"), F.lit(1).alias("label")))
-    return found.select(F.explode(F.concat(secret, plain, drawn)).alias("s")).select("s.value", "s.label")
+    def dressed(p: Column) -> Column:
+        value, word = p["value"], F.substring(p["value"], 1, 8)
+        clock = F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64(value), F.lit(1_900_000_000))), "yyyy-MM-dd'T'HH-mm-ss")
+        number = F.pmod(F.xxhash64(value, F.lit(1)), F.lit(10_000)).cast("string")
+        shown = [F.concat_ws("_", F.upper(value), F.upper(word), number), F.concat_ws("/", word, F.lower(value), F.substring(clock, 1, 4), F.concat(word, F.lit("-"), number)), clock, F.concat(clock, F.lit("_"), word), F.concat(word, F.lpad(number, 16, "0"))]
+        return F.array(*(F.struct(x.alias("value"), F.lit(0).alias("label")) for x in shown))
 
+    ordinary = F.flatten(F.transform(F.slice(plain, 1, 1), dressed))
+    return found.select(F.explode(F.concat(secret, plain, drawn, ordinary)).alias("s")).select("s.value", "s.label")
 
-def train(labelled: DataFrame, weight: float = 5.0, add: float = 0.5) -> list[float]:
+
+def train(labelled: DataFrame, weight: float = 5.0, add: float = 0.5, ruler: int = 20) -> list[float]:
     """Log-likelihood ratios of character pairs, row by row of the alphabet.
 
     labelled: value string, label 1 (random string) or 0 (ordinary). Counts cover
     all samples. P(b | a) = (count(ab) + weight x P(b)) / (count(a) + weight) with
     add-``add`` P(b), so that a row that was never seen falls back to how common b
-    is. A side without samples has a uniform model. At most 2 x 67 x 67 counts reach the driver.
+    is. Ordinary samples count as joined by a ruler of each character (that pair
+    ``ruler`` times), as masks and lines are drawn. A side without samples has a uniform model. At most 2 x 67 x 67 counts reach the driver.
     """
     pairs = F.expr("transform(sequence(1, greatest(length(value) - 1, 1)), i -> substring(value, i, 2))")
     counted = labelled.where(F.length("value") > 1).select("label", F.explode(pairs).alias("pair")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("label", "pair").count().collect()
@@ -101,6 +150,8 @@ def train(labelled: DataFrame, weight: float = 5.0, add: float = 0.5) -> list[fl
     model = []
     for label in (0, 1):
         counts = {r["pair"]: r["count"] for r in counted if r["label"] == label}
+        for a in ALPHABET * (label == 0):
+            counts[a + a] = counts.get(a + a, 0) + ruler
         rows = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
         total = sum(rows.values())
         single = {b: (sum(counts.get(a + b, 0) for a in ALPHABET) + add) / (total + add * k) for b in ALPHABET}
@@ -142,13 +193,20 @@ def digests(docs: DataFrame, ratios: list[float] | None = None, id_col: str = "d
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ratios: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every secret in the text replaced by the mark (overlapping spans by one); other columns stay."""
-    acc = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # spans merge where they overlap: each begins a gap's end unless an earlier one reaches over its start
+    reach = _running(F.transform("spans", lambda x: x["stop"]), _larger, 0)
+    gaps = F.filter(F.zip_with("spans", reach, lambda x, r: F.struct(r.alias("from"), x["start"].alias("to"))), lambda g: g["to"] >= g["from"])
+    blocks = F.regexp_extract_all("text", F.lit(f"((?s).{{1,{CUT}}})"), F.lit(1))
+    end = F.struct(F.array_max(F.transform("spans", lambda x: x["stop"])).alias("from"), F.length("text").alias("to"))
+
+    def cleaned(blocks: Column) -> Column:
+        def cut(g: Column) -> Column:
+            first, last = F.floor(g["from"] / CUT).cast("int"), F.floor((g["to"] - 1) / CUT).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+            return F.when(g["to"] > g["from"], F.substring(near, g["from"] - first * CUT + 1, g["to"] - g["from"])).otherwise(F.lit(""))
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], between).otherwise(F.lit(""))).alias("out"))
+        return F.array_join(F.concat(F.transform(gaps, lambda g: F.concat(cut(g), F.lit(mark))), F.transform(F.array(end), cut)), "")
 
-    rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    new = F.when(F.size("spans") > 0, F.aggregate("spans", acc, step, rest)).otherwise(F.col("row").getField(text_col))
+    new = F.when(F.size("spans") > 0, _let(blocks, cleaned)).otherwise(F.col("row").getField(text_col))
     columns = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return scan(docs, ratios, id_col=id_col, text_col=text_col).select(*columns)

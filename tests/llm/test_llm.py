@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +73,32 @@ def test_secrets_against_rules(spark):
     assert all(not brute_base(t) for t in clean.values())
 
 
+def test_secret_models_judge_text(spark):
+    """Ordinary names, dates and paths stay; random strings that no rule covers are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.train(secrets.samples(docs))
+    plain = ["2024-01-15T10-30-00", "SELECT_ORDER_STATUS_FROM_TABLE", "www/static/img/2020/photo-01", "customer0123456789012345", "x" * 40, "an_ordinary_identifier_name", "internationalization-of-names"]
+    rnd = random.Random(3)
+    letters = secrets.ALPHABET[:62]
+    drawn = ["".join(rnd.choice(letters) for _ in range(32)) for _ in range(60)]
+    rows = [(i, f"say {v} now") for i, v in enumerate(plain + drawn)]
+    got = {r.id: [s.value for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    assert not any(got[i] for i in range(len(plain))), {plain[i]: got[i] for i in range(len(plain)) if got[i]}
+    assert sum(got[i] == [v] for i, v in enumerate(drawn, len(plain))) >= 57
+
+
+def test_secrets_of_a_long_text(spark):
+    """Time grows little faster than the number of matches."""
+    digest = hashlib.md5(b"x").hexdigest()
+    text = " ".join(f"{digest} word" for _ in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ratios = secrets.train(df.selectExpr("text as value", "1 as label").limit(0))
+    began = time.time()
+    assert secrets.digests(df, ratios).first().n_hex == 16_000
+    assert secrets.redact(df, ratios=ratios).first().text == " ".join(["[SECRET] word"] * 16_000)
+    assert time.time() - began < 60
+
+
 def test_secret_query(spark, sf, docs, odd):
     for r in q.op1_secret_scan(spark, sf).join(docs, "doc_id").collect():
         spans = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(r.text))
