@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from safesight.llm import bpe, decontaminate, jaccard_join, secrets, toxicity
-from safesight.llm.common import by_ids, cut, table, written
+from safesight.llm.common import by_ids, cut, discard, table, table_path, written
 from safesight.llm.queries import TOXIC_FROM, toxicity_model
 
 
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents; a stage's table goes when the next one is written."""
+    docs, done = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = table_path(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if done:
+            discard(spark, done)
+        done = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
