@@ -28,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -256,7 +257,8 @@ def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5, id_col
     low = nodes.where((F.col("pages") >= min_pages) & F.col("content").isNotNull() & (composite < threshold))
     # one row per host: its unimportant style nodes (as many as the site's templates have)
     low = cut(low.groupBy("host").agg(F.collect_list("node").alias("low")))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^.*?://([^/?#]*)", 1)).alias("host")
+    # as split_url has it: only A-Z are lower-cased
+    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase).alias("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -103,6 +103,22 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
+#: URLs that run side by side, and the characters that they are padded to together.
+LANES, LANE_BYTES = 512, 1 << 20
+
+
+def of_like_length(texts: list[bytes]) -> Iterator[list[int]]:
+    """Places of the texts, shortest first, in runs whose padding stays small; a very long one is alone."""
+    rows: list[int] = []
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if rows and (len(rows) == LANES or (len(rows) + 1) * len(texts[i]) > LANE_BYTES or len(texts[i]) > 2 * len(texts[rows[0]]) + 64):
+            yield rows
+            rows = []
+        rows.append(i)
+    if rows:
+        yield rows
+
+
 def judge(pages: DataFrame, rules: list[Rule], otherwise: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits), verdict, glob.
 
@@ -118,10 +134,9 @@ def judge(pages: DataFrame, rules: list[Rule], otherwise: list[Rule], default: s
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             found = np.zeros((len(parts), len(every)), bool)
-            by_length = sorted(range(len(parts)), key=lambda i: len(parts[i][1]))
-            for k in range(0, len(parts), 512):  # of like length, so that one long URL pads few others
-                rows = by_length[k : k + 512]
-                found[rows] = machine.fits([f".{h}{p}".encode("utf-8", "replace") if h or p else b"" for h, p in (parts[i] for i in rows)])
+            canonical = [f".{h}{p}".encode("utf-8", "replace") if h or p else b"" for h, p in parts]
+            for rows in of_like_length(canonical):
+                found[rows] = machine.fits([canonical[i] for i in rows])
             scored = found * weight
             own, other = scored[:, :n], scored[:, n:]
             best, rest = own.argmax(1) if n else np.zeros(len(parts), int), other.argmax(1) if len(every) > n else np.zeros(len(parts), int)

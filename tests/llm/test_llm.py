@@ -138,6 +138,16 @@ def test_urls(spark):
     assert got[13].verdict == "block" and got[15].verdict == "allow" and got[3].verdict == "allow"
 
 
+def test_urls_of_any_length(spark):
+    texts_ = [b"a" * n for n in (0, 3, 200_000, 5, 70, 3_000_000, 1)] * 3
+    runs = list(url_rules.of_like_length(texts_))
+    assert sorted(i for r in runs for i in r) == list(range(len(texts_)))
+    assert all(len(r) == 1 or len(r) * max(len(texts_[i]) for i in r) <= url_rules.LANE_BYTES for r in runs)
+    df = spark.createDataFrame([(1, "http://x.net/es/" + "y" * 20_000), (2, "http://x.net/de/")], "page_id long, url string")
+    assert {r.page_id: r.rule for r in url_rules.judge(df, url_rules.QUERY_RULES, url_rules.QUERY_GLOBS).collect()} == {1: "net/es/", 2: None}
+    assert url_rules.judge(df.limit(0), url_rules.QUERY_RULES, url_rules.QUERY_GLOBS).count() == 0
+
+
 def test_automaton_against_regex():
     rnd = random.Random(5)
     globs = ["".join(rnd.choice("ab/*~") for _ in range(rnd.randrange(1, 9))) for _ in range(120)]
@@ -191,7 +201,7 @@ def test_main_text(spark):
 
 def test_site_style_drops_what_repeats(spark):
     same = "<div class='strip'><p>Same words on every page</p></div>"
-    rows = [(i, f"http://s.com/{i}", f"<body>{same}<div class='body'>" + "".join(f"<p>Text {i} {k}</p>" for k in range(i % 5 + 1)) + "</div></body>") for i in range(40)]
+    rows = [(i, f"http://ÜS.com/{i}", f"<body>{same}<div class='body'>" + "".join(f"<p>Text {i} {k}</p>" for k in range(i % 5 + 1)) + "</div></body>") for i in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in site_style.extract(df).collect()}
     assert all("Same words" not in t and t.startswith(f"Text {i} 0") for i, t in got.items())
