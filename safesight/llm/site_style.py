@@ -31,6 +31,8 @@ import re
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -56,7 +58,12 @@ BRANCHES = frozenset("details div dl ol section ul".split())
 P_ENDS = BLOCK  # a p is closed by any of these
 SAME_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TOKEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: What follows a tag's name: up to the first > outside quotes, or the first > of all.
+QUOTED = re.compile(r"""((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
+PLAIN = re.compile(r"([^>]*)>")
+#: Elements nested deeper count as part of the one at this depth (browsers limit their trees alike); no text is lost.
+DEEPEST = 256
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
 
@@ -83,28 +90,51 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...], bool]] = []  # tag, style, named parts, those around the article, article
     talk: list[bool] = []  # of each named part
     held: list[str] = []
+    path: tuple[str, ...] | None = None  # of the stack, once a block has asked for it
 
     def flush() -> None:
+        nonlocal path
         text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
         held.clear()
         if text:
             top = stack[-1] if stack else ("", "", (), (), False)
-            out.append((tuple(s for t, s, *_ in stack if t in BLOCK), *top[2:], text))
+            if path is None:
+                path = tuple(s for t, s, *_ in stack if t in BLOCK)
+            out.append((path, *top[2:], text))
 
     def close(k: int) -> None:
+        nonlocal path
         if any(t in BLOCK for t, *_ in stack[k:]):
             flush()
         del stack[k:]
+        path = None
 
     page, at = page or "", 0
+    last, rest = page.rfind(">"), QUOTED
+    deeper: dict[str, int] = defaultdict(int)
     while m := TOKEN.search(page, at):
-        if not (stack and stack[-1][0] in RAW):
+        if m[0] == "<!--":
             held.append(page[at : m.start()])
-        at = m.end()
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if m.start() > last:
+            break  # no tag ends from here on
+        held.append(page[at : m.start()])
+        inner = (rest if m[2] else PLAIN).match(page, m.end())
+        if inner is None:  # a quote is never closed: from here on quotes mean nothing, so that no tag is scanned to the end again
+            rest = PLAIN
+            inner = rest.match(page, m.end())
+        at = inner.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                if tag in BLOCK:
+                    flush()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -133,9 +163,16 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] in SAME_ENDS[tag] or stack[k][0] == "table":
                     break
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or inner[1].rstrip().endswith("/"):
+            continue
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if len(stack) >= DEEPEST:
+            deeper[tag] += 1
             continue
-        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
+        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(inner[1])} if inner[1] else {}
         parts, around, article = stack[-1][2:] if stack else ((), (), False)
         style = tag + "".join("." + c for c in sorted(set(attributes.get("class", "").lower().split())))
         if tag in ARTICLES and not article:
@@ -144,12 +181,8 @@ def blocks(page: str | None) -> list[Block]:
             parts += (len(talk),)
             talk.append(not TALK_NAMES.isdisjoint((attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()))
         stack.append((tag, style, parts, around, article))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
-    if not (stack and stack[-1][0] in RAW):
-        held.append(page[at:])
+        path = None
+    held.append(page[at:])
     flush()
     wrappers = _wrappers(out, talk)
     return [Block(path, not wrappers.issuperset(parts), article, text) for path, parts, _, article, text in out]
@@ -170,6 +203,7 @@ def _wrappers(found: list[tuple], talk: list[bool]) -> set[int]:
     return {p for p in range(len(talk)) if 2 * around[p] > marked or (within[p] == total if talk[p] else 2 * within[p] > total)}
 
 
+@lru_cache(1024)
 def _branches(path: tuple[str, ...]) -> list[int]:
     """Lengths of the path at the branches inside an article that entropies judge."""
     tags = [s.split(".", 1)[0] for s in path]
@@ -177,8 +211,10 @@ def _branches(path: tuple[str, ...]) -> list[int]:
     return [k + 1 for k in range(first + 1, len(tags)) if tags[k] in BRANCHES]
 
 
-def _key(path: tuple[str, ...]) -> int:
-    return xxhash.xxh3_64_intdigest("/".join(path)) - (1 << 63)
+@lru_cache(1024)
+def _keys(path: tuple[str, ...]) -> tuple[int, ...]:
+    """The keys of the style nodes from the root down the path; each follows from the one above."""
+    return tuple(accumulate(path, lambda key, style: _hash(f"{key} {style}"), initial=0))
 
 
 def _hash(text: str) -> int:
@@ -197,17 +233,18 @@ def observe(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
             seen: dict[tuple[str, int, int, int], int] = defaultdict(int)
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 host = split_url(url)[0]
-                children: dict[tuple[str, ...], list[str]] = defaultdict(list)
+                children: dict[int, int] = defaultdict(int)  # of each node, a running hash of its sequence of children
                 own = set()
                 for b in blocks(page.as_py()):
-                    for k in range(len(b.path)):
-                        children[b.path[:k]].append(b.path[k])
-                    for path in {b.path, *(b.path[:k] for k in _branches(b.path))}:
-                        own.add((host, _key(path), 2, _hash(b.text)))
-                    children[b.path]  # a leaf has no children
-                for path, found in children.items():
-                    own.add((host, _key(path), 0, 0))
-                    own.add((host, _key(path), 1, _hash("\n".join(found))))
+                    keys = _keys(b.path)
+                    for node, child in zip(keys, keys[1:]):
+                        children[node] = (children[node] * 0x9E3779B97F4A7C15 + child) % (1 << 64)
+                    children[keys[-1]]  # a leaf has no children
+                    for k in {len(b.path), *_branches(b.path)}:
+                        own.add((host, keys[k], 2, _hash(b.text)))
+                for node, found in children.items():
+                    own.add((host, node, 0, 0))
+                    own.add((host, node, 1, found - (1 << 63)))
                 for key in own:
                     seen[key] += 1
             columns = list(zip(*seen)) or [(), (), (), ()]
@@ -240,9 +277,11 @@ def kept(found: list[Block], low: set[int]) -> list[str]:
     """The texts of the blocks that stay."""
     if any(b.article and not b.noise for b in found):
         own = [b for b in found if b.article and not b.noise]
-        rest = [b for b in own if not any(_key(b.path[:k]) in low for k in _branches(b.path))]
+        rest = own
+        if low:
+            rest = [b for b in own if not (at := _branches(b.path)) or low.isdisjoint(map(_keys(b.path).__getitem__, at))]
         return [b.text for b in rest or own]
-    return [b.text for b in found if not b.noise and not any(_key(b.path[: k + 1]) in low for k in range(len(b.path)))]
+    return [b.text for b in found if not b.noise and (not low or low.isdisjoint(_keys(b.path)[1:]))]
 
 
 def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

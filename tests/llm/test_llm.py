@@ -207,6 +207,18 @@ def test_site_style_drops_what_repeats(spark):
     assert all("Same words" not in t and t.startswith(f"Text {i} 0") for i, t in got.items())
 
 
+def test_hostile_pages_take_seconds():
+    many = 100_000
+    deep = site_style.blocks("<article>" + "<div>" * many + "deep" + "</div>" * many + "<p>after</p></article><nav>menu</nav>")
+    assert [(b.text, b.article, b.noise) for b in deep] == [("deep", True, False), ("after", True, False), ("menu", False, True)]
+    start = time.time()
+    for part in ("<a ", '<a ">" ', "<!", "<li>x</b>", "<!-- ", "<div>x", "</p>"):
+        assert len(site_style.blocks(part * many)) <= many
+    assert time.time() - start < 60
+    assert [b.text for b in site_style.blocks("<p title=\"open>one</p><p class='b'>two <b>x</p> 1 < 2")] == ["one", "two x", "1 < 2"]
+    assert [b.text for b in site_style.blocks("<p title='a > b'>one</p>three <p")] == ["one", "three <p"]
+
+
 def test_main_text_of_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in q.op5_main_text(spark, sf).collect():
