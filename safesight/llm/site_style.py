@@ -284,11 +284,13 @@ def kept(found: list[Block], low: set[int]) -> list[str]:
     return [b.text for b in found if not b.noise and (not low or low.isdisjoint(_keys(b.path)[1:]))]
 
 
-def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5, broadcast_nodes: int = 1_000_000, salts: int = 32, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text.
 
     threshold: composite importance under which a style node's branch is dropped;
-    nodes on fewer than min_pages pages of their host are never judged.
+    nodes on fewer than min_pages pages of their host are never judged. Up to
+    broadcast_nodes nodes to drop (8 bytes each) go to the pages by broadcast;
+    more are joined by host, each host's pages dealt over that many salts.
     """
     clean = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     nodes = importance(observe(clean, "id", "url", "html"))
@@ -306,7 +308,13 @@ def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5, id_col
                 texts.append("\n".join(kept(blocks(page.as_py()), set(drop or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    joined = clean.select("id", "url", "html", host).join(low, "host", "left").select("id", "url", "html", "low")
+    own = clean.select("id", "url", "html", host)
+    if low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= broadcast_nodes:
+        joined = own.join(F.broadcast(low), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("id", F.octet_length("html")), F.lit(salts)).cast("int")
+        joined = own.withColumn("salt", salt).join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "salt"], "left")
+    joined = joined.select("id", "url", "html", "low")
     kind = pages.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
 

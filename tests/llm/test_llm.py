@@ -219,6 +219,15 @@ def test_hostile_pages_take_seconds():
     assert [b.text for b in site_style.blocks("<p title='a > b'>one</p>three <p")] == ["one", "three <p"]
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_site_style_inside_articles(spark, limit):
+    """Repeated branches of a marked article go, on a host of most pages too, by broadcast or by salted join."""
+    rows = [(i, f"http://hot.com/{i}" if i % 4 else f"http://b{i}.com/", f"<body><article><h1>Head {i}</h1><div class='box'><p>The same words</p></div><p>Own text {i}</p></article></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style.extract(df, broadcast_nodes=limit, salts=3).collect()}
+    assert got == {i: f"Head {i}\nOwn text {i}" if i % 4 else f"Head {i}\nThe same words\nOwn text {i}" for i in range(60)}
+
+
 def test_main_text_of_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in q.op5_main_text(spark, sf).collect():
