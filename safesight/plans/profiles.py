@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +54,28 @@ def compare_profiles(alerts: list[DataFrame], truth: DataFrame | None = None) ->
     return out if truth is None else out.join(truth.withColumnRenamed("n", "truth"), ["camera_id", "violation"], "full").na.fill(0, [*names, "truth"])
 
 
-def ablate(dets: DataFrame, tracking: bool = True, association: bool = True, engine: bool = True, seconds: float = 1.0) -> DataFrame:
-    """The three switches and the time threshold, for helmets alone."""
+def ablate(dets: DataFrame, tracking: bool = True, association: bool = True, engine: bool = True, seconds: float = 1.0, linked: DataFrame | None = None) -> DataFrame:
+    """The three switches and the time threshold, for helmets alone; linked: the person tracks, if there already."""
     if not association:
         alerts = profile_b(dets) if tracking else profile_a(dets)
         return alerts
-    persons = linked_tracks(dets) if tracking else dets.where("cls = 0").withColumn("track_id", F.col("det_id"))
+    persons = (linked_tracks(dets) if linked is None else linked) if tracking else dets.where("cls = 0").withColumn("track_id", F.col("det_id"))
     v = violations(frame_status(persons, associate(association_candidates(dets)))).where("violation = 'NO_HELMET'")
     if engine:
         return _alerts(rule_duration(v, seconds).withColumnRenamed("confirm_frame", "frame"), "ablation")
     return _alerts(v.where("flag").groupBy("run", "camera_id", "track_id", "violation").agg(F.min("frame").alias("frame")), "ablation")
 
 
+def ablation_table(dets: DataFrame, seconds: float = 1.0) -> DataFrame:
+    """Number of alerts under each of the eight settings of the switches; persons are linked once."""
+    out, linked = None, linked_tracks(dets)
+    for tracking, association, engine in product((True, False), repeat=3):
+        alerts = ablate(dets, tracking, association, engine, seconds, linked)
+        row = alerts.agg(F.count("*").alias("alerts")).select(F.lit(tracking).alias("tracking"), F.lit(association).alias("association"), F.lit(engine).alias("engine"), "alerts")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def confirmed(dets: DataFrame, persons: DataFrame, n: int = 5) -> DataFrame:
     """Rows at which the consecutive rule confirms."""
     return rule_consecutive(violations(status_of(dets, persons)), n)

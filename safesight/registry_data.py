@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from safesight.operators import dataset, evaluate, review, temporal, track
@@ -275,6 +277,8 @@ def _(spark, sf_dir):
 # profiles
 
 HEAD_LINKS, HEAD_TRACKS = (s.replace("cls = 0", "cls = 1") for s in (sql.LINKS, sql.TRACKS))
+# the same beside the tables of persons
+H_TRACKS = re.sub(r"\b(seen|sure|l[123]m?|l12|[es][23]|lnk|chain|trk)\b", r"h_\1", HEAD_LINKS + "," + HEAD_TRACKS)
 A = "SELECT 'A_yolo' AS profile, run, camera_id, det_id AS track_id, 'NO_HELMET' AS violation, frame FROM det WHERE cls = 1"
 B = "SELECT 'B_tracking' AS profile, run, camera_id, track_id, 'NO_HELMET' AS violation, min(frame) AS frame FROM trk GROUP BY ALL"
 C = "SELECT 'C_association' AS profile, run, camera_id, track_id, violation, min(frame) AS frame FROM vio WHERE flag GROUP BY ALL"
@@ -301,15 +305,15 @@ def _(spark, sf_dir):
     return profiles.profile_d(plan.detections(spark, sf_dir))
 
 
-@register("p5_compare_profiles", query(*sql.TRUE_EVENTS, f"al AS ({A} UNION ALL {C} UNION ALL {D})", """
-SELECT coalesce(p.camera_id, t.camera_id) AS camera_id, coalesce(p.violation, t.violation) AS violation, coalesce(a, 0) AS "A_yolo", 0::BIGINT AS "B_tracking", coalesce(c, 0) AS "C_association", coalesce(d, 0) AS "D_full_system", coalesce(n, 0) AS truth
-FROM (SELECT camera_id, violation, count(*) FILTER (profile = 'A_yolo') AS a, count(*) FILTER (profile = 'C_association') AS c, count(*) FILTER (profile = 'D_full_system') AS d FROM al GROUP BY ALL) p
+@register("p5_compare_profiles", query(*sql.TRUE_EVENTS, H_TRACKS, f"al AS ({A} UNION ALL {B.replace('FROM trk', 'FROM h_trk')} UNION ALL {C} UNION ALL {D})", """
+SELECT coalesce(p.camera_id, t.camera_id) AS camera_id, coalesce(p.violation, t.violation) AS violation, coalesce(a, 0) AS "A_yolo", coalesce(b, 0) AS "B_tracking", coalesce(c, 0) AS "C_association", coalesce(d, 0) AS "D_full_system", coalesce(n, 0) AS truth
+FROM (SELECT camera_id, violation, count(*) FILTER (profile = 'A_yolo') AS a, count(*) FILTER (profile = 'B_tracking') AS b, count(*) FILTER (profile = 'C_association') AS c, count(*) FILTER (profile = 'D_full_system') AS d FROM al GROUP BY ALL) p
 FULL JOIN (SELECT w // 5 AS camera_id, v AS violation, count(*) AS n FROM (SELECT DISTINCT w, 'NO_HELMET' AS v FROM wk WHERE w % 4 = 0 UNION ALL SELECT DISTINCT w, 'NO_VEST' FROM wk WHERE w % 6 = 1) GROUP BY ALL) t USING (camera_id, violation)"""))
 def _(spark, sf_dir):
     dets = plan.detections(spark, sf_dir)
     persons = plan.true_tracks(dets)
     truth = truth_events(spark, sf_dir).groupBy("camera_id", "violation").agg(F.count("*").alias("n"))
-    return profiles.compare_profiles([profiles.profile_a(dets), profiles.profile_c(dets, persons), profiles.profile_d(dets, persons)], truth)
+    return profiles.compare_profiles([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, persons), profiles.profile_d(dets, persons)], truth)
 
 
 @register("p6_ablate", query(*sql.LINKED_EVENTS[:8], "SELECT 'ablation' AS profile, run, camera_id, track_id, violation, min(frame) AS frame FROM runs WHERE violation = 'NO_HELMET' AND ts - first_ts >= 1000000 GROUP BY run, camera_id, track_id, violation, first_frame"))
@@ -317,6 +321,19 @@ def _(spark, sf_dir):
     return profiles.ablate(plan.detections(spark, sf_dir))
 
 
+@register("p6_ablation_table", query(*sql.LINKED_EVENTS[:8], H_TRACKS, "nv AS (SELECT * FROM vio WHERE flag AND violation = 'NO_HELMET')", """
+SELECT tracking, association, engine, CASE
+  WHEN NOT association AND NOT tracking THEN (SELECT count(*) FROM det WHERE cls = 1)
+  WHEN NOT association THEN (SELECT count(DISTINCT (run, camera_id, track_id)) FROM h_trk)
+  WHEN NOT tracking AND engine THEN 0
+  WHEN NOT tracking THEN (SELECT count(*) FROM nv)
+  WHEN NOT engine THEN (SELECT count(DISTINCT (run, camera_id, track_id)) FROM nv)
+  ELSE (SELECT count(DISTINCT (run, camera_id, track_id, first_frame)) FROM runs WHERE violation = 'NO_HELMET' AND ts - first_ts >= 1000000) END AS alerts
+FROM (VALUES (TRUE), (FALSE)) t(tracking), (VALUES (TRUE), (FALSE)) a(association), (VALUES (TRUE), (FALSE)) e(engine)"""))
+def _(spark, sf_dir):
+    return profiles.ablation_table(plan.detections(spark, sf_dir))
+
+
 # evaluation
 
 
@@ -352,16 +369,22 @@ def _(spark, sf_dir):
     return evaluate.detector_ap(_tiled(spark, sf_dir), truth)
 
 
+# the tracker sees sure boxes only, some of them 40 pixels beside the truth
+SEEN = sql.DET.replace("det AS (SELECT 'fixture'", "all_det AS (SELECT 'fixture'") + """,
+det AS (SELECT * REPLACE (x1 + sh AS x1, x2 + sh AS x2) FROM (SELECT *, CASE WHEN (det_id // 4 * 7 + frame) % 11 = 0 THEN 40.0 ELSE 0.0 END AS sh FROM all_det) WHERE conf >= 0.5)"""
 QUALITY = """
-sw AS (SELECT run, (track_id <> lag(track_id) OVER (PARTITION BY run, det_id // 160 ORDER BY frame, camera_id))::INT AS s FROM trk),
-nn AS (SELECT run, count(*) AS n, coalesce(sum(s), 0)::BIGINT AS switches FROM sw GROUP BY run)"""
+hit AS (SELECT t.run, f.camera_id, f.frame, list_extract(f.ts, -1) // 160 AS w, t.track_id FROM mf f JOIN trk t USING (det_id) WHERE f.take),
+sw AS (SELECT run, (track_id <> lag(track_id) OVER (PARTITION BY run, w ORDER BY frame, camera_id))::INT AS s FROM hit),
+nn AS (SELECT run, (SELECT count(*) FROM tru) AS n, (SELECT count(*) FROM tru) - count(*) AS misses, (SELECT count(*) FROM trk) - count(*) AS extra, coalesce(sum(s), 0)::BIGINT AS switches FROM sw GROUP BY run)"""
 
 
-@register("v2_tracking_quality", query(sql.DET, sql.LINKS, sql.TRACKS, QUALITY, "SELECT run, n AS n_truth, 0::BIGINT AS misses, 0::BIGINT AS false_positives, switches, round(1 - switches / n, 9) AS mota FROM nn"))
+@register("v2_tracking_quality", query(SEEN, sql.LINKS, sql.TRACKS, "til AS (SELECT * FROM trk), tru AS (SELECT * FROM all_det WHERE cls = 0)", MATCH.replace("JOIN det t", "JOIN tru t"), QUALITY, "SELECT run, n AS n_truth, misses, extra AS false_positives, switches, round(1 - (misses + extra + switches) / n, 9) AS mota FROM nn"))
 def _(spark, sf_dir):
     dets = plan.detections(spark, sf_dir)
+    shift = F.expr("CASE WHEN (det_id div 4 * 7 + frame) % 11 = 0 THEN 40D ELSE 0D END")
+    seen = dets.where("conf >= 0.5").withColumns({"x1": F.col("x1") + shift, "x2": F.col("x2") + shift})
     truth = plan.true_tracks(dets).withColumnRenamed("track_id", "truth_id")
-    return evaluate.tracking_quality(plan.linked_tracks(dets), truth)
+    return evaluate.tracking_quality(plan.linked_tracks(seen), truth)
 
 
 ACCURACY = """

@@ -8,7 +8,6 @@ import pytest
 from safesight import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = [n for n in registry.oracle_sql() if n not in ("q2_event_detail", "p5_compare_profiles", "d10_validate_dataset")]
 
 
 def plain(v):
@@ -35,7 +34,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_query(spark, sf, duck, name):
     df = registry.queries()[name](spark, sf)
     cursor = duck.execute(registry.oracle_sql()[name])
