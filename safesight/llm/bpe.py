@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,6 +29,15 @@ from safesight.llm.common import whole_texts
 #: Unicode white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# Marks (and one second half of a pair) newer than the library's Unicode version, which therefore
+# neither reorders nor composes them.
+NEW_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF "
+    "10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 "
+    "11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+KNOWN = re.compile("[^" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in NEW_MARKS.split()) + "]+")
+
 #: The split pattern of this kind of vocabulary (contractions, letters, single digits, the rest).
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
@@ -93,7 +103,8 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower() treats a final sigma by its place
+                part = KNOWN.sub(lambda m: unicodedata.normalize("NFC", m[0]), part)
+                part = part.replace("Σ", "σ")  # lower() treats a final sigma by its place
             for word in self.words.findall(part.lower()):
                 found = cache.get(word)
                 if found is None:

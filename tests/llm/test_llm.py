@@ -7,12 +7,14 @@ import random
 import re
 import string
 import time
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from safesight.llm import bpe, common, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, toxicity, url_rules
@@ -307,6 +309,15 @@ def test_bpe_against_the_library(spark, docs, odd):
 # toxicity
 
 
+def test_bpe_of_every_combining_mark():
+    own, library = bpe.WordBpe(VOCABULARY), tokenizers.Tokenizer.from_file(VOCABULARY)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    texts = [t for m in marks for t in (f"a{m}\u0323\u0301b", f"E\u0301{m} x", f"o\u0323{m}\u0302")]
+    assert len(marks) > 800
+    texts += [f"x{unicodedata.normalize('NFD', chr(c))}{chr(c)}" for c in range(0xD800) if unicodedata.decomposition(chr(c))] + ["\U00011935\U00011930", "\U00011938"]
+    assert [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)) if own.encode(t) != e.ids] == []
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(4)
     x = rng.random((300, 20)) * (rng.random((300, 20)) < 0.3)
