@@ -103,7 +103,8 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
-                part = KNOWN.sub(lambda m: unicodedata.normalize("NFC", m[0]), part)
+                if not unicodedata.is_normalized("NFC", part):
+                    part = KNOWN.sub(lambda m: unicodedata.normalize("NFC", m[0]), part)
                 part = part.replace("Σ", "σ")  # lower() treats a final sigma by its place
             for word in self.words.findall(part.lower()):
                 found = cache.get(word)
