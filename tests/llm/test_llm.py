@@ -113,19 +113,50 @@ def test_secret_query(spark, sf, docs, odd):
 # quotes
 
 
+QUOTES = [
+    (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> how  ARE you?\nFine"), (1, 2, "user", ">> How are you?\n> Fine\nGood"), (1, 3, "user", "no quote"), (1, 4, "user", "> nobody said this"),
+    (1, 5, None, None), (1, 5, None, None), (2, 0, "user", "Fine"), (2, 1, "user", "> Fine\n> Fine"), (None, 1, "user", "x"), (3, None, "user", "x"),
+    # a passage wrapped anew, and a short line that a later message shares
+    (4, 0, "user", "ok\nthe long answer\nof two lines\n\nand a second paragraph"), (4, 1, "assistant", "ok"), (4, 2, "user", "On Monday at nine\nAnn wrote:\n\n> ok the long\n> answer of two lines\n>\n> and a second\n> paragraph\nyes"),
+    (4, 3, "assistant", "> ok\n> the long answer of two lines, changed\n>\n> and a second paragraph\nno"), (4, 4, "user", "Am Montag schrieb:\nno quote follows"), (4, 5, "user", "> > ok\n> yes\nOn Tue, Bob wrote:\n> > no\n\n\nlast\n"),
+]
+
+
 def test_quotes(spark):
-    rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> how  ARE you?\nFine"), (1, 2, "user", ">> How are you?\n> Fine\nGood"), (1, 3, "user", "no quote"), (1, 4, "user", "> nobody said this"), (1, 5, None, None), (1, 5, None, None), (2, 0, "user", "Fine"), (2, 1, "user", "> Fine\n> Fine"), (None, 1, "user", "x"), (3, None, "user", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
+    df = spark.createDataFrame(QUOTES, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(df).collect()}
-    assert len(got) == 8
+    assert len(got) == 14
     assert [got[1, t].reply_to for t in range(6)] == [None, 0, 1, None, None, None]
     assert [(got[1, t].thread, got[1, t].depth) for t in range(3)] == [(0, 0), (0, 1), (0, 2)]
     assert got[1, 2].text == "Good" and got[1, 2].n_quoted == 2 and got[1, 2].n_linked == 2 and got[1, 4].n_linked == 0
     assert got[2, 1].reply_to == 0 and got[2, 1].text == "" and got[1, 5].text == ""
+    # passages before paragraphs before lines; what introduces a quote is no text, unless none follows
+    assert [(got[4, t].reply_to, got[4, t].evidence, got[4, t].text) for t in (2, 3, 5)] == [(0, "passage", "yes"), (0, "paragraph", "no"), (2, "passage", "last")]
+    assert got[4, 4].text == "Am Montag schrieb:\nno quote follows" and got[4, 2].n_linked == 1
+    assert [[t for _, t in sorted((r.place, r.turn) for (c, _), r in got.items() if c == conv)] for conv in (1, 4)] == [[0, 1, 2, 3, 4, 5], [0, 2, 3, 5, 1, 4]]
     assert quotes.conversations(df.limit(0)).count() == 0
     # a line that everybody repeats, over several blocks of turns: each replies to the one before
     many = spark.createDataFrame([(9, t, "user", "> ok\nok") for t in range(700)], "conv_id long, turn long, role string, text string")
-    assert {(r.turn, r.reply_to) for r in quotes.conversations(many).collect()} == {(t, t - 1 if t else None) for t in range(700)}
+    assert {(r.turn, r.reply_to, r.place) for r in quotes.conversations(many).collect()} == {(t, t - 1 if t else None, t) for t in range(700)}
+
+
+def test_quotes_against_sql(spark):
+    import duckdb
+
+    rnd = random.Random(3)
+    own, rows = ["ok", "yes  please", "A longer line", "of words", "", "", "he wrote:", "On Monday"], list(QUOTES)
+    for conv in range(20, 60):
+        for turn in range(0, 700, 25):
+            lines = [rnd.choice(["", "", "> ", ">", ">> "]) + rnd.choice(own) for _ in range(rnd.randrange(7))]
+            rows.append((conv, turn, rnd.choice(["user", None]), "\n".join(lines)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(df).toPandas()
+    duck = duckdb.connect()
+    duck.register("conversations", df.toArrow())
+    want = duck.sql(quotes.ORACLE_SQL).fetchall()
+    clean = lambda rows_: sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in rows_)
+    assert clean(got.itertuples(index=False)) == clean(want) and len(want) > 1000
+    assert set(got.evidence.dropna()) == set(quotes.KINDS)
 
 
 # URL rules
