@@ -36,6 +36,10 @@ from pyspark.sql import functions as F
 from safesight.llm.common import cut
 
 BLOCK = 256
+#: Parts that the messages of a conversation are dealt to by their turns.
+SALTS = 32
+#: A text with a quoted line.
+QUOTES = r"(?:^|\n)[ \t]*>"
 MARKS = r"^[ \t]*(?:>[ \t]*)+"
 #: Ends and starts of normalised lines that introduce a quote (the start stands on the line before, if wrapped).
 INTRODUCES, INTRODUCES_FROM = r"(?:wrote|writes|schrieb|a écrit|escribió) ?:$", r"^(?:on|am|le|el) "
@@ -47,12 +51,24 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """One row per line of each message: conv_id, turn, role, k, level, body, norm, passage, paragraph, intro."""
+def cleaned(messages: DataFrame) -> DataFrame:
+    """One row per message: conv_id, turn, role, text (null: empty)."""
     clean = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     clean = clean.groupBy("conv_id", "turn").agg(F.min_by(F.struct("role", "text"), F.struct(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).alias("m"))
-    text = F.coalesce(F.col("m.text"), F.lit(""))
-    lines = clean.select("conv_id", "turn", F.col("m.role").alias("role"), F.posexplode(F.split(text, "\n")).alias("k", "line"))
+    return clean.select("conv_id", "turn", F.col("m.role").alias("role"), F.coalesce(F.col("m.text"), F.lit("")).alias("text"))
+
+
+def in_quoting(messages: DataFrame) -> DataFrame:
+    """The messages of conversations with a quote: no other can have a link. A long conversation is dealt by its turns."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    quoting = messages.where(F.col("text").rlike(QUOTES)).select("conv_id").distinct().select("conv_id", salts)
+    part = messages.withColumn("salt", F.pmod(F.col("turn"), F.lit(SALTS)).cast("int"))
+    return part.join(quoting, ["conv_id", "salt"], "left_semi").drop("salt")
+
+
+def parsed(clean: DataFrame) -> DataFrame:
+    """One row per line of each message: conv_id, turn, role, k, level, body, norm, passage, paragraph, intro."""
+    lines = clean.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     marks, body = F.regexp_extract("line", MARKS, 0), F.regexp_replace("line", MARKS, "")
     lines = lines.select("conv_id", "turn", "role", "k", F.length(F.regexp_replace(marks, r"[^>]", "")).alias("level"), body.alias("body"), _normal(body).alias("norm"))
     # all windows keep the partitioning by message that the aggregate left
@@ -70,16 +86,22 @@ def parsed(messages: DataFrame) -> DataFrame:
 def units(lines: DataFrame) -> DataFrame:
     """conv_id, turn, level, kind (place in KINDS), hash, n_chars of every passage, paragraph and line, and of whole messages (level 0)."""
     full = lines.where((F.col("norm") != "") & ~F.col("intro"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "norm"))), lambda x: x["norm"]), " ").alias("norm")
-    keys = ["conv_id", "turn", "level"]
-    parts = [
-        full.select(*keys, F.lit(0).alias("kind"), "norm"),
-        full.groupBy(*keys, "paragraph").agg(joined).select(*keys, F.lit(1).alias("kind"), "norm"),
-        full.groupBy(*keys, "passage").agg(joined).select(*keys, F.lit(2).alias("kind"), "norm"),
-        full.where("level = 0").groupBy(*keys).agg(joined).select(*keys, F.lit(2).alias("kind"), "norm"),
-    ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return every.select(*keys, "kind", F.md5("norm").alias("hash"), F.length("norm").cast("long").alias("n_chars"))
+    # nested in place: lines of a paragraph, paragraphs of a passage, passages of a message and level
+    within = full.groupBy("conv_id", "turn", "level", "passage", "paragraph").agg(F.array_sort(F.collect_list(F.struct("k", "norm"))).alias("lines"))
+    within = within.select("conv_id", "turn", "level", "passage", "paragraph", F.transform("lines", lambda x: x["norm"]).alias("lines"))
+    for keys, inner in ((["conv_id", "turn", "level", "passage"], "paragraph"), (["conv_id", "turn", "level"], "passage")):
+        within = within.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(inner, "lines"))).alias("parts"))
+        within = within.select(*keys, F.transform("parts", lambda x: x["lines"]).alias("lines"))
+
+    def kind(texts: Column, k: int) -> Column:
+        return F.transform(texts, lambda x: F.struct(F.lit(k).alias("kind"), F.md5(x).alias("hash"), F.length(x).cast("long").alias("n_chars")))
+
+    passages = F.transform("lines", lambda paragraphs: F.array_join(F.flatten(paragraphs), " "))
+    paragraphs = F.transform(F.flatten("lines"), lambda lines_: F.array_join(lines_, " "))
+    single = F.flatten(F.flatten("lines"))
+    whole = F.when(F.col("level") == 0, F.array(F.array_join(single, " "))).otherwise(F.array().cast("array<string>"))
+    every = within.select("conv_id", "turn", "level", F.explode(F.concat(kind(single, 0), kind(paragraphs, 1), kind(passages, 2), kind(whole, 2))).alias("unit"))
+    return every.select("conv_id", "turn", "level", "unit.kind", "unit.hash", "unit.n_chars")
 
 
 def replies(every: DataFrame) -> DataFrame:
@@ -147,15 +169,19 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     Sorted by (conv_id, place) it reads in reply order.
     """
-    lines = parsed(messages)
-    links = cut(replies(units(lines)))
+    links = cut(replies(cut(units(parsed(cleaned(in_quoting(messages)))))))
+    clean = cleaned(messages)
+    quoting = F.col("text").rlike(QUOTES)
     own = F.collect_list(F.when((F.col("level") == 0) & ~F.col("intro"), F.struct("k", "body")))
-    text = F.btrim(F.array_join(F.transform(F.array_sort(own), lambda x: x["body"]), "\n"), F.lit(" \t\r\n"))
-    base = cut(lines.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.count_if(F.col("level") > 0).alias("n_quoted"), text.alias("text")))
-    up = base.select("conv_id", "turn").join(links, ["conv_id", "turn"], "left").join(threads(links), ["conv_id", "turn"], "left")
+    text = F.array_join(F.transform(F.array_sort(own), lambda x: x["body"]), "\n")
+    base = parsed(clean.where(quoting)).groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.count_if(F.col("level") > 0).alias("n_quoted"), text.alias("text"))
+    base = base.unionByName(clean.where(~quoting).select("conv_id", "turn", "role", F.lit(0).cast("long").alias("n_quoted"), "text"))
+    base = base.withColumn("text", F.btrim("text", F.lit(" \t\r\n")))
+    every = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn").distinct()
+    up = every.join(links, ["conv_id", "turn"], "left").join(threads(links), ["conv_id", "turn"], "left")
     none = F.lit(0).cast("long")
     up = up.select("conv_id", "turn", "reply_to", "evidence", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", none).alias("depth"), F.coalesce("n_linked", none).alias("n_linked"))
-    out = base.join(placed(up), ["conv_id", "turn"])
+    out = base.join(placed(cut(up)), ["conv_id", "turn"])
     return out.select("conv_id", "place", "turn", "role", "reply_to", "evidence", "thread", "depth", "n_quoted", "n_linked", "text")
 
 
