@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, toxicity, url_rules
+from safesight.llm import bpe, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, suffix_dedup, toxicity, url_rules
 from safesight.llm.common import remainder, table
 
 
@@ -75,9 +75,14 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, "held_out")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that are left without strings of 50 bytes from documents with smaller ids."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), least=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model, op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
