@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, decontaminate, jaccard_join, language_model, nn_descent, quotes, secrets, site_style, suffix_dedup, toxicity, url_rules
+from safesight.llm import bpe, decontaminate, jaccard_join, language_model, merkle, nn_descent, quotes, secrets, site_style, suffix_dedup, toxicity, url_rules
 from safesight.llm.common import remainder, table
 
 
@@ -80,11 +80,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), least=50)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and its check of every document."""
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model, op11_suffix_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model, op11_suffix_dedup, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL with the same rows."""
-    return {"op2_quotation_links": quotes.ORACLE_SQL, "op3_url_filter": url_rules.ORACLE_SQL}
+    return {"op2_quotation_links": quotes.ORACLE_SQL, "op3_url_filter": url_rules.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
