@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -75,11 +76,17 @@ def discard(spark: SparkSession, path: str) -> None:
     to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage, so that Spark's cleaner deletes the shuffle files of tables that are written; it does so at long intervals otherwise."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """rows with (left_semi) or without (left_anti) some ids, which are broadcast only if they are few."""
     n = ids.limit(BROADCAST_IDS + 1).count()
     return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)

@@ -3,7 +3,8 @@
 A byte goes if a string of ``least`` bytes that covers it also starts in a document
 with a smaller id. The corpus is never sorted as one text. Every window of ``least``
 bytes is dealt by its anchor, the least hash of the grams of GRAM bytes inside it, so
-equal windows meet whatever text holds them:
+equal windows meet whatever text holds them. Whole copies of a text with a smaller id go
+first, by the text's hash. For the others:
 
 1. Anchors of all windows are counted (a row per run of windows with one anchor); those
    of one document alone are done with.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.llm.common import by_ids, discard, in_parts, mix, table_path, whole_texts, written
+from safesight.llm.common import by_ids, discard, forget, in_parts, mix, table_path, whole_texts, written
 
 #: Bytes of the grams whose least hash is a window's anchor; a shorter window has shorter ones.
 GRAM = 20
@@ -43,8 +44,8 @@ TEXT_BYTES, HOT_BYTES = 1 << 20, 256 << 10
 FILTER_BITS, FILTER_MAX, FILTER_PIECE = 8, 1 << 29, 1 << 20
 #: Ends a piece in a text; no byte of UTF-8.
 END = 0xFF
-#: A document's place of a byte, with 16 bits of its text's hash above: texts that share an id stay apart.
-PLACE_BITS = 48
+#: A document's place of a byte, with 32 bits of its text's hash above: texts that share an id stay apart.
+PLACE_BITS = 31
 
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -301,27 +302,35 @@ def _one_by_one(kinds: DataFrame, least: int) -> DataFrame:
 
 
 def find(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag (16 bits of the text's hash) and cuts, the runs of bytes (start, stop) that also start in a document with a smaller id; runs may overlap."""
+    """doc_id, tag (32 bits of the text's hash) and cuts, the runs of bytes (start, stop) that also start in a document with a smaller id; runs may overlap."""
     spark = docs.sparkSession
     texts = whole_texts(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)).select("doc_id", "text", _tag("text").alias("tag"))
-    paths = [table_path(spark) for _ in range(5)]
+    paths = [table_path(spark) for _ in range(6)]
     ends = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
-    shared = written(_anchors(texts, least).groupBy("h").agg(*ends).where("lo < hi").select("h"), paths[0])
-    spots = written(_spots(texts, AnchorFilter(shared), least), paths[1])
-    kinds = written(spots.groupBy("h", "g").agg(*ends, F.first("piece", ignorenulls=True).alias("piece")), paths[2])
-    hot = written(kinds.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("n")).where(F.col("n") > HOT_BYTES).select("h"), paths[3])
+    hashed = texts.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha"))
+    several = hashed.groupBy("sha").agg(*ends).where("lo < hi").select("sha", "lo")
+    copies = written(hashed.join(several, "sha").where("doc_id > lo").select("doc_id", "tag", "n").distinct(), paths[0])
+    own = by_ids(texts, copies.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti")
+    shared = written(_anchors(own, least).groupBy("h").agg(*ends).where("lo < hi").select("h"), paths[1])
+    forget(spark)
+    spots = written(_spots(own, AnchorFilter(shared), least), paths[2])
+    kinds = written(spots.groupBy("h", "g").agg(*ends, F.first("piece", ignorenulls=True).alias("piece")), paths[3])
+    forget(spark)
+    hot = written(kinds.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("n")).where(F.col("n") > HOT_BYTES).select("h"), paths[4])
     runs = _expanded(by_ids(kinds, hot, "h", "left_anti"), least).unionByName(_one_by_one(by_ids(kinds, hot, "h", "left_semi"), least))
     met = spots.select("h", "g", "doc_id", "at").join(runs, ["h", "g"]).where("lo < doc_id")
     at = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     spans = met.select("doc_id", F.shiftrightunsigned("at", PLACE_BITS).alias("tag"), F.struct((at + F.col("a")).alias("start"), (at + F.col("b") + (least - 1)).alias("stop")).alias("cut"))
-    cuts = written(spans.groupBy("doc_id", "tag").agg(F.collect_list("cut").alias("cuts")), paths[4])
-    for path in paths[:4]:
+    whole = copies.select("doc_id", "tag", F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).alias("cut"))
+    cuts = written(spans.unionByName(whole).groupBy("doc_id", "tag").agg(F.collect_list("cut").alias("cuts")), paths[5])
+    for path in paths[:5]:
         discard(spark, path)
+    forget(spark)
     return cuts
 
 
 def _tag(text: str):
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFF))
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def remove(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
