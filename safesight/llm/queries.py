@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from safesight.llm import bpe, decontaminate, jaccard_join, language_model, merkle, nn_descent, quotes, secrets, site_style, suffix_dedup, toxicity, url_rules
+from safesight.llm import bpe, decontaminate, jaccard_join, language_model, merkle, nn_descent, quotes, secrets, site_style, suffix_dedup, toxicity, url_rules, whitening
 from safesight.llm.common import remainder, table
 
 
@@ -86,9 +86,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first four components, whitened."""
+    return whitening.components_of(table(spark, sf_dir, "embeddings"), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to a function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model, op11_suffix_dedup, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quotation_links, op3_url_filter, op4_nearest, op5_main_text, op6_decontaminate, op7_bpe, op8_toxicity, op9_jaccard_join, op10_language_model, op11_suffix_dedup, op12_merkle_manifest, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
