@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import string
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -58,10 +59,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Compute df now into a Parquet table in the shared folder and read it back."""
     path = path or table_path(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,9 +78,14 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let the driver's JVM collect its garbage, so that Spark's cleaner deletes the shuffle files of tables that are written; it does so at long intervals otherwise."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver's JVM collect its garbage, so that Spark's cleaner deletes the shuffle files of tables that are written; it does so at long intervals otherwise.
+
+    Twice, as what the first round lets go of still holds plans.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.

@@ -41,7 +41,7 @@ SLICE = 1 << 20
 #: Bytes of a text that is transformed; kinds of one anchor beyond HOT_BYTES are not.
 TEXT_BYTES, HOT_BYTES = 1 << 20, 256 << 10
 #: The filter of shared anchors: bits an anchor, and its largest size. It only saves shuffles: a weaker one lets more runs through, which step 3 drops.
-FILTER_BITS, FILTER_MAX, FILTER_PIECE = 8, 1 << 29, 1 << 20
+FILTER_BITS, FILTER_MAX, FILTER_PIECE = 24, 1 << 29, 1 << 20
 #: Ends a piece in a text; no byte of UTF-8.
 END = 0xFF
 #: A document's place of a byte, with 32 bits of its text's hash above: texts that share an id stay apart.
@@ -313,8 +313,8 @@ def find(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str
     own = by_ids(texts, copies.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti")
     shared = written(_anchors(own, least).groupBy("h").agg(*ends).where("lo < hi").select("h"), paths[1])
     forget(spark)
-    spots = written(_spots(own, AnchorFilter(shared), least), paths[2])
-    kinds = written(spots.groupBy("h", "g").agg(*ends, F.first("piece", ignorenulls=True).alias("piece")), paths[3])
+    spots = written(_spots(own, AnchorFilter(shared), least), paths[2], "zstd")
+    kinds = written(spots.groupBy("h", "g").agg(*ends, F.first("piece", ignorenulls=True).alias("piece")), paths[3], "zstd")
     forget(spark)
     hot = written(kinds.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("n")).where(F.col("n") > HOT_BYTES).select("h"), paths[4])
     runs = _expanded(by_ids(kinds, hot, "h", "left_anti"), least).unionByName(_one_by_one(by_ids(kinds, hot, "h", "left_semi"), least))
