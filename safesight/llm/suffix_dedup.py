@@ -39,7 +39,7 @@ GRAM = 20
 #: Windows that are hashed together.
 SLICE = 1 << 20
 #: Bytes of a text that is transformed; kinds of one anchor beyond HOT_BYTES are not.
-TEXT_BYTES, HOT_BYTES = 1 << 20, 256 << 10
+TEXT_BYTES, HOT_BYTES = 512 << 10, 2 << 20
 #: The filter of shared anchors: bits an anchor, and its largest size. It only saves shuffles: a weaker one lets more runs through, which step 3 drops.
 FILTER_BITS, FILTER_MAX, FILTER_PIECE = 24, 1 << 29, 1 << 20
 #: Ends a piece in a text; no byte of UTF-8.
