@@ -12,21 +12,34 @@ from safesight.schemas import TRACK
 CAMERA = ["run", "camera_id"]
 
 
-def _mutual(ends: DataFrame, starts: DataFrame, gaps: tuple[int, int], iou_min: float) -> DataFrame:
-    """Mutual-best links (prev_det_id, det_id): nearest frame first, then IoU, then smaller id.
+def _ends(rows: DataFrame) -> DataFrame:
+    return rows.select(*CAMERA, F.col("det_id").alias("prev_det_id"), F.col("frame").alias("f1"), box().alias("b1"))
 
-    An interval join on frames: both sides get a bucket of frames as equi key, the
-    later side also the bucket before, so one camera's frames spread over tasks.
-    """
+
+def _starts(rows: DataFrame) -> DataFrame:
+    return rows.select(*CAMERA, "det_id", F.col("frame").alias("f2"), box().alias("b2"))
+
+
+def _best(met: DataFrame, iou_min: float, keys: list[str]) -> DataFrame:
+    """Mutual-best links (prev_det_id, det_id) of pairs: nearest frame first, then IoU, then smaller id. keys: what pairs are dealt by already."""
+    met = met.select(*keys, "prev_det_id", "det_id", (F.col("f2") - F.col("f1")).alias("gap"), F.round(iou(F.col("b1"), F.col("b2")), 9).alias("iou")).where((F.col("iou") >= iou_min) & (F.col("iou") > 0))
+    forth = Window.partitionBy(*keys, "prev_det_id").orderBy("gap", F.desc("iou"), "det_id")
+    back = Window.partitionBy(*keys, "det_id").orderBy("gap", F.desc("iou"), "prev_det_id")
+    return met.withColumn("r1", F.row_number().over(forth)).withColumn("r2", F.row_number().over(back)).where("r1 = 1 and r2 = 1").select(*CAMERA, "prev_det_id", "det_id", "gap", "iou")
+
+
+def _adjacent(ends: DataFrame, starts: DataFrame, iou_min: float) -> DataFrame:
+    """Links of one frame to the next: an equi-join on the frame, whose exchange serves both choices of the best too."""
+    return _best(_ends(ends).withColumn("at", F.col("f1") + 1).join(_starts(starts).withColumn("at", F.col("f2")), [*CAMERA, "at"]), iou_min, [*CAMERA, "at"])
+
+
+def _bridged(ends: DataFrame, starts: DataFrame, gaps: tuple[int, int], iou_min: float) -> DataFrame:
+    """Links over gaps of frames, an interval join: both sides get a bucket of frames as equi key, the later side also the bucket before, so one camera's frames spread over tasks."""
     low, high = gaps
-    a = ends.select(*CAMERA, F.col("det_id").alias("prev_det_id"), F.col("frame").alias("f1"), box().alias("b1"), F.floor(F.col("frame") / high).alias("bucket"))
-    later = F.floor(F.col("frame") / high)
-    b = starts.select(*CAMERA, "det_id", F.col("frame").alias("f2"), box().alias("b2"), F.explode(F.array(later, later - 1)).alias("bucket"))
-    met = a.join(b, [*CAMERA, "bucket"]).where(F.col("f2") - F.col("f1").cast("long") >= low).where(F.col("f2") - F.col("f1") <= high)
-    met = met.select(*CAMERA, "prev_det_id", "det_id", (F.col("f2") - F.col("f1")).alias("gap"), F.round(iou(F.col("b1"), F.col("b2")), 9).alias("iou")).where((F.col("iou") >= iou_min) & (F.col("iou") > 0))
-    forth = Window.partitionBy(*CAMERA, "prev_det_id").orderBy("gap", F.desc("iou"), "det_id")
-    back = Window.partitionBy(*CAMERA, "det_id").orderBy("gap", F.desc("iou"), "prev_det_id")
-    return met.withColumn("r1", F.row_number().over(forth)).withColumn("r2", F.row_number().over(back)).where("r1 = 1 and r2 = 1").drop("r1", "r2")
+    later = F.floor(F.col("f2") / high)
+    a = _ends(ends).withColumn("bucket", F.floor(F.col("f1") / high))
+    b = _starts(starts).withColumn("bucket", F.explode(F.array(later, later - 1)))
+    return _best(a.join(b, [*CAMERA, "bucket"]).where((F.col("f2") - F.col("f1")).between(low, high)), iou_min, CAMERA)
 
 
 def link_detections(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap: int = 30, iou_min: float = 0.3) -> DataFrame:
@@ -37,15 +50,18 @@ def link_detections(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap:
     ends and confident starts. Each tier sees only what the ones before left over,
     so gaps cost candidates for the ends of chains alone.
     """
-    seen = df.where(F.col("conf") >= low).select(*CAMERA, "frame", "det_id", "conf", "x1", "y1", "x2", "y2")
+    seen = cut(df.where(F.col("conf") >= low).select(*CAMERA, "frame", "det_id", "conf", "x1", "y1", "x2", "y2"))
     sure = seen.where(F.col("conf") >= high)
-    links = _mutual(sure, sure, (1, 1), iou_min).withColumn("tier", F.lit(1))
-    for tier, gaps in ((2, (1, 1)), (3, (2, max_gap))):
-        links = cut(links)
-        ends = seen.join(links.select(*CAMERA, F.col("prev_det_id").alias("det_id")), [*CAMERA, "det_id"], "left_anti")
-        starts = (seen if tier == 2 else sure).join(links.select(*CAMERA, "det_id"), [*CAMERA, "det_id"], "left_anti")
-        links = links.unionByName(_mutual(ends, starts, gaps, iou_min).withColumn("tier", F.lit(tier)))
-    return links
+    found = cut(_adjacent(sure, sure, iou_min).withColumn("tier", F.lit(1)))
+    ends, starts = _without(seen, found, "prev_det_id"), _without(seen, found, "det_id")
+    second = cut(_adjacent(ends, starts, iou_min).withColumn("tier", F.lit(2)))
+    third = _bridged(_without(ends, second, "prev_det_id"), _without(starts, second, "det_id").where(F.col("conf") >= high), (2, max_gap), iou_min).withColumn("tier", F.lit(3))
+    return found.unionByName(second).unionByName(third)
+
+
+def _without(rows: DataFrame, links: DataFrame, end: str) -> DataFrame:
+    """rows that are not that end of a link."""
+    return rows.join(links.select(*CAMERA, F.col(end).alias("det_id")), [*CAMERA, "det_id"], "left_anti")
 
 
 def assign_tracks(dets: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -47,7 +47,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from safesight import registry_data, registry_stream  # noqa: F401  they register on import
+    from safesight import registry_data, registry_io, registry_stream  # noqa: F401  they register on import
+
+    # the largest result comes last
+    for found in (_QUERIES, _SQL):
+        found["detections"] = found.pop("detections")
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +70,8 @@ def _(spark, sf_dir):
 @register("g_box_geometry", query(sql.DET, f"""
 SELECT p.det_id AS a, b.det_id AS b, round({sql.iou("p", "b")}, 9) AS iou, round({sql.inter("p", "b")} / ((b.x2-b.x1)*(b.y2-b.y1)), 9) AS containment,
   round(greatest(0.0, 1 - sqrt(pow((p.x1+p.x2)/2-(b.x1+b.x2)/2, 2) + pow((p.y1+p.y2)/2-(b.y1+b.y2)/2, 2)) / sqrt(pow(p.x2-p.x1, 2) + pow(p.y2-p.y1, 2))), 9) AS proximity,
-  round((p.x1+p.x2)/2/1000, 9) AS cx, round((p.y2-p.y1)/500, 9) AS h, greatest(0.0, least(p.x1, 1000.0)) AS clipped
+  round((p.x1+p.x2)/2/1000, 9) AS cx, round((p.y2-p.y1)/500, 9) AS h, greatest(0.0, least(p.x1, 1000.0)) AS clipped,
+  round(p.y1 + (p.y2-p.y1)*0.3, 9) AS head_bottom, round(p.y1 + (p.y2-p.y1)*0.25, 9) AS torso_top, round(p.y1 + (p.y2-p.y1)*0.75, 9) AS torso_bottom, p.x2 AS right_again
 FROM det p JOIN det b ON p.camera_id = b.camera_id AND p.frame = b.frame AND p.cls = 0 AND b.cls = 3 AND p.det_id // 160 = b.det_id // 160"""))
 def _(spark, sf_dir):
     d = plan.detections(spark, sf_dir)
@@ -75,7 +80,7 @@ def _(spark, sf_dir):
     met = p.join(b, ["camera_id", "frame"]).where("a div 160 = b div 160")
     p, q = F.col("p"), F.col("q")
     centre = g.xyxy_to_cxcywh(p, F.lit(1000), F.lit(500))
-    return met.select("a", "b", F.round(g.iou(p, q), 9).alias("iou"), F.round(g.containment(q, p), 9).alias("containment"), F.round(g.proximity(q, p), 9).alias("proximity"), F.round(centre["cx"], 9).alias("cx"), F.round(centre["h"], 9).alias("h"), g.clip_box(p, F.lit(1000), F.lit(500))["x1"].alias("clipped"))
+    return met.select("a", "b", F.round(g.iou(p, q), 9).alias("iou"), F.round(g.containment(q, p), 9).alias("containment"), F.round(g.proximity(q, p), 9).alias("proximity"), F.round(centre["cx"], 9).alias("cx"), F.round(centre["h"], 9).alias("h"), g.clip_box(p, F.lit(1000), F.lit(500))["x1"].alias("clipped"), F.round(g.head_region(p)["y2"], 9).alias("head_bottom"), F.round(g.torso_region(p)["y1"], 9).alias("torso_top"), F.round(g.torso_region(p)["y2"], 9).alias("torso_bottom"), F.round(g.cxcywh_to_xyxy(centre, F.lit(1000), F.lit(500))["x2"], 9).alias("right_again"))
 
 
 @register("t1_filter_detections", query(sql.DET, "SELECT det_id, cls, conf FROM det WHERE conf >= 0.7 AND cls IN (1, 3)"))

@@ -1,73 +1,132 @@
 """Stream operators: rules, sessions, deduplication, statistics and tracking on Structured Streaming.
 
 Rows behind the watermark are dropped; the number is in the progress of the query
-(stateOperators.numRowsDroppedByWatermark). Rows after the last watermark stay in state
-when an availableNow run ends.
+(stateOperators.numRowsDroppedByWatermark), and Progress keeps it as a table. Rows after
+the last watermark stay in state when an availableNow run ends, unless the stream is
+closed (closable, run_to_end).
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Consecutive(StatefulProcessor):
-    """Buffers rows until the watermark has passed them, then counts violating rows in a row, in order of time."""
+class InOrder(StatefulProcessor):
+    """Gives a key's rows to ``due`` in order of time, once the watermark has passed them.
 
-    def __init__(self, n: int):
-        self.n = n
+    Rows wait in map state under (time step, part): a batch adds parts and rewrites none,
+    and when a timer fires, only steps up to the watermark are read. A key has one timer
+    at a time, at its earliest row. Rows with a null in a column of ROW are left out.
+    """
+
+    #: Columns of a row, the time in microseconds first, with their types.
+    ROW: dict[str, str] = {}
+
+    def __init__(self, step: int):
+        self.step = step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", "ts long, id long, flag boolean")
-        self.run = handle.getValueState("run", "n long, start long")
+        self.buffer = handle.getMapState("buffer", "step long, part long", ", ".join(f"{c} array<{kind}>" for c, kind in self.ROW.items()))
+        self.mark = handle.getValueState("mark", "parts long, timer long")
+
+    def _wait(self, rows: pd.DataFrame, parts: int) -> int:
+        for step, own in rows.groupby(rows["ts"] // self.step):
+            self.buffer.updateValue((int(step), parts), tuple(own[c].tolist() for c in self.ROW))
+            parts += 1
+        return parts
+
+    def _rearm(self, parts: int, old: int | None, at: int | None) -> None:
+        """Let the key's timer fire once the watermark passes at (microseconds)."""
+        timer = None if at is None else at // 1000 + 1
+        if timer != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        self.mark.update((parts, timer))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts, timer = self.mark.get() if self.mark.exists() else (0, None)
+        first = None
         for df in rows:
-            for ts, i, flag in zip(df["ts"], df["id"], df["flag"]):
-                at = int(pd.Timestamp(ts).value // 1000)
-                self.buffer.appendValue((at, int(i), bool(flag)))
-                self.handle.registerTimer(at // 1000 + 1)
+            df = df[list(self.ROW)].dropna()
+            if len(df):
+                df = df.assign(ts=df["ts"].astype("datetime64[us]").astype("int64"))
+                parts = self._wait(df, parts)
+                first = min(int(df["ts"].min()), first if first is not None else int(df["ts"].min()))
+        if first is not None:
+            earlier = timer is None or first // 1000 + 1 < timer
+            self._rearm(parts, timer, first if earlier else (timer - 1) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.buffer.get()) if self.buffer.exists() else []
-        due = [r for r in rows if r[0] < until]
-        if not due:
-            return
-        rest = [r for r in rows if r[0] >= until]
-        if rest:
-            self.buffer.put(rest)
-        else:
-            self.buffer.clear()
+        keys = sorted(self.buffer.keys())
+        parts = self.mark.get()[0]
+        read = [k for k in keys if k[0] * self.step < until]
+        later = [k[0] for k in keys if k[0] * self.step >= until]
+        rows = pd.concat([pd.DataFrame(dict(zip(self.ROW, self.buffer.getValue(k)))) for k in read], ignore_index=True) if read else pd.DataFrame(columns=list(self.ROW))
+        for k in read:
+            self.buffer.removeKey(k)
+        rest = rows[rows["ts"] >= until]
+        parts = self._wait(rest, parts)
+        nearest = int(rest["ts"].min()) if len(rest) else later[0] * self.step if later else None
+        self._rearm(parts, None, nearest)
+        out = self.due(key, rows[rows["ts"] < until].sort_values(list(self.ROW)[:2]))
+        if out is not None:
+            yield out
+
+    def due(self, key, rows: pd.DataFrame) -> pd.DataFrame | None:
+        """What the rows give; they come in order of their first two columns."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class Consecutive(InOrder):
+    """Counts violating rows in a row."""
+
+    ROW = {"ts": "long", "id": "long", "flag": "boolean"}
+
+    def __init__(self, n: int, step: int):
+        super().__init__(step)
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.run = handle.getValueState("run", "n long, start long")
+
+    def due(self, key, rows: pd.DataFrame) -> pd.DataFrame | None:
         n, start = self.run.get() if self.run.exists() else (0, 0)
         out = []
-        for at, _, flag in due:
+        for at, flag in zip(rows["ts"].tolist(), rows["flag"].tolist()):
             n, start = (n + 1, start if n else at) if flag else (0, 0)
             if n == self.n:
                 out.append((*key, start, at))
         self.run.update((n, start))
-        if out:
-            yield pd.DataFrame(out, columns=[*(f"k{i}" for i in range(len(key))), "start_us", "confirm_us"])
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=[*(f"k{i}" for i in range(len(key))), "start_us", "confirm_us"]) if out else None
 
 
-def stream_consecutive(df: DataFrame, keys: list[str], n: int = 5, delay: str = "10 seconds") -> DataFrame:
+def stream_consecutive(df: DataFrame, keys: list[str], n: int = 5, delay: str = "10 seconds", step_seconds: int = 60) -> DataFrame:
     """One row per run of n violating rows of a key, when confirmed: keys (as k0, ..), start_us, confirm_us.
 
-    df: keys, ts (timestamp), id (order among equal ts), flag.
+    df: keys, ts (timestamp), id (order among equal ts), flag. step_seconds: rows wait in
+    state by steps of time; about the delay is right.
     """
     kinds = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
-    return df.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(Consecutive(n), outputStructType=f"{kinds}, start_us long, confirm_us long", outputMode="Append", timeMode="EventTime")
+    return df.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(Consecutive(n, step_seconds * 1_000_000), outputStructType=f"{kinds}, start_us long, confirm_us long", outputMode="Append", timeMode="EventTime")
 
 
 def stream_majority(df: DataFrame, keys: list[str], window: str = "10 seconds", slide: str = "1 second", ratio: float = 0.5, delay: str = "10 seconds") -> DataFrame:
@@ -94,87 +153,149 @@ def stream_stats(df: DataFrame, window: str = "1 minute", delay: str = "10 secon
     return out.select(F.col("window.start").alias("window_start"), key, "n", "n_violations")
 
 
+class Progress(StreamingQueryListener):
+    """Batches of the queries that it has seen, as rows: query, batch, watermark, input rows, rows dropped as late."""
+
+    SCHEMA = "query string, batch long, watermark string, n_input long, n_late long"
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.ends = threading.Semaphore(0)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((str(p.id), p.batchId, (p.eventTime or {}).get("watermark"), p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ends.release()
+
+    def append_to(self, spark: SparkSession, path: str, ended: int = 0) -> DataFrame:
+        """Append the rows so far to a table of progress (a row per batch, not of data) and read it; ended: runs whose end it waits for, as events come late."""
+        for _ in range(ended):
+            if not self.ends.acquire(timeout=120):
+                raise TimeoutError("a query's end was not reported")
+        rows, self.rows = self.rows, []
+        spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(path)
+        return spark.read.schema(self.SCHEMA).parquet(path)
+
+
 def start_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Append a stream to Parquet."""
     writer = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and read its output."""
+def start_event_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Write a stream so that a batch which is replayed after a failure leaves the same table.
+
+    Rows of a batch are the partition batch=<id>, overwritten as a whole; its id then goes
+    into a ledger beside it. A batch in the ledger is left alone, and rows of a batch that
+    is not in it are not read (read_event_sink).
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        if batch in {r["batch"] for r in _ledger(spark, path).where(F.col("batch") == batch).collect()}:
+            return
+        done = spark.range(1).select(F.lit(True).alias("done"))
+        for part, name in ((rows, "rows"), (done, "ledger")):
+            part.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+
+    writer = df.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger")
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema("done boolean, batch long").parquet(f"{path}/ledger") if there else spark.createDataFrame([], "done boolean, batch long")
+
+
+def read_event_sink(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of the batches that the ledger has."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    return rows.join(_ledger(spark, path).select("batch"), "batch", "left_semi").select(*schema.names)
+
+
+def run_to_end(df: DataFrame, path: str, checkpoint: str, closing: str | None = None) -> DataFrame:
+    """Run a stream over what is there and read its output.
+
+    closing: the folder that closable() was given; the stream is then ended, so that rows
+    after the last watermark come out too.
+    """
     spark: SparkSession = df.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         start_sink(df, path, checkpoint).awaitTermination()
+        if closing:
+            spark.range(1).select(F.lit("2200-01-01").cast("timestamp").alias("ts")).write.mode("append").parquet(closing)
+            start_sink(df, path, checkpoint).awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Tracker(StatefulProcessor):
-    """Live tracks of one camera; frames are linked in order once the watermark has passed them."""
+def made(spark: SparkSession, path: str) -> str:
+    """A folder that is there, so that a stream can start on it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
 
-    def __init__(self, high: float, low: float, max_gap: int, iou_min: float):
+
+def closable(df: DataFrame, closing: str) -> DataFrame:
+    """df (with a column ts) and the rows of a folder that is empty until run_to_end() ends the stream: one row far ahead, with nulls but for ts (0 or an empty string where df has no nulls), moves the watermark past all others."""
+    spark: SparkSession = df.sparkSession
+    made(spark, closing)
+    ends = spark.readStream.schema("ts timestamp").parquet(closing)
+    # the same nullability with the folder empty or not, as state keeps its schema
+    value = lambda f: F.lit(None) if f.nullable else F.lit("" if f.dataType.simpleString() == "string" else 0)
+    return df.unionByName(ends.select(*(F.col("ts") if f.name == "ts" else value(f).cast(f.dataType).alias(f.name) for f in df.schema)))
+
+
+class Tracker(InOrder):
+    """Live tracks of one camera; frames are linked in order."""
+
+    ROW = {"ts": "long", "det_id": "long", "frame": "long", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "conf": "double"}
+
+    def __init__(self, high: float, low: float, max_gap: int, iou_min: float, step: int):
+        super().__init__(step)
         self.high, self.low, self.max_gap, self.iou_min = high, low, max_gap, iou_min
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.buffer = handle.getListState("buffer", "ts long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, conf double")
+        super().init(handle)
         self.live = handle.getMapState("live", "track_id long", "frame long, x1 double, y1 double, x2 double, y2 double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for df in rows:
-            for r in df.itertuples(index=False):
-                at = int(pd.Timestamp(r.ts).value // 1000)
-                self.buffer.appendValue((at, int(r.frame), int(r.det_id), float(r.x1), float(r.y1), float(r.x2), float(r.y2), float(r.conf)))
-                self.handle.registerTimer(at // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.buffer.get()) if self.buffer.exists() else []
-        due = [r for r in rows if r[0] < until]
-        if not due:
-            return
-        rest = [r for r in rows if r[0] >= until]
-        if rest:
-            self.buffer.put(rest)
-        else:
-            self.buffer.clear()
-        live = {k[0]: tuple(v) for k, v in self.live.iterator()}
-        gone, out = set(), []
-        for frame in sorted({r[1] for r in due}):
-            old = {t for t, v in live.items() if frame - v[0] > self.max_gap}
-            gone |= old
-            live = {t: v for t, v in live.items() if t not in old}
+    def due(self, key, rows: pd.DataFrame) -> pd.DataFrame | None:
+        held = {k[0]: tuple(v) for k, v in self.live.iterator()}
+        live, out = dict(held), []
+        rows = rows[rows["conf"] >= self.low]
+        for frame, own in rows.groupby("frame"):
+            live = {t: v for t, v in live.items() if frame - v[0] <= self.max_gap}
             free = set(live)
-            boxes = sorted((r for r in due if r[1] == frame and r[7] >= self.low), key=lambda r: (-r[7], r[2]))
             for sure in (True, False):  # confident boxes first; the others only extend tracks
-                own = [r for r in boxes if (r[7] >= self.high) == sure]
-                pairs = sorted((-overlap(live[t][1:], r[3:7]), r[2], t) for r in own for t in free)
-                taken = set()
-                for far, det, t in pairs:
-                    if -far >= self.iou_min and t in free and det not in taken:
+                boxes = {int(r.det_id): (r.x1, r.y1, r.x2, r.y2) for r in own[(own["conf"] >= self.high) == sure].itertuples()}
+                pairs = sorted((-o, d, t) for d, b in boxes.items() for t in free if (o := overlap(live[t][1:], b)) >= self.iou_min)
+                for _, d, t in pairs:
+                    if t in free and d in boxes:
                         free.discard(t)
-                        taken.add(det)
-                        box = next(r for r in own if r[2] == det)
-                        live[t] = (frame, *box[3:7])
-                        out.append((*key, frame, det, t))
-                for r in own if sure else []:
-                    if r[2] not in taken:
-                        live[r[2]] = (frame, *r[3:7])
-                        out.append((*key, frame, r[2], r[2]))
-        for t in gone:
-            if self.live.containsKey((t,)):
-                self.live.removeKey((t,))
+                        live[t] = (int(frame), *boxes.pop(d))
+                        out.append((*key, int(frame), d, t))
+                for d, b in boxes.items() if sure else ():
+                    live[d] = (int(frame), *b)
+                    out.append((*key, int(frame), d, d))
+        for t in held.keys() - live.keys():
+            self.live.removeKey((t,))
         for t, v in live.items():
-            self.live.updateValue((t,), v)
-        if out:
-            yield pd.DataFrame(out, columns=["run", "camera_id", "frame", "det_id", "track_id"])
-
-    def close(self) -> None:
-        pass
+            if held.get(t) != v:
+                self.live.updateValue((t,), v)
+        return pd.DataFrame(out, columns=["run", "camera_id", "frame", "det_id", "track_id"]) if out else None
 
 
 def overlap(a: tuple, b: tuple) -> float:
@@ -185,7 +306,7 @@ def overlap(a: tuple, b: tuple) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def track_stream(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap: int = 30, iou_min: float = 0.3, delay: str = "10 seconds") -> DataFrame:
+def track_stream(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap: int = 30, iou_min: float = 0.3, delay: str = "10 seconds", step_seconds: int = 10) -> DataFrame:
     """Person boxes with track_id, incrementally per camera; state is bounded by the live tracks and the delay."""
     schema = "run string, camera_id long, frame long, det_id long, track_id long"
-    return df.withWatermark("ts", delay).groupBy("run", "camera_id").transformWithStateInPandas(Tracker(high, low, max_gap, iou_min), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return df.withWatermark("ts", delay).groupBy("run", "camera_id").transformWithStateInPandas(Tracker(high, low, max_gap, iou_min, step_seconds * 1_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")

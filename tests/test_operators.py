@@ -1,7 +1,11 @@
 """Small hand-made cases."""
 
 import datetime as dt
+import random
+import shutil
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from safesight.operators import associate, dataset, detect, evaluate, review, temporal, track
@@ -140,7 +144,7 @@ def test_sinks(spark, tmp_path):
         assert "EXISTS" in str(e).upper()
     for stamp in ("s1", "s2"):
         writers.publish_run(spark, root, "one", "events", stamp)
-    assert spark.read.parquet(f"{root}/published/events").count() == spark.read.parquet(f"{root}/backup/s2/events").count() == 1
+    assert writers.read_published(spark, root, "events").count() == writers.read_published(spark, root, "events", backup="s2").count() == 1
     events = d.select(F.sha2("run", 256).alias("event_id"), "run")
     for _ in range(2):
         writers.write_events(events, "stored_events")
@@ -165,3 +169,91 @@ def test_stream_equals_batch_with_disorder(spark, tmp_path):
 
 def test_tracker_overlap():
     assert streams.overlap((0, 0, 2, 2), (1, 0, 3, 2)) == 1 / 3 and streams.overlap((0, 0, 0, 0), (0, 0, 0, 0)) == 0
+
+
+def test_dominant_pairs_equal_greedy_choice_in_a_crowded_frame(spark):
+    rnd = random.Random(2)
+    rows = [(0, 7, 2, p, 1000 + b, rnd.randrange(40) / 40) for p in range(1000) for b in {rnd.randrange(1000) for _ in range(12)}]
+    # a chain: each pair is dominated by the next
+    rows += [(0, 8, 3, k // 2, 5000 + (k + 1) // 2, k / 100) for k in range(30)]
+    cands = spark.createDataFrame([("r", *r) for r in rows], "run string, camera_id long, frame long, cls int, person_det_id long, ppe_det_id long, score double")
+    taken, want = set(), set()
+    for _, f, c, p, b, s in sorted(rows, key=lambda r: (r[1], -r[5], r[4], r[3])):
+        if not {(f, "p", p), (f, "b", b)} & taken:
+            taken |= {(f, "p", p), (f, "b", b)}
+            want.add((f, p, b))
+    began = time.time()
+    assert set(ids(associate.associate(cands), "frame", "person_det_id", "ppe_det_id")) == want
+    assert time.time() - began < 60
+    assert associate.associate(cands.limit(0)).count() == 0
+
+
+def test_links_of_crowded_and_bridged_frames(spark):
+    """Mutual best within a frame: the nearer of two candidates, each side."""
+    d = dets(spark, [(0, 1, 0, 0, 0, 10, 10, 0.9), (0, 2, 0, 2, 0, 12, 10, 0.9), (1, 3, 0, 1, 0, 11, 10, 0.9), (1, 4, 0, 2, 0, 12, 10, 0.9), (31, 5, 0, 2, 0, 12, 10, 0.9), (31, 6, 0, 1, 0, 11, 10, 0.3)])
+    assert ids(track.link_detections(d), "prev_det_id", "det_id", "gap", "tier") == [(1, 3, 1, 1), (2, 4, 1, 1), (4, 5, 30, 3)]
+
+
+def test_published_version_after_a_crash_at_each_step(spark, tmp_path, monkeypatch):
+    root, steps = str(tmp_path), []
+    for run in ("a", "b"):
+        writers.write_run(spark.range(3).withColumn("run", F.lit(run)), root, run, "t")
+    writers.publish_run(spark, root, "a", "t", "s1")
+    point = writers._point
+
+    def broken(at):
+        def f(*args):
+            steps.append(args[1])
+            if len(steps) == at:
+                raise OSError("crash")
+            point(*args)
+
+        return f
+
+    for at in (1, 2):  # while the backup is kept, and while the pointer is switched
+        steps.clear()
+        monkeypatch.setattr(writers, "_point", broken(at))
+        with pytest.raises(OSError):
+            writers.publish_run(spark, root, "b", "t", "s2")
+        assert {r.run for r in writers.read_published(spark, root, "t").collect()} == {"a"}
+    monkeypatch.setattr(writers, "_point", point)
+    for _ in range(2):
+        writers.publish_run(spark, root, "b", "t", "s2")
+    assert {r.run for r in writers.read_published(spark, root, "t").collect()} == {"b"}
+    assert {r.run for r in writers.read_published(spark, root, "t", backup="s2").collect()} == {"a"}
+    with pytest.raises(FileNotFoundError):
+        writers.read_published(spark, root, "other")
+
+
+def test_event_sink_after_a_replayed_batch(spark, tmp_path):
+    """A batch whose commit is lost runs again: the table is the same."""
+    schema = "user long, ts timestamp, n long"
+    for i in range(3):
+        spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), k) for k in range(5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    path, checkpoint = str(tmp_path / "out"), tmp_path / "cp"
+    streams.start_event_sink(source, path, str(checkpoint)).awaitTermination()
+    want = ids(streams.read_event_sink(spark, path, source.schema), "user", "n")
+    assert len(want) == 15
+    for lost in ("commits", "ledger"):  # the batch was written, with and without its ledger entry
+        for f in (checkpoint / "commits").glob("*2*"):
+            f.unlink()
+        if lost == "ledger":
+            shutil.rmtree(tmp_path / "out" / "ledger" / "batch=2")
+        streams.start_event_sink(source, path, str(checkpoint)).awaitTermination()
+        assert ids(streams.read_event_sink(spark, path, source.schema), "user", "n") == want
+
+
+def test_tracks_of_a_stream_in_several_batches(spark, tmp_path):
+    """Frames in disorder and in many batches give the tracks of one batch, the last frame too; nulls are left out."""
+    rows = [("r", 0, f, T0 + dt.timedelta(milliseconds=100 * f), 10 * f + p, 0, float(100 * p + f), 0.0, float(100 * p + f + 50), 50.0, 0.9 if (f + p) % 4 else 0.3) for f in range(12) for p in range(3)]
+    rows += [("r", None, None, None, None, 0, None, None, None, None, None)]
+    found = []
+    for n, parts in enumerate(([rows], [rows[6:12], rows[0:6] + rows[36:], rows[18:30], rows[12:18], rows[30:36]])):
+        for i, part in enumerate(parts):
+            spark.createDataFrame(part, DETECTIONS).coalesce(1).write.parquet(str(tmp_path / f"in{n}" / f"{i}"))
+        source = spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / f"in{n}"))
+        closing = str(tmp_path / f"closing{n}")
+        out = streams.run_to_end(streams.track_stream(streams.closable(source, closing), delay="2 seconds", step_seconds=1), str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}"), closing)
+        found.append(ids(out, "frame", "det_id", "track_id"))
+    assert found[0] == found[1] and len(found[0]) == 35 and {t for _, _, t in found[0]} == {1, 2, 10}
