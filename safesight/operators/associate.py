@@ -18,11 +18,14 @@ def association_candidates(dets: DataFrame, weights: tuple[float, float, float]
     Heads and helmets are held against the head region, vests against the torso
     region. Score: weighted containment, proximity and confidence, to 9 decimals.
     """
-    persons = dets.where(F.col("cls") == PERSON).select(*FRAME, F.col("det_id").alias("person_det_id"), box().alias("p"))
-    items = dets.where(F.col("cls").isin(HEAD, HELMET, VEST)).select(*FRAME, "cls", F.col("det_id").alias("ppe_det_id"), box().alias("b"), "conf")
-    region = F.when(F.col("cls") == VEST, torso_region(F.col("p"))).otherwise(head_region(F.col("p")))
-    met = items.join(persons, FRAME).withColumn("r", region).where(intersection(F.col("b"), F.col("r")) > 0)
-    score = weights[0] * containment(F.col("b"), F.col("r")) + weights[1] * proximity(F.col("b"), F.col("r")) + weights[2] * F.col("conf")
+    # a row per region of a person, as plain columns: expressions over pairs stay small enough to be compiled
+    p = box()
+    regions = F.array(*(F.struct(F.lit(torso).alias("torso"), *(r[c].alias(f"r{c}") for c in ("x1", "y1", "x2", "y2"))) for torso, r in ((False, head_region(p)), (True, torso_region(p)))))
+    persons = dets.where(F.col("cls") == PERSON).select(*FRAME, F.col("det_id").alias("person_det_id"), F.inline(regions))
+    items = dets.where(F.col("cls").isin(HEAD, HELMET, VEST)).select(*FRAME, "cls", F.col("det_id").alias("ppe_det_id"), "x1", "y1", "x2", "y2", "conf", (F.col("cls") == VEST).alias("torso"))
+    b, r = box(), box("rx1", "ry1", "rx2", "ry2")
+    met = items.join(persons, [*FRAME, "torso"]).where(intersection(b, r) > 0)
+    score = weights[0] * containment(b, r) + weights[1] * proximity(b, r) + weights[2] * F.col("conf")
     return met.select(*FRAME, "cls", "person_det_id", "ppe_det_id", F.round(score, 9).alias("score"))
 
 

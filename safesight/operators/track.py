@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.functions.geometry import box, iou
+from safesight.functions.geometry import box, intersection, iou
 from safesight.lineage import cut
 from safesight.schemas import TRACK
 
 CAMERA = ["run", "camera_id"]
+BOX = ["x1", "y1", "x2", "y2"]
 
 
 def _ends(rows: DataFrame) -> DataFrame:
-    return rows.select(*CAMERA, F.col("det_id").alias("prev_det_id"), F.col("frame").alias("f1"), box().alias("b1"))
+    return rows.select(*CAMERA, F.col("det_id").alias("prev_det_id"), F.col("frame").alias("f1"), *(F.col(c).alias(f"a{c}") for c in BOX))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    return rows.select(*CAMERA, "det_id", F.col("frame").alias("f2"), box().alias("b2"))
+    return rows.select(*CAMERA, "det_id", F.col("frame").alias("f2"), *(F.col(c).alias(f"b{c}") for c in BOX))
 
 
 def _best(met: DataFrame, iou_min: float, keys: list[str]) -> DataFrame:
     """Mutual-best links (prev_det_id, det_id) of pairs: nearest frame first, then IoU, then smaller id. keys: what pairs are dealt by already."""
-    met = met.select(*keys, "prev_det_id", "det_id", (F.col("f2") - F.col("f1")).alias("gap"), F.round(iou(F.col("b1"), F.col("b2")), 9).alias("iou")).where((F.col("iou") >= iou_min) & (F.col("iou") > 0))
+    a, b = (box(*(f"{side}{c}" for c in BOX)) for side in "ab")
+    met = met.where(intersection(a, b) > 0).select(*keys, "prev_det_id", "det_id", (F.col("f2") - F.col("f1")).alias("gap"), F.round(iou(a, b), 9).alias("iou")).where(F.col("iou") >= iou_min)
     forth = Window.partitionBy(*keys, "prev_det_id").orderBy("gap", F.desc("iou"), "det_id")
     back = Window.partitionBy(*keys, "det_id").orderBy("gap", F.desc("iou"), "prev_det_id")
     return met.withColumn("r1", F.row_number().over(forth)).withColumn("r2", F.row_number().over(back)).where("r1 = 1 and r2 = 1").select(*CAMERA, "prev_det_id", "det_id", "gap", "iou")
