@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, containment, head_region, intersection, proximity, torso_region
-from safesight.lineage import cut
+from safesight.operators.matching import dominant_pairs
 from safesight.schemas import FRAME, HEAD, HELMET, PERSON, VEST
 
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -33,7 +33,7 @@ def associate(cands: DataFrame, mode: str = "one_to_one") -> DataFrame:
     """Greedy assignment by score, ties by smaller ppe_det_id, then person_det_id.
 
     box_unique: each box goes to its best person. one_to_one: besides, a person
-    gets one box of a class at most (these rounds run when it is called). A group is one
+    gets one box of a class at most (see dominant_pairs). A group is one
     class in one frame. Scores may tie; a pair is there once, as association_candidates() returns it.
     """
     if mode == "box_unique":
@@ -41,31 +41,8 @@ def associate(cands: DataFrame, mode: str = "one_to_one") -> DataFrame:
         return cands.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     if mode != "one_to_one":
         raise ValueError(mode)
-    return _one_to_one(cands)
-
-
-def _one_to_one(cands: DataFrame) -> DataFrame:
-    """Locally dominant matching: rounds that take every pair which is best for its person and its box, as greedy choice would.
-
-    A pair that touches a taken one goes, the rest is for the next round; a frame's boxes
-    are never in one row. Rows are dealt by frame and class once a round, and each round
-    is checkpointed: the first decides nearly all, later ones see what is left.
-    """
-    group = [*FRAME, "cls"]
-    rank = F.struct("score", -F.col("ppe_det_id"), -F.col("person_det_id"))
-    person, item = Window.partitionBy(*group, "person_det_id"), Window.partitionBy(*group, "ppe_det_id")
-    open_, taken = cands, None
-    while True:
-        dealt = open_.repartition(*group).withColumn("_rank", rank)
-        best = dealt.withColumn("_i", F.max("_rank").over(item)).withColumn("_p", F.max("_rank").over(person))
-        best = best.withColumn("take", (F.col("_rank") == F.col("_i")) & (F.col("_rank") == F.col("_p"))).drop("_rank", "_i", "_p")
-        judged = best.withColumn("_p", F.max("take").over(person)).withColumn("_i", F.max("take").over(item))
-        judged = cut(judged.select(*cands.columns, "take", (~F.col("_p") & ~F.col("_i")).alias("free")))
-        new = judged.where("take").select(*cands.columns)
-        taken = new if taken is None else taken.unionByName(new)
-        open_ = judged.where("free").select(*cands.columns)
-        if open_.isEmpty():
-            return taken.select(*group, "person_det_id", "ppe_det_id", "score")
+    taken = dominant_pairs(cands, [*FRAME, "cls"], "person_det_id", "ppe_det_id", F.struct("score", -F.col("ppe_det_id"), -F.col("person_det_id")))
+    return taken.select(*FRAME, "cls", "person_det_id", "ppe_det_id", "score")
 
 
 def frame_status(persons: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.functions.geometry import box, iou
+from safesight.functions.geometry import box, intersection, iou
+from safesight.lineage import cut
 from safesight.schemas import FRAME
 
 
@@ -24,12 +27,54 @@ def tiles_to_frame(tiled: DataFrame, full: DataFrame | None = None) -> DataFrame
 def suppress_overlaps(df: DataFrame, iou_max: float = 0.5) -> DataFrame:
     """Per frame and class: a box stays if no better box that stays overlaps it by more than iou_max.
 
-    Better: higher confidence, then smaller det_id. A group holds one frame's boxes.
+    Better: higher confidence, then smaller det_id (one box a frame and class). Pairs that
+    overlap come from a grid; then, in rounds, boxes without a better one stay and strike
+    out the worse ones beside them. A round runs when this is called, over the pairs left.
+    """
+    keys = [*FRAME, "cls"]
+    pairs, struck = cut(overlapping(df, iou_max)), None
+    while not pairs.isEmpty():
+        worse = pairs.select(*keys, F.col("worse").alias("better")).distinct()
+        gone = cut(pairs.join(worse, [*keys, "better"], "left_anti").select(*keys, F.col("worse").alias("det_id")).distinct())
+        struck = gone if struck is None else struck.unionByName(gone)
+        for side in ("better", "worse"):
+            pairs = pairs.join(gone.withColumnRenamed("det_id", side), [*keys, side], "left_anti")
+        pairs = cut(pairs)
+    return df if struck is None else df.join(struck, [*keys, "det_id"], "left_anti").select(*df.columns)
+
+
+def overlapping(df: DataFrame, iou_max: float) -> DataFrame:
+    """Pairs (frame, class, better, worse) of boxes that overlap by more than iou_max.
+
+    A box stands in the cells of a grid as wide as its longer side (rounded up to a power
+    of 2), four at most. It asks for larger ones in the grids of its own size and of those
+    up to 1 / iou_max times wider: from half on by its centre, which the larger box then
+    covers, below that by all its cells. So a frame's work grows with boxes and the pairs that are near.
     """
     keys = [*FRAME, "cls"]
-    rest = [c for c in df.columns if c not in keys]
-    boxes = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("_rank"), F.col("det_id").alias("_id"), box().alias("_box"), *rest)))
-    grouped = df.groupBy(*keys).agg(boxes.alias("boxes"))
-    kind = dict(grouped.dtypes)["boxes"]
-    kept = F.aggregate("boxes", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: iou(k["_box"], x["_box"]) > iou_max), acc).otherwise(F.concat(acc, F.array(x))))
-    return grouped.select(*keys, F.inline(kept)).select(*df.columns)
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(2.0**-20))
+    boxes = df.select(*keys, "det_id", "conf", "x1", "y1", "x2", "y2").withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    if iou_max > 0:
+        wider = math.ceil(math.log2(1 / iou_max) - 1e-9)
+    else:
+        low, high = boxes.agg(F.min("level"), F.max("level")).first()
+        wider = 0 if low is None else high - low
+    centre = iou_max >= 0.5
+
+    def cells(rows: DataFrame, level: str, point: bool) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col(level))
+        for axis in "xy":
+            a, b = (F.col(f"{axis}{k}") for k in (1, 2))
+            a, b = ((a + b) / 2, (a + b) / 2) if point else (a, b)
+            first, last = F.floor(a / size), F.floor(b / size)
+            rows = rows.withColumn(f"c{axis}", first) if point else rows.withColumn(f"c{axis}", F.explode(F.sequence(first, last)))
+        return rows
+
+    named = lambda rows, p: rows.select(*keys, F.col("at" if p == "s" else "level").alias("at"), "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in ("det_id", "conf", "level", "x1", "y1", "x2", "y2")))
+    homes = named(cells(boxes, "level", False), "l")
+    asks = named(cells(boxes.withColumn("at", F.explode(F.sequence(F.col("level"), F.col("level") + wider))), "at", centre), "s")
+    a, b = (box(*(f"{p}_{c}" for c in ("x1", "y1", "x2", "y2"))) for p in "sl")
+    met = asks.join(homes, [*keys, "at", "cx", "cy"]).where("s_level < l_level or (s_level = l_level and s_det_id < l_det_id)").where((intersection(a, b) > 0) & (iou(a, b) > iou_max))
+    first = (F.col("s_conf") > F.col("l_conf")) | ((F.col("s_conf") == F.col("l_conf")) & (F.col("s_det_id") < F.col("l_det_id")))
+    pairs = met.select(*keys, F.when(first, F.col("s_det_id")).otherwise(F.col("l_det_id")).alias("better"), F.when(first, F.col("l_det_id")).otherwise(F.col("s_det_id")).alias("worse"))
+    return pairs if centre else pairs.distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, iou
+from safesight.lineage import cut
+from safesight.operators.matching import dominant_pairs
+from safesight.operators.segments import carried, spans
 from safesight.schemas import FRAME
 
 
@@ -13,34 +16,32 @@ def _matched(dets: DataFrame, truth: DataFrame, iou_min: float, keys: list[str])
     """Greedy matching in each group: the best det (confidence, then id) takes its best free truth box."""
     pairs = dets.select(*keys, "det_id", "conf", box().alias("b")).join(truth.select(*keys, "truth_id", box().alias("t")), keys)
     pairs = pairs.withColumn("iou", F.round(iou(F.col("b"), F.col("t")), 9)).where(F.col("iou") >= iou_min)
-    row = F.struct((-F.col("conf")).alias("rank"), "det_id", (-F.col("iou")).alias("far"), "truth_id")
-    grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = dict(grouped.dtypes)["rows"]
+    rank = F.struct("conf", -F.col("det_id"), "iou", -F.col("truth_id"))
+    return dominant_pairs(pairs.drop("b", "t"), keys, "det_id", "truth_id", rank).select(*keys, "det_id", "truth_id")
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(F.exists(acc, lambda k: (k["det_id"] == x["det_id"]) | (k["truth_id"] == x["truth_id"])), acc).otherwise(F.concat(acc, F.array(x)))
 
-    return grouped.select(*keys, F.inline(F.aggregate("rows", F.array().cast(kind), step))).select(*keys, "det_id", "truth_id")
-
-
-def detector_ap(dets: DataFrame, truth: DataFrame, iou_min: float = 0.5, bins: int = 1000) -> DataFrame:
+def detector_ap(dets: DataFrame, truth: DataFrame, iou_min: float = 0.5) -> DataFrame:
     """Average precision per class (all-point interpolation) and a row of cls -1 with their mean.
 
-    truth: run, camera_id, frame, cls, truth_id and box. Boxes of equal confidence (to
-    1 / bins) form one step of the curve: counts per bin are aggregated first, so
-    no class is ever sorted box by box in one task.
+    truth: run, camera_id, frame, cls, truth_id and box. Boxes of equal confidence form
+    one step of the curve. Steps are in order over range partitions: running counts within
+    a partition and totals of those before it, so no class is in one task, whatever the
+    number of different confidences.
     """
     keys = [*FRAME, "cls"]
     hits = _matched(dets, truth, iou_min, keys).select(*keys, "det_id").withColumn("tp", F.lit(1))
     marked = dets.select(*keys, "det_id", "conf").join(hits, [*keys, "det_id"], "left")
-    steps = marked.groupBy("cls", F.round(F.col("conf") * bins).cast("int").alias("bin")).agg(F.count("tp").alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy("cls").orderBy(F.desc("bin"))
     total = truth.groupBy("cls").agg(F.count("*").alias("n_truth"))
-    curve = steps.withColumn("tps", F.sum("tp").over(down)).withColumn("seen", F.sum("n").over(down)).join(total, "cls")
-    curve = curve.withColumn("recall", F.col("tps") / F.col("n_truth")).withColumn("precision", F.col("tps") / F.col("seen"))
-    curve = curve.withColumn("best", F.max("precision").over(Window.partitionBy("cls").orderBy("bin")))
-    curve = curve.withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0)))
-    per_class = total.join(curve.groupBy("cls").agg(F.sum(F.col("step") * F.col("best")).alias("ap")), "cls", "left").select("cls", "n_truth", F.round(F.coalesce("ap", F.lit(0.0)), 9).alias("ap"))
+    steps = marked.groupBy("cls", (-F.col("conf")).alias("at")).agg(F.count("tp").alias("tp"), F.count("*").alias("n"))
+    steps = cut(steps.repartitionByRange("cls", "at").withColumn("block", F.spark_partition_id()))
+    several = spans(steps, ["cls"])
+    for name in ("tp", "n"):
+        steps = carried(steps, ["cls"], "at", f"{name}s", F.col(name), "sum", True, several)
+    # the best precision from a step on: the same from the other end
+    back = steps.withColumns({"precision": F.col("tps") / F.col("ns"), "at": -F.col("at"), "block": -F.col("block")})
+    back = carried(back, ["cls"], "at", "best", F.col("precision"), "max", True, several)
+    area = back.join(total, "cls").groupBy("cls").agg(F.sum(F.col("tp") / F.col("n_truth") * F.col("best")).alias("ap"))
+    per_class = total.join(area, "cls", "left").select("cls", "n_truth", F.round(F.coalesce("ap", F.lit(0.0)), 9).alias("ap"))
     mean = per_class.agg(F.lit(-1).alias("cls"), F.sum("n_truth").alias("n_truth"), F.round(F.avg("ap"), 9).alias("ap"))
     return per_class.unionByName(mean)
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from safesight.lineage import cut
 from safesight.operators.associate import associate, association_candidates, frame_status
-from safesight.operators.temporal import build_events, rule_consecutive, violations
+from safesight.operators.temporal import consecutive_events, violations
 from safesight.operators.track import assign_tracks, link_detections
 
 START_US = 1_767_225_600_000_000
@@ -64,5 +65,4 @@ def status_of(dets: DataFrame, persons: DataFrame, mode: str = "one_to_one") ->
 
 def events_of(status: DataFrame, n: int = 5) -> DataFrame:
     """Events by the consecutive rule."""
-    v = violations(status)
-    return build_events(v, rule_consecutive(v, n))
+    return consecutive_events(cut(violations(status)), n)

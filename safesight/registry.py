@@ -169,7 +169,7 @@ def _(spark, sf_dir):
 
 @register("e2_rule_consecutive", query(*sql.TRUE_STATUS, sql.VIOL, sql.RUNS, "SELECT run, camera_id, track_id, violation, first_frame AS start_frame, first_ts AS start_ts, frame AS confirm_frame, ts AS confirm_ts FROM runs WHERE nth = 5"))
 def _(spark, sf_dir):
-    return temporal.rule_consecutive(temporal.violations(_status(spark, sf_dir))).drop("island")
+    return temporal.rule_consecutive(temporal.violations(_status(spark, sf_dir)))
 
 
 @register("e3_rule_majority", query(*sql.TRUE_STATUS, sql.VIOL, """

@@ -257,3 +257,68 @@ def test_tracks_of_a_stream_in_several_batches(spark, tmp_path):
         out = streams.run_to_end(streams.track_stream(streams.closable(source, closing), delay="2 seconds", step_seconds=1), str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}"), closing)
         found.append(ids(out, "frame", "det_id", "track_id"))
     assert found[0] == found[1] and len(found[0]) == 35 and {t for _, _, t in found[0]} == {1, 2, 10}
+
+
+def observed(spark, rows):
+    """rows: track_id, frame, flag."""
+    return spark.createDataFrame([("r", 0, t, f, T0 + dt.timedelta(milliseconds=100 * f), f, "NO_VEST", x) for t, f, x in rows], "run string, camera_id long, track_id long, frame long, ts timestamp, det_id long, violation string, flag boolean")
+
+
+def test_runs_go_on_over_blocks(spark, monkeypatch):
+    """One track with all rows, in blocks of a few frames or in one: the same runs, events, clips."""
+    rnd = random.Random(5)
+    v = observed(spark, [(t, f, rnd.random() < 0.85) for t, n in ((1, 700), (2, 40), (3, 1)) for f in sorted(rnd.sample(range(2 * n), n))]).cache()
+    found = []
+    for block in (1 << 16, 1, 7, 64):
+        monkeypatch.setattr(temporal, "BLOCK", block)
+        confirmed = temporal.rule_consecutive(v, 4)
+        events = temporal.consecutive_events(v, 4, merge_gap=6)
+        assert sorted(events.collect()) == sorted(temporal.build_events(v, confirmed, merge_gap=6).collect())
+        found.append([sorted(x.collect()) for x in (confirmed, temporal.rule_duration(v, 0.6), events, temporal.clip_ranges(events, 3, 4))])
+    assert all(f == found[0] for f in found) and len(found[0][0]) > 20 and len(found[0][2]) > 5
+    assert temporal.consecutive_events(v.limit(0)).count() == 0
+
+
+def test_evidence_of_long_and_short_events(spark):
+    rnd = random.Random(6)
+    spans = [(k, k % 3, a, a + rnd.randrange(1, 300)) for k in range(40) for a in [rnd.randrange(500)]]
+    events = spark.createDataFrame([(f"e{k}", "r", 0, t, a, b) for k, t, a, b in spans], "event_id string, run string, camera_id long, track_id long, start_frame long, end_frame long")
+    rows = [("r", 0, t, f, f, rnd.randrange(50) / 50, 0.0, 0.0, 1.0, 1.0) for t in range(3) for f in range(0, 800, 1 + t)]
+    status = spark.createDataFrame(rows, "run string, camera_id long, track_id long, frame long, det_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    want = sorted((f"e{k}", i, r[3]) for k, t, a, b in spans for i, r in enumerate(sorted((r for r in rows if r[2] == t and a <= r[3] <= b), key=lambda r: (-r[5], r[3]))[:3], 1))
+    assert ids(temporal.select_evidence(events, status), "event_id", "rank", "frame") == want
+    assert temporal.select_evidence(events.limit(0), status).count() == 0
+
+
+@pytest.mark.parametrize("iou_max", [0.5, 0.7, 0.2, 0.0])
+def test_suppression_equals_the_plain_fold(spark, iou_max):
+    """Boxes of many sizes in one frame, negative corners, ties and empty boxes."""
+    rnd = random.Random(7)
+    boxes = [(0, k, 0, x := rnd.randrange(-50, 300), y := rnd.randrange(-50, 300), x + rnd.choice([1, 5, 20, 33, 64, 200]), y + rnd.choice([1, 5, 20, 33, 64, 200]), rnd.randrange(10) / 10) for k in range(300)]
+    boxes += [(0, 900 + k, 0, 10, 10, 10, 10, 0.5) for k in range(2)]
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[7], b[1])):
+        if all(streams.overlap(k[3:7], b[3:7]) <= iou_max for k in kept):
+            kept.append(b)
+    assert ids(detect.suppress_overlaps(dets(spark, boxes), iou_max), "det_id") == sorted((b[1],) for b in kept)
+
+
+def test_average_precision_over_distinct_confidences(spark):
+    """Steps in several partitions give the all-point formula."""
+    rnd = random.Random(8)
+    truth = [(f, 10 * f + k, 0, 100 * k, 0, 100 * k + 50, 50, 1.0) for f in range(40) for k in range(3)]
+    found = [(f, i, c, a + rnd.choice([0, 0, 60]), b, x + rnd.choice([0, 10]), y, rnd.random()) for f, i, c, a, b, x, y, _ in truth if rnd.random() < 0.9]
+    hit = sorted(((r[7], streams.overlap(r[3:7], (100 * (r[1] % 10), 0, 100 * (r[1] % 10) + 50, 50)) >= 0.5) for r in found), reverse=True)
+    precision, area = [], 0.0
+    for k in range(1, len(hit) + 1):
+        precision.append(sum(h for _, h in hit[:k]) / k)
+    for k, (_, h) in enumerate(hit):
+        area += h / len(truth) * max(precision[k:])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            ap = {r.cls: r.ap for r in evaluate.detector_ap(dets(spark, found), dets(spark, truth).withColumnRenamed("det_id", "truth_id")).collect()}
+            assert abs(ap[0] - area) < 1e-9 and 0.3 < area < 0.95
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
