@@ -61,13 +61,37 @@ def run_summary(events: DataFrame, status: DataFrame) -> DataFrame:
     return frames.join(kinds, "run", "left").na.fill(0, ["NO_HELMET", "NO_VEST"])
 
 
+#: What a run is recorded with, besides its name.
+FIELDS = ("manifest_sha256", "checkpoint_sha256", "config_sha256", "seed", "packages_sha256", "image_digest")
+
+
 def run_registry(runs: DataFrame) -> DataFrame:
-    """runs (run, config struct and other fields) with a hash of the configuration."""
-    return runs.withColumn("config_sha256", F.sha2(F.to_json("config"), 256))
+    """runs (run, config and other fields) with hashes of the configuration and, if there, of the package list (packages)."""
+    out = runs.withColumn("config_sha256", F.sha2(F.to_json("config"), 256))
+    return out.withColumn("packages_sha256", F.sha2(F.to_json(F.array_sort("packages")), 256)) if "packages" in runs.columns else out
+
+
+def run_classes(registry: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Like runs as one row: the fields, first_run and n_runs."""
+    return registry.groupBy(*fields).agg(F.min("run").alias("first_run"), F.count("*").alias("n_runs"))
+
+
+def one_field_apart(registry: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Groups of runs that differ in one field only: field, value, first_run and n_runs of its class, n_values and n_group of its group.
+
+    Each class of like runs gives a hash per field of all the others; classes that share
+    one are a group. So one aggregation and one equi-join find them for all fields, and the
+    result has a row per class and field, not per pair. Nulls are a value like others.
+    """
+    others = lambda f: F.sha2(F.concat(F.lit(f"{f} "), F.to_json(F.struct(*(g for g in fields if g != f)))), 256)
+    own = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), others(f).alias("key")) for f in fields))
+    keyed = run_classes(registry, fields).select("first_run", "n_runs", F.inline(own))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n_values"), F.sum("n_runs").alias("n_group")).where("n_values > 1")
+    return keyed.join(groups, "key").select("field", "value", "first_run", "n_runs", "n_values", "n_group")
 
 
 def runs_that_differ_in(runs: DataFrame, field: str, fields: list[str]) -> DataFrame:
-    """Pairs of runs alike in every one of fields but the one named (an equi-join on the others)."""
+    """Pairs of runs alike in every one of fields but the one named: all pairs, so for few runs (else see one_field_apart)."""
     same = [f for f in fields if f != field]
     other = runs.select(F.col("run").alias("other_run"), F.col(field).alias(f"other_{field}"), *same)
     return runs.select("run", field, *same).join(other, same).where((F.col("run") < F.col("other_run")) & ~F.col(field).eqNullSafe(F.col(f"other_{field}"))).select("run", "other_run", field, f"other_{field}")

@@ -54,6 +54,29 @@ def compare_profiles(alerts: list[DataFrame], truth: DataFrame | None = None) ->
     return out if truth is None else out.join(truth.withColumnRenamed("n", "truth"), ["camera_id", "violation"], "full").na.fill(0, [*names, "truth"])
 
 
+def profile_accuracy(alerts: list[DataFrame], truth: DataFrame, slack: int = 10, bucket: int = 64) -> DataFrame:
+    """Event accuracy per profile and type: alerts, those within a true event, events with an alert; precision, recall and mean delay of the first.
+
+    truth: camera_id, violation, truth_id, start_frame, end_frame. An alert is right if its
+    frame is in an event of its camera and type, or up to slack frames after it (a rule
+    confirms late). Buckets of frames are equi keys, so a busy camera is no single task.
+    """
+    every = alerts[0]
+    for a in alerts[1:]:
+        every = every.unionByName(a)
+    every = every.withColumn("alert", F.struct("track_id", "frame")).withColumn("bucket", F.floor(F.col("frame") / bucket))
+    last = F.col("end_frame") + slack
+    held = truth.select("camera_id", "violation", "truth_id", "start_frame", last.alias("last"), F.explode(F.sequence(F.floor(F.col("start_frame") / bucket), F.floor(last / bucket))).alias("bucket"))
+    met = every.join(held, ["camera_id", "violation", "bucket"]).where(F.col("frame").between(F.col("start_frame"), F.col("last")))
+    key = ["profile", "violation"]
+    right = met.select(*key, "run", "camera_id", "alert").distinct().groupBy(*key).agg(F.count("*").alias("right"))
+    first = met.groupBy(*key, "camera_id", "truth_id").agg(F.min(F.col("frame") - F.col("start_frame")).alias("delay"))
+    found = first.groupBy(*key).agg(F.count("*").alias("found"), F.round(F.avg("delay"), 9).alias("mean_delay"))
+    n = every.select(*key, "run", "camera_id", "alert").distinct().groupBy(*key).agg(F.count("*").alias("alerts"))
+    out = n.join(truth.groupBy("violation").agg(F.count("*").alias("events")), "violation").join(right, key, "left").join(found, key, "left").na.fill(0, ["right", "found"])
+    return out.select(*key, "alerts", "events", "right", "found", F.round(F.col("right") / F.col("alerts"), 9).alias("precision"), F.round(F.col("found") / F.col("events"), 9).alias("recall"), "mean_delay")
+
+
 def ablate(dets: DataFrame, tracking: bool = True, association: bool = True, engine: bool = True, seconds: float = 1.0, linked: DataFrame | None = None) -> DataFrame:
     """The three switches and the time threshold, for helmets alone; linked: the person tracks, if there already."""
     if not association:

@@ -274,6 +274,27 @@ def _(spark, sf_dir):
     return review.runs_that_differ_in(review.run_registry(runs), "status", ["status", "priority", "customer"])
 
 
+REGISTRY = """reg AS (SELECT o_orderkey AS run, sha256(o_orderpriority) AS manifest_sha256, sha256(o_orderstatus) AS checkpoint_sha256, sha256('{"rate":' || o_custkey % 5 || ',"batch":' || o_custkey % 2 || '}') AS config_sha256, o_custkey % 7 AS seed,
+  sha256('["p' || o_custkey % 3 || '","q1"]') AS packages_sha256, CASE WHEN o_custkey % 11 <> 0 THEN 'img' || o_custkey % 3 END AS image_digest FROM orders),
+cls AS (SELECT manifest_sha256, checkpoint_sha256, config_sha256, seed, packages_sha256, image_digest, min(run) AS first_run, count(*) AS n_runs FROM reg GROUP BY ALL)"""
+
+
+def _apart(field):
+    others = ", ".join(f for f in review.FIELDS if f != field)
+    return f"SELECT '{field}' AS field, {field}::VARCHAR AS value, first_run, n_runs, count(*) OVER w AS n_values, sum(n_runs) OVER w::BIGINT AS n_group FROM cls WINDOW w AS (PARTITION BY {others})"
+
+
+@register("q8_one_field_apart", query(REGISTRY, f"SELECT * FROM ({' UNION ALL '.join(_apart(f) for f in review.FIELDS)}) WHERE n_values > 1".replace("sum(n_runs) OVER w::BIGINT", "(sum(n_runs) OVER w)::BIGINT")))
+def _(spark, sf_dir):
+    """Runs recorded with manifest, checkpoint, configuration, seed, packages and image."""
+    c = F.col("o_custkey")
+    runs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run"), F.sha2("o_orderpriority", 256).alias("manifest_sha256"), F.sha2("o_orderstatus", 256).alias("checkpoint_sha256"), F.struct((c % 5).alias("rate"), (c % 2).alias("batch")).alias("config"),
+        (c % 7).alias("seed"), F.array(F.lit("q1"), F.concat(F.lit("p"), (c % 3).cast("string"))).alias("packages"), F.when(c % 11 != 0, F.concat(F.lit("img"), (c % 3).cast("string"))).alias("image_digest"),
+    )
+    return review.one_field_apart(review.run_registry(runs))
+
+
 # profiles
 
 HEAD_LINKS, HEAD_TRACKS = (s.replace("cls = 0", "cls = 1") for s in (sql.LINKS, sql.TRACKS))
@@ -316,6 +337,19 @@ def _(spark, sf_dir):
     return profiles.compare_profiles([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, persons), profiles.profile_d(dets, persons)], truth)
 
 
+@register("p5_profile_accuracy", query(*sql.TRUE_EVENTS, H_TRACKS, f"al AS ({A} UNION ALL {B.replace('FROM trk', 'FROM h_trk')} UNION ALL {C} UNION ALL {D})", """
+tr AS (SELECT w // 5 AS camera_id, v AS violation, w AS truth_id, s AS start_frame, e AS end_frame FROM (SELECT DISTINCT w, 'NO_HELMET' AS v, 10 AS s, 29 AS e FROM wk WHERE w % 4 = 0 UNION ALL SELECT DISTINCT w, 'NO_VEST', 5, 34 FROM wk WHERE w % 6 = 1)),
+mt AS (SELECT profile, al.violation, al.run, al.camera_id, track_id, frame, truth_id, start_frame FROM al JOIN tr ON al.camera_id = tr.camera_id AND al.violation = tr.violation AND frame BETWEEN start_frame AND end_frame + 10),
+fi AS (SELECT profile, violation, camera_id, truth_id, min(frame - start_frame) AS delay FROM mt GROUP BY ALL)""", """
+SELECT n.profile, n.violation, n.alerts, e.events, coalesce(r."right", 0) AS "right", coalesce(f.found, 0) AS found, round(coalesce(r."right", 0) / alerts, 9) AS precision, round(coalesce(f.found, 0) / events, 9) AS recall, round(f.mean_delay, 9) AS mean_delay
+FROM (SELECT profile, violation, count(DISTINCT (run, camera_id, track_id, frame)) AS alerts FROM al GROUP BY ALL) n JOIN (SELECT violation, count(*) AS events FROM tr GROUP BY ALL) e USING (violation)
+LEFT JOIN (SELECT profile, violation, count(DISTINCT (run, camera_id, track_id, frame)) AS "right" FROM mt GROUP BY ALL) r USING (profile, violation) LEFT JOIN (SELECT profile, violation, count(*) AS found, avg(delay) AS mean_delay FROM fi GROUP BY ALL) f USING (profile, violation)"""))
+def _(spark, sf_dir):
+    dets = plan.detections(spark, sf_dir)
+    persons = plan.true_tracks(dets)
+    return profiles.profile_accuracy([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, persons), profiles.profile_d(dets, persons)], truth_events(spark, sf_dir))
+
+
 @register("p6_ablate", query(*sql.LINKED_EVENTS[:8], "SELECT 'ablation' AS profile, run, camera_id, track_id, violation, min(frame) AS frame FROM runs WHERE violation = 'NO_HELMET' AND ts - first_ts >= 1000000 GROUP BY run, camera_id, track_id, violation, first_frame"))
 def _(spark, sf_dir):
     return profiles.ablate(plan.detections(spark, sf_dir))
