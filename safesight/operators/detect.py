@@ -11,6 +11,9 @@ from safesight.functions.geometry import box, intersection, iou
 from safesight.lineage import cut
 from safesight.schemas import FRAME
 
+#: Boxes of a frame and class up to which they are one row.
+CROWD = 64
+
 
 def filter_detections(df: DataFrame, min_conf: float = 0.0, classes: list[int] | None = None) -> DataFrame:
     """Confidence and class predicate (pushed into Parquet)."""
@@ -27,11 +30,31 @@ def tiles_to_frame(tiled: DataFrame, full: DataFrame | None = None) -> DataFrame
 def suppress_overlaps(df: DataFrame, iou_max: float = 0.5) -> DataFrame:
     """Per frame and class: a box stays if no better box that stays overlaps it by more than iou_max.
 
-    Better: higher confidence, then smaller det_id (one box a frame and class). Pairs that
-    overlap come from a grid; then, in rounds, boxes without a better one stay and strike
-    out the worse ones beside them. A round runs when this is called, over the pairs left.
+    Better: higher confidence, then smaller det_id (one box a frame and class). A group of
+    up to CROWD boxes is one row and a fold over it; larger ones go by _in_rounds(). Which
+    there are is counted when this is called.
     """
     keys = [*FRAME, "cls"]
+    crowded = cut(df.groupBy(*keys).count().where(F.col("count") > CROWD).select(*keys))
+    if crowded.isEmpty():
+        return _folded(df, iou_max)
+    return _folded(df.join(crowded, keys, "left_anti"), iou_max).unionByName(_in_rounds(df.join(crowded, keys, "left_semi"), iou_max))
+
+
+def _folded(df: DataFrame, iou_max: float) -> DataFrame:
+    """Groups of few boxes, one row each."""
+    keys = [*FRAME, "cls"]
+    rest = [c for c in df.columns if c not in keys]
+    boxes = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("_rank"), F.col("det_id").alias("_id"), box().alias("_box"), *rest)))
+    grouped = df.groupBy(*keys).agg(boxes.alias("boxes"))
+    kind = dict(grouped.dtypes)["boxes"]
+    kept = F.aggregate("boxes", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: iou(k["_box"], x["_box"]) > iou_max), acc).otherwise(F.concat(acc, F.array(x))))
+    return grouped.select(*keys, F.inline(kept)).select(*df.columns)
+
+
+def _in_rounds(df: DataFrame, iou_max: float) -> DataFrame:
+    """Pairs that overlap come from a grid; then boxes without a better one stay and strike out the worse ones beside them, until no pair is left."""
+    keys = [*FRAME, "cls"]
     pairs, struck = cut(overlapping(df, iou_max)), None
     while not pairs.isEmpty():
         worse = pairs.select(*keys, F.col("worse").alias("better")).distinct()
@@ -40,7 +63,7 @@ def suppress_overlaps(df: DataFrame, iou_max: float = 0.5) -> DataFrame:
         for side in ("better", "worse"):
             pairs = pairs.join(gone.withColumnRenamed("det_id", side), [*keys, side], "left_anti")
         pairs = cut(pairs)
-    return df if struck is None else df.join(struck, [*keys, "det_id"], "left_anti").select(*df.columns)
+    return (df if struck is None else df.join(struck, [*keys, "det_id"], "left_anti")).select(*df.columns)
 
 
 def overlapping(df: DataFrame, iou_max: float) -> DataFrame:

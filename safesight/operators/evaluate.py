@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.functions.geometry import box, iou
+from safesight.functions.geometry import box, intersection, iou
 from safesight.lineage import cut
 from safesight.operators.matching import dominant_pairs
 from safesight.operators.segments import carried, spans
@@ -14,10 +14,13 @@ from safesight.schemas import FRAME
 
 def _matched(dets: DataFrame, truth: DataFrame, iou_min: float, keys: list[str]) -> DataFrame:
     """Greedy matching in each group: the best det (confidence, then id) takes its best free truth box."""
-    pairs = dets.select(*keys, "det_id", "conf", box().alias("b")).join(truth.select(*keys, "truth_id", box().alias("t")), keys)
-    pairs = pairs.withColumn("iou", F.round(iou(F.col("b"), F.col("t")), 9)).where(F.col("iou") >= iou_min)
+    side = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")]
+    a, b = (box(*(f"{p}{c}" for c in ("x1", "y1", "x2", "y2"))) for p in "dt")
+    met = dets.select(*keys, "det_id", "conf", *side("d")).join(truth.select(*keys, "truth_id", *side("t")), keys)
+    met = met.where(intersection(a, b) > 0) if iou_min > 0 else met
+    pairs = met.select(*keys, "det_id", "conf", "truth_id", F.round(iou(a, b), 9).alias("iou")).where(F.col("iou") >= iou_min)
     rank = F.struct("conf", -F.col("det_id"), "iou", -F.col("truth_id"))
-    return dominant_pairs(pairs.drop("b", "t"), keys, "det_id", "truth_id", rank).select(*keys, "det_id", "truth_id")
+    return dominant_pairs(pairs, keys, "det_id", "truth_id", rank).select(*keys, "det_id", "truth_id")
 
 
 def detector_ap(dets: DataFrame, truth: DataFrame, iou_min: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: numpy's names of the types of rows in state.
+KINDS = {"long": "int64", "double": "float64", "boolean": "bool"}
+
+
 class InOrder(StatefulProcessor):
     """Gives a key's rows to ``due`` in order of time, once the watermark has passed them.
 
@@ -40,9 +45,12 @@ class InOrder(StatefulProcessor):
         self.buffer = handle.getMapState("buffer", "step long, part long", ", ".join(f"{c} array<{kind}>" for c, kind in self.ROW.items()))
         self.mark = handle.getValueState("mark", "parts long, timer long")
 
-    def _wait(self, rows: pd.DataFrame, parts: int) -> int:
-        for step, own in rows.groupby(rows["ts"] // self.step):
-            self.buffer.updateValue((int(step), parts), tuple(own[c].tolist() for c in self.ROW))
+    def _wait(self, rows: list[np.ndarray], parts: int) -> int:
+        """Put rows (columns in ROW's order) into the state of their steps."""
+        step = rows[0] // self.step
+        for own in np.unique(step).tolist():
+            at = step == own
+            self.buffer.updateValue((own, parts), tuple(c[at].tolist() for c in rows))
             parts += 1
         return parts
 
@@ -60,11 +68,12 @@ class InOrder(StatefulProcessor):
         parts, timer = self.mark.get() if self.mark.exists() else (0, None)
         first = None
         for df in rows:
-            df = df[list(self.ROW)].dropna()
+            if df[list(self.ROW)].isna().to_numpy().any():
+                df = df.dropna(subset=list(self.ROW))
             if len(df):
-                df = df.assign(ts=df["ts"].astype("datetime64[us]").astype("int64"))
-                parts = self._wait(df, parts)
-                first = min(int(df["ts"].min()), first if first is not None else int(df["ts"].min()))
+                own = [df["ts"].to_numpy("datetime64[us]").astype("int64"), *(df[c].to_numpy(KINDS[k]) for c, k in list(self.ROW.items())[1:])]
+                parts = self._wait(own, parts)
+                first = min(int(own[0].min()), first if first is not None else int(own[0].min()))
         if first is not None:
             earlier = timer is None or first // 1000 + 1 < timer
             self._rearm(parts, timer, first if earlier else (timer - 1) * 1000)
@@ -72,23 +81,26 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        keys = sorted(self.buffer.keys())
+        held = sorted(self.buffer.keys())
         parts = self.mark.get()[0]
-        read = [k for k in keys if k[0] * self.step < until]
-        later = [k[0] for k in keys if k[0] * self.step >= until]
-        rows = pd.concat([pd.DataFrame(dict(zip(self.ROW, self.buffer.getValue(k)))) for k in read], ignore_index=True) if read else pd.DataFrame(columns=list(self.ROW))
+        read = [k for k in held if k[0] * self.step < until]
+        later = [k[0] for k in held if k[0] * self.step >= until]
+        found = [self.buffer.getValue(k) for k in read]
         for k in read:
             self.buffer.removeKey(k)
-        rest = rows[rows["ts"] >= until]
-        parts = self._wait(rest, parts)
-        nearest = int(rest["ts"].min()) if len(rest) else later[0] * self.step if later else None
-        self._rearm(parts, None, nearest)
-        out = self.due(key, rows[rows["ts"] < until].sort_values(list(self.ROW)[:2]))
+        rows = [np.concatenate([np.asarray(f[i], KINDS[k]) for f in found]) if found else np.zeros(0, KINDS[k]) for i, k in enumerate(self.ROW.values())]
+        late = rows[0] >= until
+        if late.any():
+            parts = self._wait([c[late] for c in rows], parts)
+        self._rearm(parts, None, int(rows[0][late].min()) if late.any() else later[0] * self.step if later else None)
+        order = np.lexsort((rows[1], rows[0]))
+        order = order[~late[order]]
+        out = self.due(key, [c[order] for c in rows])
         if out is not None:
             yield out
 
-    def due(self, key, rows: pd.DataFrame) -> pd.DataFrame | None:
-        """What the rows give; they come in order of their first two columns."""
+    def due(self, key, rows: list[np.ndarray]) -> pd.DataFrame | None:
+        """What the rows (columns in ROW's order) give; they come in order of their first two columns."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -108,10 +120,10 @@ class Consecutive(InOrder):
         super().init(handle)
         self.run = handle.getValueState("run", "n long, start long")
 
-    def due(self, key, rows: pd.DataFrame) -> pd.DataFrame | None:
+    def due(self, key, rows: list[np.ndarray]) -> pd.DataFrame | None:
         n, start = self.run.get() if self.run.exists() else (0, 0)
         out = []
-        for at, flag in zip(rows["ts"].tolist(), rows["flag"].tolist()):
+        for at, flag in zip(rows[0].tolist(), rows[2].tolist()):
             n, start = (n + 1, start if n else at) if flag else (0, 0)
             if n == self.n:
                 out.append((*key, start, at))
@@ -272,7 +284,8 @@ class Tracker(InOrder):
         super().init(handle)
         self.live = handle.getMapState("live", "track_id long", "frame long, x1 double, y1 double, x2 double, y2 double")
 
-    def due(self, key, rows: pd.DataFrame) -> pd.DataFrame | None:
+    def due(self, key, columns: list[np.ndarray]) -> pd.DataFrame | None:
+        rows = pd.DataFrame(dict(zip(self.ROW, columns)))
         held = {k[0]: tuple(v) for k, v in self.live.iterator()}
         live, out = dict(held), []
         rows = rows[rows["conf"] >= self.low]

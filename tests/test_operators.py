@@ -290,9 +290,10 @@ def test_evidence_of_long_and_short_events(spark):
     assert temporal.select_evidence(events.limit(0), status).count() == 0
 
 
-@pytest.mark.parametrize("iou_max", [0.5, 0.7, 0.2, 0.0])
-def test_suppression_equals_the_plain_fold(spark, iou_max):
-    """Boxes of many sizes in one frame, negative corners, ties and empty boxes."""
+@pytest.mark.parametrize(("iou_max", "crowd"), [(0.5, 64), (0.5, 1000), (0.7, 64), (0.2, 64), (0.0, 64)])
+def test_suppression_equals_the_plain_fold(spark, monkeypatch, iou_max, crowd):
+    """Boxes of many sizes in one frame, negative corners, ties and empty boxes; by rounds over a grid, and by one fold."""
+    monkeypatch.setattr(detect, "CROWD", crowd)
     rnd = random.Random(7)
     boxes = [(0, k, 0, x := rnd.randrange(-50, 300), y := rnd.randrange(-50, 300), x + rnd.choice([1, 5, 20, 33, 64, 200]), y + rnd.choice([1, 5, 20, 33, 64, 200]), rnd.randrange(10) / 10) for k in range(300)]
     boxes += [(0, 900 + k, 0, 10, 10, 10, 10, 0.5) for k in range(2)]
@@ -303,6 +304,14 @@ def test_suppression_equals_the_plain_fold(spark, iou_max):
     assert ids(detect.suppress_overlaps(dets(spark, boxes), iou_max), "det_id") == sorted((b[1],) for b in kept)
 
 
+def test_a_crowded_frame_is_quick(spark):
+    """20,000 boxes of one frame, each with its shifted copy."""
+    rows = spark.range(20_000).selectExpr("'r' as run", "0L as camera_id", "0L as frame", "timestamp '2026-01-01' as ts", "id as det_id", "0 as cls", "cast(id div 2 % 100 * 12 + id % 2 as double) as x1", "cast(id div 200 * 12 as double) as y1", "cast(id div 2 % 100 * 12 + id % 2 + 10 as double) as x2", "cast(id div 200 * 12 + 10 as double) as y2", "0.5 as conf")
+    began = time.time()
+    assert detect.suppress_overlaps(rows.unionByName(rows.selectExpr("run", "camera_id", "1L as frame", "ts", "det_id", "cls", "x1", "y1", "x2", "y2", "conf").limit(10))).where("det_id % 2 = 0").count() == 10_005
+    assert time.time() - began < 90
+
+
 def test_average_precision_over_distinct_confidences(spark):
     """Steps in several partitions give the all-point formula."""
     rnd = random.Random(8)
