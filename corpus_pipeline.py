@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from safesight.llm import bpe, decontaminate, jaccard_join, secrets, toxicity
@@ -20,11 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that share 80 % of their five-word shingles the document with the smallest id stays (once, if its row is repeated)."""
+    """Of each component of texts that share 80 % of their five-word shingles the document with the smallest id stays (the least text, if rows share it; all rows without an id stay)."""
     found = jaccard_join.join(docs.select("doc_id", "text"), n=5, percent=80)
     kept = by_ids(docs, cut(found.where("component_id <> doc_id").select("doc_id").distinct()), "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if repeated.where("doc_id is not null").isEmpty():
+        return kept
+    least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    return kept.withColumn("_place", least).where("_place = 1 or doc_id is null").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

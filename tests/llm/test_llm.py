@@ -89,6 +89,21 @@ def test_secret_models_judge_text(spark):
     assert sum(got[i] == [v] for i, v in enumerate(drawn, len(plain))) >= 57
 
 
+IDENTIFIERS = """getUserProfileByAccountId parseJsonResponseBody ArrayIndexOutOfBoundsException transformWithStateInPandas text/html-fragment/v1 application/json-patch/v2 max_concurrent_connections_64
+src/main/java/resources/config handleExpiredTimerCallback python_multiprocessing_queue MAX_UPLOAD_SIZE_BYTES release-candidate-2024-10 isAuthenticatedUserSession""".split()
+
+
+def test_identifiers_are_no_secrets(spark):
+    """Camel case, constants, paths, types and versions, beside keys of 16 characters and more."""
+    ratios = secrets.train(secrets.samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    rnd = random.Random(4)
+    drawn = ["".join(rnd.choice(secrets.ALPHABET[:62]) for _ in range(16 + k % 25)) for k in range(100)]
+    rows = [(k, f"see {v} there") for k, v in enumerate(IDENTIFIERS + drawn)]
+    got = {r.id: [s.value for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    assert [v for k, v in enumerate(IDENTIFIERS) if got[k]] == []
+    assert sum(got[k] == [v] for k, v in enumerate(drawn, len(IDENTIFIERS))) >= 97
+
+
 def test_secrets_of_a_long_text(spark):
     """Time grows little faster than the number of matches."""
     digest = hashlib.md5(b"x").hexdigest()

@@ -68,6 +68,13 @@ def test_pipeline_drops_scattered_edits(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_pipeline_keeps_rows_without_id_and_the_least_text(spark):
+    text = "a text of seven words or so {}"
+    docs = spark.createDataFrame([(None, "one"), (None, "two"), (5, text.format("b")), (5, "another text under the same id"), (5, text.format("b")), (6, None), (6, "x y z")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.withColumn("_x", F.lit(1)), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "one"), (0, "two"), (5, text.format("b")), (6, "")] and kept.columns == ["doc_id", "text", "_x"]
+
+
 def test_recall_after_deletions_of_all_sizes():
     rng = np.random.default_rng(7)
     sizes = [5, 8, 16, 30, 45, 47, 48, 59, 100, 150, 250, 400]
