@@ -17,6 +17,7 @@ distinct n-word shingles (64-bit hashes). Steps, all Spark jobs:
    leader, so that a group of copies joins one component without all its pairs.
    Then all pairs of different components that share a bucket are verified: the
    texts outside a bucket's commonest component, dealt by salt, meet the bucket.
+   Buckets of more than DEALT_ROWS rows are dealt out for all these joins.
    Two texts of different components find all their common tokens in such mixed
    buckets, so shared tokens are counted there alone.
 5. Components by alternating stars.
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.llm.common import by_ids, components, cut, discard, in_parts, per_text, shingle_set, table_path, whole_texts, word_hashes, written
+from safesight.llm.common import by_ids, components, cut, discard, forget, in_parts, per_text, shingle_set, table_path, whole_texts, word_hashes, written
 
 CELLS = 1 << 22
 SLICES = 64
@@ -47,6 +48,8 @@ GROWTH = ((4, 40), (32, 20))
 LEADERS = 2
 #: Texts outside the commonest component of a bucket that one salt takes.
 SALT_ROWS = 512
+#: Rows of a bucket that meet its leader in one task; larger buckets are dealt out by document.
+DEALT_ROWS = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -140,7 +143,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     texts = whole_texts(docs, F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    every = written(_prefixes(texts, n, percent))
+    every = written(_prefixes(texts, n, percent), codec="zstd")
     reps = every.where("size > 0").groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     base = (F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1).cast("int")
     tokens = reps.select("doc", F.explode(F.slice("prefix", F.lit(1), base)).alias("token"))
@@ -151,15 +154,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     needs = cost.join(reps, "doc").select("doc", "size", need.cast("int").alias("need"), "prefix")
     spark = docs.sparkSession
     path = table_path(spark)
-    longer = written(needs.select("doc", F.col("size").cast("int").alias("size"), "need", F.posexplode(F.slice("prefix", F.lit(1), base + F.col("need") - 1)).alias("at", "token")), path)
+    longer = written(needs.select("doc", F.col("size").cast("int").alias("size"), "need", F.posexplode(F.slice("prefix", F.lit(1), base + F.col("need") - 1)).alias("at", "token")), path, "zstd")
+    forget(spark)
     # before: how many tokens of other texts' prefixes stand before this one; alone: how many others the prefix has
     own = Window.partitionBy("doc")
     before = (F.row_number().over(own.orderBy("at")) - 1).alias("before")
     alone = (F.max("at").over(own) - F.count("*").over(own)).cast("int").alias("alone")
-    rows = written(longer.join(_frequent(longer), "token").select("token", "doc", "size", "need", "at", before, alone))
+    deal = F.pmod(F.xxhash64("doc"), F.floor(F.col("df") / DEALT_ROWS) + 1).cast("int").alias("deal")
+    prefixes = table_path(spark)
+    rows = written(longer.join(_frequent(longer), "token").select("token", "doc", "size", "need", "at", deal, before, alone), prefixes, "zstd")
     discard(spark, path)
+    forget(spark)
 
-    links = _links(rows, texts, n, percent)
+    links = _links(rows, texts, n, percent, prefixes)
     parts = components(links)
     known = reps.select("d1", "d2", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
     return every.select("doc", "size", "d1", "d2").join(known, ["d1", "d2"], "left").select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
@@ -195,13 +202,19 @@ def _sharing(met: DataFrame) -> DataFrame:
 MEMBER = ("doc", "size", "need", "at", "before", "part")
 
 
-def _links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _dealt(buckets: DataFrame) -> DataFrame:
+    """A row per bucket and deal, of buckets with their largest deal."""
+    return buckets.withColumn("deal", F.explode(F.sequence(F.lit(0), "deal")))
+
+
+def _links(rows: DataFrame, texts: DataFrame, n: int, percent: int, path: str) -> DataFrame:
     """All links but those inside a component that other links already join.
 
     A bucket's first leader is the text with the fewest tokens of its own, as the
     original of a group of copies has; later ones are drawn by hash. Leaders only save
-    work: what they miss is verified in the last turn.
+    work: what they miss is verified in the last turn. The rows' table at path is deleted.
     """
+    spark = texts.sparkSession
     links = tested = parts = None
     for turn in range(LEADERS + 1):
         named = rows.withColumn("part", F.col("doc"))
@@ -209,34 +222,40 @@ def _links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
             parts = components(links).withColumnRenamed("node", "doc")
             named = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
         if turn == 1 and links is not None:  # buckets of one component are done for good
-            mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
-            rows = written(named.join(mixed, "token", "left_semi").drop("part"))
+            mixed = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("deal").alias("deal")).where("p < q").select("token", "deal")
+            left = table_path(spark)
+            rows = written(named.join(_dealt(mixed), ["token", "deal"], "left_semi").drop("part").select(*rows.columns), left, "zstd")
+            discard(spark, path)
+            path = left
             named = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
         other = [F.col(c).alias(f"{c}2") for c in MEMBER]
         drawn = F.struct(*(["alone"] if turn == 0 else []), F.xxhash64("doc", F.lit(turn)).alias("h"), *other)
         if turn < LEADERS:
-            led = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(drawn).alias("leader")).where("p < q")
-            met = named.join(led.select("token", "leader"), "token").select("*", "leader.*")
+            led = named.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("deal").alias("deal"), F.min(drawn).alias("leader")).where("p < q")
+            met = named.join(_dealt(led.select("token", "deal", "leader")), ["token", "deal"]).select("*", "leader.*")
             pairs = _sharing(met.where((F.col("part") != F.col("part2")) & _close(percent)))
         else:
             pairs = _sharing(_mixed(named, percent))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        forget(spark)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = _verified(pairs, texts, n, percent)
         links = found if links is None else cut(links.unionByName(found))
-    return texts.sparkSession.createDataFrame([], "a long, b long") if links is None else links
+        forget(spark)
+    discard(spark, path)
+    return spark.createDataFrame([], "a long, b long") if links is None else links
 
 
 def _mixed(named: DataFrame, percent: int) -> DataFrame:
     """Pairs of rows of a bucket that are of different components and may link."""
-    shares = named.groupBy("token", "part").agg(F.count("*").alias("rows"))
+    shares = named.groupBy("token", "part").agg(F.count("*").alias("rows"), F.max("deal").alias("deal"))
     most = F.max(F.struct("rows", "part"))
-    mixed = shares.groupBy("token").agg(most["part"].alias("common"), F.count("*").alias("parts"), (F.sum("rows") - most["rows"]).alias("rest")).where("parts > 1")
-    bucket = named.join(mixed.select("token", "common", F.floor(F.col("rest") / SALT_ROWS).cast("int").alias("last")), "token").drop("alone")
+    mixed = shares.groupBy("token").agg(most["part"].alias("common"), F.count("*").alias("parts"), (F.sum("rows") - most["rows"]).alias("rest"), F.max("deal").alias("deal")).where("parts > 1")
+    bucket = named.join(_dealt(mixed.select("token", "deal", "common", F.floor(F.col("rest") / SALT_ROWS).cast("int").alias("last"))), ["token", "deal"]).drop("alone", "deal")
     few = bucket.where("part <> common").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("last") + 1).cast("int")).drop("common", "last")
     every = bucket.select("token", *(F.col(c).alias(f"{c}2") for c in MEMBER), (F.col("part") == F.col("common")).alias("base"), F.explode(F.sequence(F.lit(0), "last")).alias("salt"))
     return few.join(every, ["token", "salt"]).where((F.col("part") != F.col("part2")) & (F.col("base") | (F.col("doc") < F.col("doc2"))) & _close(percent))

@@ -471,9 +471,10 @@ def brute_components(rows, percent=90, n=3):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("leaders, salt", [(2, 512), (0, 3)])
-def test_jaccard_against_brute_force(spark, monkeypatch, leaders, salt):
+@pytest.mark.parametrize("leaders, salt, dealt", [(2, 512, 1 << 20), (0, 3, 7), (2, 512, 7)])
+def test_jaccard_against_brute_force(spark, monkeypatch, leaders, salt, dealt):
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "DEALT_ROWS", dealt)
     monkeypatch.setattr(jaccard_join, "SALT_ROWS", salt)
     rnd = random.Random(8)
     vocab = [f"v{i}" for i in range(2000)]
