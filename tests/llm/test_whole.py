@@ -1,5 +1,7 @@
 """Each operator does its whole job where a shorter way would look alike on small tables."""
 
+import collections
+
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
@@ -75,6 +77,23 @@ def test_pipeline_keeps_rows_without_id_and_the_least_text(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "one"), (0, "two"), (5, text.format("b")), (6, "")] and kept.columns == ["doc_id", "text", "_x"]
 
 
+def test_pipeline_of_odd_rows(spark, sf):
+    """Nulls, empty, very long and repeated texts, columns with clashing names and an empty table, through all stages."""
+    own = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    odd = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "x" * 50_000), (6, "é ß 日本語 🙂 ok"), (7, "a b c " * 5000), (None, "no id"), (None, None)]
+    rows = spark.createDataFrame([(None if i is None else 10**6 + i, None, None, None, t) for i, t in odd], "doc_id long, source string, lang string, n_chars long, text string")
+    clash = {c: F.lit("x") for c in ("id", "doc", "label", "score", "size", "token", "part", "h", "component_id")}
+    docs = own.select(rows.columns).unionByName(rows).withColumns(clash)
+    for given, want in ((docs, {None: 2, **{10**6 + i: 1 for i in range(1, 8)}}), (docs.limit(0), {})):
+        kept = given
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, sf)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert kept.columns == docs.columns, name
+        got = collections.Counter(r.doc_id for r in kept.collect())
+        assert {i: n for i, n in got.items() if i is None or i > 10**6} == want and all(n == 1 for i, n in got.items() if i is not None)
+
+
 def test_recall_after_deletions_of_all_sizes():
     rng = np.random.default_rng(7)
     sizes = [5, 8, 16, 30, 45, 47, 48, 59, 100, 150, 250, 400]
