@@ -4,18 +4,21 @@ A line that starts with ">" signs (spaces between them allowed) is quoted; their
 number is its level. Adjacent lines of one level are a passage, which blank lines
 split into paragraphs. Passages, paragraphs and single lines are normalised
 (lower case, white space and line breaks to one space, trimmed), so that a quote
-may be wrapped anew, and hashed. Each quoted one points to the latest earlier
-message of its conversation that has the same text as its own words, be it the
-whole message, one of its passages, a paragraph or a line.
+may be wrapped anew, and hashed. So is every run of RUN words of a paragraph, by
+which a quote links that was cut in the middle of a sentence. Each quoted one points
+to the latest earlier message of its conversation that has the same text as its own
+words, be it the whole message, one of its passages, a paragraph, a line or a run.
 
 A message replies to what the best evidence among its quotes points to: quotes of
-the lowest level first, then whole passages before paragraphs before lines, then
+the lowest level first, then whole passages before paragraphs before lines before runs, then
 most characters, then the later message. So a short line that many messages share
 ("ok") decides only where nothing larger links. Messages without a match open a
 thread of their own. Following replies up gives each message its thread and
 depth; place numbers the messages of a conversation thread by thread, in which
 every reply stands after what it answers. The text of a message has lost its
-quoted lines, and the lines that introduce them ("On Monday, Ann wrote:").
+quoted lines, and the lines that introduce them ("On Monday, Ann wrote:"): before a
+deeper level, a line that ends in a verb of INTRODUCES and a colon, has an address and ends
+in a colon, or stands between dashes.
 
 The latest earlier message is found in two steps, inside blocks of BLOCK turns
 and then over one row per block, so that a passage repeated all over one very
@@ -42,9 +45,11 @@ SALTS = 32
 QUOTES = r"(?:^|\n)[ \t]*>"
 MARKS = r"^[ \t]*(?:>[ \t]*)+"
 #: Ends and starts of normalised lines that introduce a quote (the start stands on the line before, if wrapped).
-INTRODUCES, INTRODUCES_FROM = r"(?:wrote|writes|schrieb|a écrit|escribió) ?:$", r"^(?:on|am|le|el) "
+INTRODUCES, INTRODUCES_FROM = r"(?:wrote|writes|schrieb|a écrit|escribió) ?:$|[^ ]@[^ ]+.*:$|^-{2,}[^-].*-{2,}$", r"^(?:on|am|le|el) "
 #: What a quote is compared by, the weakest evidence first.
-KINDS = ("line", "paragraph", "passage")
+KINDS = ("run", "line", "paragraph", "passage")
+#: Words of a run.
+RUN = 5
 
 
 def _normal(line: Column) -> Column:
@@ -84,7 +89,7 @@ def parsed(clean: DataFrame) -> DataFrame:
 
 
 def units(lines: DataFrame) -> DataFrame:
-    """conv_id, turn, level, kind (place in KINDS), hash, n_chars of every passage, paragraph and line, and of whole messages (level 0)."""
+    """conv_id, turn, level, kind (place in KINDS), hash, n_chars of every passage, paragraph, line and run of words, and of whole messages (level 0)."""
     full = lines.where((F.col("norm") != "") & ~F.col("intro"))
     # nested in place: lines of a paragraph, paragraphs of a passage, passages of a message and level
     within = full.groupBy("conv_id", "turn", "level", "passage", "paragraph").agg(F.array_sort(F.collect_list(F.struct("k", "norm"))).alias("lines"))
@@ -99,8 +104,15 @@ def units(lines: DataFrame) -> DataFrame:
     passages = F.transform("lines", lambda paragraphs: F.array_join(F.flatten(paragraphs), " "))
     paragraphs = F.transform(F.flatten("lines"), lambda lines_: F.array_join(lines_, " "))
     single = F.flatten(F.flatten("lines"))
+
+    def cut_out(text: Column) -> Column:
+        words = F.split(text, " ")
+        first = F.when(F.size(words) >= RUN, F.sequence(F.lit(1), F.size(words) - (RUN - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(first, lambda at: F.array_join(F.slice(words, at, RUN), " "))
+
+    runs = F.flatten(F.transform(paragraphs, cut_out))
     whole = F.when(F.col("level") == 0, F.array(F.array_join(single, " "))).otherwise(F.array().cast("array<string>"))
-    every = within.select("conv_id", "turn", "level", F.explode(F.concat(kind(single, 0), kind(paragraphs, 1), kind(passages, 2), kind(whole, 2))).alias("unit"))
+    every = within.select("conv_id", "turn", "level", F.explode(F.concat(kind(runs, 0), kind(single, 1), kind(paragraphs, 2), kind(passages, 3), kind(whole, 3))).alias("unit"))
     return every.select("conv_id", "turn", "level", "unit.kind", "unit.hash", "unit.n_chars")
 
 
@@ -124,7 +136,7 @@ def replies(every: DataFrame) -> DataFrame:
     found = found.select("conv_id", "turn", "level", "kind", "n", "n_chars", F.coalesce("near", "earlier").alias("reply_to")).where("reply_to is not null")
     votes = found.groupBy("conv_id", "turn", "level", "kind", "reply_to").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"))
     best = F.max_by(F.struct("reply_to", "kind"), F.struct(-F.col("level"), "kind", "n_chars", "reply_to"))
-    whole = F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(F.lit(0).cast("long")))
+    whole = F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(F.lit(0).cast("long")))
     out = votes.groupBy("conv_id", "turn").agg(best.alias("best"), whole.alias("n_linked"))
     return out.select("conv_id", "turn", "best.reply_to", F.element_at(F.array(*map(F.lit, KINDS)), F.col("best.kind") + 1).alias("evidence"), "n_linked")
 
@@ -195,7 +207,7 @@ p AS (SELECT conv_id, turn, k,
     length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) AS level,
     regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '') AS body FROM l),
 n AS (SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm FROM p),
-i AS (SELECT *, coalesce(regexp_matches(norm, '(?:wrote|writes|schrieb|a écrit|escribió) ?:$') AND level <
+i AS (SELECT *, coalesce(regexp_matches(norm, '(?:wrote|writes|schrieb|a écrit|escribió) ?:$|[^ ]@[^ ]+.*:$|^-{2,}[^-].*-{2,}$') AND level <
     CASE WHEN lead(norm) OVER w = '' AND lead(level) OVER w = 0 THEN lead(level, 2) OVER w ELSE lead(level) OVER w END, false) AS ends
   FROM n WINDOW w AS (PARTITION BY conv_id, turn ORDER BY k)),
 j AS (SELECT *, ends OR coalesce(lead(ends) OVER w AND lead(level) OVER w = level AND regexp_matches(norm, '^(?:on|am|le|el) ')
@@ -205,20 +217,23 @@ b AS (SELECT *, coalesce(level <> lag(level) OVER w, true) OR intro AS fresh FRO
 g AS (SELECT *, sum(fresh::INT) OVER w AS passage, sum((fresh OR norm = '')::INT) OVER w AS paragraph
   FROM b WINDOW w AS (PARTITION BY conv_id, turn ORDER BY k)),
 f AS (SELECT * FROM g WHERE norm <> '' AND NOT intro),
-u AS (SELECT conv_id, turn, level, 0 AS kind, norm FROM f
-  UNION ALL SELECT conv_id, turn, level, 1, string_agg(norm, ' ' ORDER BY k) FROM f GROUP BY conv_id, turn, level, paragraph
-  UNION ALL SELECT conv_id, turn, level, 2, string_agg(norm, ' ' ORDER BY k) FROM f GROUP BY conv_id, turn, level, passage
-  UNION ALL SELECT conv_id, turn, level, 2, string_agg(norm, ' ' ORDER BY k) FROM f WHERE level = 0 GROUP BY conv_id, turn, level),
+s AS (SELECT conv_id, turn, level, string_agg(norm, ' ' ORDER BY k) AS norm FROM f GROUP BY conv_id, turn, level, paragraph),
+r AS (SELECT conv_id, turn, level, w, unnest(range(1, len(w) - 3)) AS b FROM (SELECT *, string_split(norm, ' ') AS w FROM s)),
+u AS (SELECT conv_id, turn, level, 0 AS kind, array_to_string(w[b:b + 4], ' ') AS norm FROM r
+  UNION ALL SELECT conv_id, turn, level, 1, norm FROM f
+  UNION ALL SELECT conv_id, turn, level, 2, norm FROM s
+  UNION ALL SELECT conv_id, turn, level, 3, string_agg(norm, ' ' ORDER BY k) FROM f GROUP BY conv_id, turn, level, passage
+  UNION ALL SELECT conv_id, turn, level, 3, string_agg(norm, ' ' ORDER BY k) FROM f WHERE level = 0 GROUP BY conv_id, turn, level),
 q AS (SELECT a.conv_id, a.turn, a.level, a.kind, b.up, count(*) AS n, sum(length(a.norm)) AS n_chars FROM (SELECT * FROM u WHERE level > 0) a,
     LATERAL (SELECT max(o.turn) AS up FROM u o WHERE o.level = 0 AND o.norm = a.norm AND o.conv_id = a.conv_id AND o.turn < a.turn) b
     WHERE b.up IS NOT NULL GROUP BY ALL),
 v AS (SELECT conv_id, turn, arg_max({'up': up, 'kind': kind}, {'a': -level, 'b': kind, 'c': n_chars, 'd': up}) AS best,
-    coalesce(sum(n) FILTER (kind = 2), 0)::BIGINT AS n_linked FROM q GROUP BY ALL),
+    coalesce(sum(n) FILTER (kind = 3), 0)::BIGINT AS n_linked FROM q GROUP BY ALL),
 t AS (SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM c WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM v)
   UNION ALL SELECT v.conv_id, v.turn, t.thread, t.depth + 1 FROM v JOIN t ON t.conv_id = v.conv_id AND t.turn = v.best.up),
 x AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quoted,
     coalesce(trim(string_agg(body, chr(10) ORDER BY k) FILTER (level = 0 AND NOT intro), ' ' || chr(9) || chr(13) || chr(10)), '') AS text FROM g GROUP BY ALL)
 SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY t.thread, c.turn) - 1 AS place, c.turn, c.role, v.best.up AS reply_to,
-  ['line', 'paragraph', 'passage'][v.best.kind + 1] AS evidence, t.thread, t.depth, x.n_quoted, coalesce(v.n_linked, 0)::BIGINT AS n_linked, x.text
+  ['run', 'line', 'paragraph', 'passage'][v.best.kind + 1] AS evidence, t.thread, t.depth, x.n_quoted, coalesce(v.n_linked, 0)::BIGINT AS n_linked, x.text
 FROM c JOIN t USING (conv_id, turn) JOIN x USING (conv_id, turn) LEFT JOIN v USING (conv_id, turn)
 """

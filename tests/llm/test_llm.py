@@ -134,13 +134,18 @@ QUOTES = [
     # a passage wrapped anew, and a short line that a later message shares
     (4, 0, "user", "ok\nthe long answer\nof two lines\n\nand a second paragraph"), (4, 1, "assistant", "ok"), (4, 2, "user", "On Monday at nine\nAnn wrote:\n\n> ok the long\n> answer of two lines\n>\n> and a second\n> paragraph\nyes"),
     (4, 3, "assistant", "> ok\n> the long answer of two lines, changed\n>\n> and a second paragraph\nno"), (4, 4, "user", "Am Montag schrieb:\nno quote follows"), (4, 5, "user", "> > ok\n> yes\nOn Tue, Bob wrote:\n> > no\n\n\nlast\n"),
+    # quotes that are cut in the middle, introduced by an address or a rule of dashes
+    (5, 0, "user", "The meeting is on Tuesday at noon\nin the large room"), (5, 1, "user", "Something else is on Tuesday at ten"), (5, 2, "user", "Ann <a@x.org> schreef op maandag:\n> The meeting is on Tuesday at noon in the large\nthanks"),
+    (5, 3, "user", "-----Original Message-----\n\n> [..] is on Tuesday at ten\nsure"), (5, 4, "user", "> is on Tuesday\nfew words"), (5, 5, "user", "mail a@x.org:\n-- the end --"),
 ]
 
 
 def test_quotes(spark):
     df = spark.createDataFrame(QUOTES, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(df).collect()}
-    assert len(got) == 14
+    assert len(got) == 20
+    assert [(got[5, t].reply_to, got[5, t].evidence, got[5, t].text) for t in (2, 3, 4)] == [(0, "run", "thanks"), (1, "run", "sure"), (None, None, "few words")]
+    assert got[5, 5].text == "mail a@x.org:\n-- the end --"
     assert [got[1, t].reply_to for t in range(6)] == [None, 0, 1, None, None, None]
     assert [(got[1, t].thread, got[1, t].depth) for t in range(3)] == [(0, 0), (0, 1), (0, 2)]
     assert got[1, 2].text == "Good" and got[1, 2].n_quoted == 2 and got[1, 2].n_linked == 2 and got[1, 4].n_linked == 0
@@ -159,7 +164,7 @@ def test_quotes_against_sql(spark):
     import duckdb
 
     rnd = random.Random(3)
-    own, rows = ["ok", "yes  please", "A longer line", "of words", "", "", "he wrote:", "On Monday"], list(QUOTES)
+    own, rows = ["ok", "yes  please", "A longer line", "of words", "", "", "he wrote:", "On Monday", "to a@b.c:", "-- x --", "one two three four five six", "two three four five six seven"], list(QUOTES)
     for conv in range(20, 60):
         for turn in range(0, 700, 25):
             lines = [rnd.choice(["", "", "> ", ">", ">> "]) + rnd.choice(own) for _ in range(rnd.randrange(7))]
