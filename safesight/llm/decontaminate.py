@@ -22,9 +22,10 @@ alarms.
 
 Items go to the workers in parts of at most ``part_words`` words (documents are
 read once for each part); document text is never shuffled. Null and empty
-texts leak nothing; items under ``min_words`` words are left out, as runs of so few
-words stand in texts by chance and identify nothing; repeated items and rows give
-repeated results; columns besides ids and texts are ignored.
+texts leak nothing, and items without words are never leaked. Items of one word on
+are searched; those of under five words must stand in a text as they are, which
+common ones do by chance, so a caller may leave items under ``min_words`` words out.
+Repeated items and rows give repeated results; columns besides ids and texts are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ from safesight.llm.common import in_parts, mix, whole_texts, word_hashes
 PIECE = 24
 SAMPLE = 4
 SAMPLES_PER_WALK = 4
+#: More keys than these are an error: the recall asked for can't be had.
 MAX_KEYS = 160
 #: Windows that are embedded together.
 ROWS = 1000
@@ -107,7 +109,9 @@ def repeats(low: int, high: int, rate: float, recall: float, trials: int = 400)
     found = np.zeros((trials, MAX_KEYS), bool)
     np.logical_or.at(found, of, same)
     reached = np.maximum.accumulate(found, axis=1).mean(0)
-    return int(np.searchsorted(reached, recall)) + 1 if reached[-1] >= recall else MAX_KEYS
+    if reached[-1] < recall:
+        raise ValueError(f"{MAX_KEYS} keys find only {reached[-1]:.3f} of the pieces of {low} to {high} words at rate {rate}, not {recall}")
+    return int(np.searchsorted(reached, recall)) + 1
 
 
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -206,7 +210,7 @@ class Items:
             for lo in range(0, len(starts), ROWS):
                 part = starts[lo : lo + ROWS]
                 row, item, offset = own.candidates(ids[part[:, None] + np.arange(width)])
-                for s, i, o in set(zip(part[row].tolist(), item.tolist(), offset.tolist())):
+                for s, i, o in sorted(set(zip(part[row].tolist(), item.tolist(), offset.tolist()))):
                     d = int(doc[s])
                     begin = s - int(first[d]) - o  # of the item in the document, if nothing is edited before
                     if (d, i, begin) in tried:
@@ -215,6 +219,8 @@ class Items:
                     words = self.words[i]
                     slack = int(self.rate * len(words))
                     start = max(0, begin - slack)
+                    if (known := best.get((d, i))) and known[0] == 0 and known[1] <= start:
+                        continue  # an exact match that is no later is known
                     region = ids[first[d] + start : first[d] + max(0, min(int(lengths[d]), begin + len(words) + slack))]
                     near = set(self.pair(region[:-1], region[1:]).tolist())
                     if len(self.linked[i] & near) < len(self.linked[i]) - 2 * slack:
@@ -239,7 +245,7 @@ def _items(name: str, *given) -> Items:
     return _BUILT[0][1]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, min_words: int = 5, part_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, min_words: int = 1, part_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it leaks: ids, distance (word edits), first_word, end_word of its best match."""
     spark = docs.sparkSession
     texts = whole_texts(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -263,7 +269,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall:
     found, part, size = None, [], 0
     for r in items.toLocalIterator():  # in parts of bounded size
         words, _ = word_hashes(pa.array([r["text"]]), strip=True)
-        if len(words) < min_words:
+        if len(words) < max(1, min_words):
             continue
         if part and size + len(words) > part_words:
             step = search(part)

@@ -5,6 +5,7 @@ import collections
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from safesight.llm import bpe, decontaminate, nn_descent, site_style
@@ -96,9 +97,9 @@ def test_pipeline_of_odd_rows(spark, sf):
 
 def test_recall_after_deletions_of_all_sizes():
     rng = np.random.default_rng(7)
-    sizes = [5, 8, 16, 30, 45, 47, 48, 59, 100, 150, 250, 400]
+    sizes = [1, 2, 4, 5, 8, 16, 30, 45, 47, 48, 59, 100, 150, 250, 400]
     items = [(i, rng.integers(0, 1 << 62, n).astype(np.uint64)) for i, n in enumerate(sizes * 25)]
-    own = decontaminate.Items(items, 0.2, 0.99, 5)
+    own = decontaminate.Items(items, 0.2, 0.99, 1)
     docs = []
     for i, (_, w) in enumerate(items):  # at a text's end, or before other words
         gone = rng.choice(len(w), int(0.2 * len(w)), replace=False)
@@ -111,11 +112,14 @@ def test_recall_after_deletions_of_all_sizes():
         share = sum(i in hit for i in range(at, len(items), len(sizes))) / 25
         assert share >= 0.92, (n, share)
     assert len(hit) >= 0.98 * len(items), len(hit) / len(items)
+    with pytest.raises(ValueError, match="keys find only"):
+        decontaminate.repeats(40, 51, 0.6, 0.999)
 
 
 def test_leaks_against_brute_force(spark):
     rng = np.random.default_rng(3)
     items = [(i, [f"w{w}" for w in rng.integers(0, 60, n)]) for i, n in enumerate([6, 9, 15, 25, 50] * 3)]
+    items += [(15, ["w7"]), (16, ["w3", "w9"]), (17, ["w5", "w5", "w6", "w1"]), (18, [])]
     rows = []
     for d in range(60):
         w = list(items[d % 15][1])
@@ -131,7 +135,7 @@ def test_leaks_against_brute_force(spark):
                 row.append(min(row[j] + 1, old[j + 1] + 1, old[j] + (x != y)))
         return min(row)
 
-    want = {(d, i): k for d, t in rows for i, w in items if (k := least(w, t.split())) <= len(w) // 5}
+    want = {(d, i): k for d, t in rows for i, w in items if w and (k := least(w, t.split())) <= len(w) // 5}
     found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
     got = {(r.doc_id, r.item_id): r.distance for r in found}
     assert got.items() <= want.items() and len(got) >= 0.97 * len(want) and len(want) > 20
