@@ -1,8 +1,9 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, and joins of two large sides."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df now and cut its lineage by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute df now and cut its lineage: a Parquet table in the shared folder, as a checkpoint's rows are not compressed."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is sorted and merged, never broadcast.
+
+    Spark takes the rows that an explode() makes for as few as went in, and would send
+    a hundred times what it expects through the driver.
+    """
+    return df.hint("merge")

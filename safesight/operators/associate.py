@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, containment, head_region, intersection, proximity, torso_region
+from safesight.lineage import large
 from safesight.operators.matching import dominant_pairs
 from safesight.schemas import FRAME, HEAD, HELMET, PERSON, VEST
 
@@ -18,13 +19,14 @@ def association_candidates(dets: DataFrame, weights: tuple[float, float, float]
     Heads and helmets are held against the head region, vests against the torso
     region. Score: weighted containment, proximity and confidence, to 9 decimals.
     """
-    # a row per region of a person, as plain columns: expressions over pairs stay small enough to be compiled
+    # both regions of a person as plain columns: expressions over pairs stay small enough to be compiled
     p = box()
-    regions = F.array(*(F.struct(F.lit(torso).alias("torso"), *(r[c].alias(f"r{c}") for c in ("x1", "y1", "x2", "y2"))) for torso, r in ((False, head_region(p)), (True, torso_region(p)))))
-    persons = dets.where(F.col("cls") == PERSON).select(*FRAME, F.col("det_id").alias("person_det_id"), F.inline(regions))
-    items = dets.where(F.col("cls").isin(HEAD, HELMET, VEST)).select(*FRAME, "cls", F.col("det_id").alias("ppe_det_id"), "x1", "y1", "x2", "y2", "conf", (F.col("cls") == VEST).alias("torso"))
-    b, r = box(), box("rx1", "ry1", "rx2", "ry2")
-    met = items.join(persons, [*FRAME, "torso"]).where(intersection(b, r) > 0)
+    regions = [r[c].alias(f"{name}{c}") for name, r in (("h", head_region(p)), ("t", torso_region(p))) for c in ("y1", "y2")]
+    persons = dets.where(F.col("cls") == PERSON).select(*FRAME, F.col("det_id").alias("person_det_id"), p["x1"].alias("rx1"), p["x2"].alias("rx2"), *regions)
+    items = dets.where(F.col("cls").isin(HEAD, HELMET, VEST)).select(*FRAME, "cls", F.col("det_id").alias("ppe_det_id"), "x1", "y1", "x2", "y2", "conf")
+    edge = lambda c: F.when(F.col("cls") == VEST, F.col(f"t{c}")).otherwise(F.col(f"h{c}"))
+    b, r = box(), box("rx1", edge("y1"), "rx2", edge("y2"))
+    met = items.join(large(persons), FRAME).where(intersection(b, r) > 0)
     score = weights[0] * containment(b, r) + weights[1] * proximity(b, r) + weights[2] * F.col("conf")
     return met.select(*FRAME, "cls", "person_det_id", "ppe_det_id", F.round(score, 9).alias("score"))
 
@@ -52,7 +54,7 @@ def frame_status(persons: DataFrame, assignments: DataFrame) -> DataFrame:
     head alone is missing; neither is unknown. A vest that is not matched is missing.
     """
     has = assignments.groupBy(*FRAME, F.col("person_det_id").alias("det_id")).agg(*(F.bool_or(F.col("cls") == c).alias(n) for n, c in (("has_head", HEAD), ("has_helmet", HELMET), ("has_vest", VEST))))
-    joined = persons.join(has, [*FRAME, "det_id"], "left")
+    joined = persons.join(large(has), [*FRAME, "det_id"], "left")
     flags = {n: F.coalesce(n, F.lit(False)) for n in ("has_head", "has_helmet", "has_vest")}
     out = joined.withColumns(flags)
     helmet = F.when(F.col("has_helmet"), "present").when(F.col("has_head"), "missing").otherwise("unknown")

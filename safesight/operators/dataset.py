@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, containment, cxcywh_to_xyxy, iou, xyxy_to_cxcywh
-from safesight.lineage import cut
+from safesight.lineage import cut, large
 from safesight.schemas import CLASSES, HELMET, PERSON, VEST
 
 #: Evaluation sets keep their size: a duplicate group goes to the first of these.
@@ -56,8 +56,8 @@ def audit_labels(labels: DataFrame, images: DataFrame, eps: float = 1e-9) -> Dat
     names = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
     found = labels.select(*key, F.explode(names).alias("finding")).groupBy(*key, "finding").agg(F.count("*").alias("n"))
     twice = good.groupBy(*key, "cls", "cx", "cy", "w", "h").agg((F.count("*") - 1).alias("n")).where("n > 0").groupBy(*key).agg(F.sum("n").alias("n")).withColumn("finding", F.lit("duplicate_box"))
-    bare = images.select(*key).distinct().join(labels.select(*key), key, "left_anti").withColumns({"finding": F.lit("image_without_label"), "n": F.lit(1).cast("long")})
-    lost = labels.select(*key).distinct().join(images.select(*key), key, "left_anti").withColumns({"finding": F.lit("label_without_image"), "n": F.lit(1).cast("long")})
+    bare = images.select(*key).distinct().join(large(labels.select(*key)), key, "left_anti").withColumns({"finding": F.lit("image_without_label"), "n": F.lit(1).cast("long")})
+    lost = labels.select(*key).distinct().join(large(images.select(*key)), key, "left_anti").withColumns({"finding": F.lit("label_without_image"), "n": F.lit(1).cast("long")})
     return found.unionByName(twice).unionByName(bare).unionByName(lost)
 
 
@@ -84,9 +84,9 @@ def repair_splits(files: DataFrame, order: tuple[str, ...] = SPLIT_ORDER, pairs:
     """
     keyed = files.withColumn("_group", F.col("sha256"))
     if pairs is not None:
-        keyed = files.join(_groups(pairs), "image_id", "left").withColumn("_group", F.coalesce("_label", F.col("image_id").cast("string"))).drop("_label")
+        keyed = files.join(large(_groups(pairs)), "image_id", "left").withColumn("_group", F.coalesce("_label", F.col("image_id").cast("string"))).drop("_label")
     best = keyed.groupBy("_group").agg(F.min_by("split", F.struct(_place("split", order), "split")).alias("_split"))
-    return keyed.join(best, "_group").withColumn("split", F.col("_split")).select(*files.columns)
+    return keyed.join(large(best), "_group").withColumn("split", F.col("_split")).select(*files.columns)
 
 
 def _groups(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -119,7 +119,7 @@ def check_split_counts(df: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 def diff_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that are missing, extra or changed against a manifest (path, sha256)."""
-    both = files.select("path", F.col("sha256").alias("now")).join(manifest.select("path", F.col("sha256").alias("then")), "path", "full")
+    both = files.select("path", F.col("sha256").alias("now")).join(large(manifest.select("path", F.col("sha256").alias("then"))), "path", "full")
     state = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "extra").when(F.col("now") != F.col("then"), "changed")
     return both.select("path", state.alias("state")).where("state is not null")
 
@@ -157,8 +157,8 @@ def vest_candidates(boxes: DataFrame, k: int = 100, inside: float = 0.5) -> Data
     key = ["split", "image_id"]
     persons = boxes.where(F.col("cls") == PERSON)
     vests = boxes.where(F.col("cls") == VEST).select(*key, box().alias("v"))
-    worn = persons.select(*key, "box_id", box().alias("p")).join(vests, key).where(containment(F.col("v"), F.col("p")) >= inside).select(*key, "box_id").distinct()
-    bare = persons.join(worn, [*key, "box_id"], "left_anti").withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    worn = persons.select(*key, "box_id", box().alias("p")).join(large(vests), key).where(containment(F.col("v"), F.col("p")) >= inside).select(*key, "box_id").distinct()
+    bare = persons.join(large(worn), [*key, "box_id"], "left_anti").withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     rank = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("area"), "image_id", "box_id"))
     return bare.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "box_id", "area", "rank")
 
@@ -167,12 +167,12 @@ def propose_dual(m1: DataFrame, m2: DataFrame, iou_min: float = 0.5) -> DataFram
     """Boxes that two models agree on (mutual best by IoU, ties by box_id) are 'dual', the others 'single'. m1, m2: image_id, cls, box_id, x1..y2."""
     key = ["image_id", "cls"]
     side = lambda d, n: d.select(*key, F.col("box_id").alias(f"box_{n}"), box().alias(f"b{n}"))
-    pairs = side(m1, 1).join(side(m2, 2), key).withColumn("iou", F.round(iou(F.col("b1"), F.col("b2")), 9)).where(F.col("iou") >= iou_min)
+    pairs = side(m1, 1).join(large(side(m2, 2)), key).withColumn("iou", F.round(iou(F.col("b1"), F.col("b2")), 9)).where(F.col("iou") >= iou_min)
     r1 = F.row_number().over(Window.partitionBy(*key, "box_1").orderBy(F.desc("iou"), "box_2"))
     r2 = F.row_number().over(Window.partitionBy(*key, "box_2").orderBy(F.desc("iou"), "box_1"))
     dual = pairs.withColumn("r1", r1).withColumn("r2", r2).where("r1 = 1 and r2 = 1").select(*key, "box_1", "box_2", "iou")
-    first = m1.select(*key, F.col("box_id").alias("box_1")).join(dual, [*key, "box_1"], "full")
-    both = first.join(m2.select(*key, F.col("box_id").alias("box_2")), [*key, "box_2"], "full")
+    first = m1.select(*key, F.col("box_id").alias("box_1")).join(large(dual), [*key, "box_1"], "full")
+    both = first.join(large(m2.select(*key, F.col("box_id").alias("box_2"))), [*key, "box_2"], "full")
     return both.select(*key, "box_1", "box_2", "iou", F.when(F.col("iou").isNotNull(), "dual").otherwise("single").alias("kind"))
 
 
@@ -182,8 +182,8 @@ def apply_reviewed_boxes(labels: DataFrame, accepted: DataFrame, iou_max: float
     one = F.lit(1.0)
     there = labels.where(F.col("cls") == VEST).select(*key, cxcywh_to_xyxy(F.struct("cx", "cy", "w", "h"), one, one).alias("b"))
     new = accepted.dropDuplicates([*key, "cx", "cy", "w", "h"]).withColumn("a", cxcywh_to_xyxy(F.struct("cx", "cy", "w", "h"), one, one))
-    taken = new.join(there, key).where(iou(F.col("a"), F.col("b")) > iou_max).select(*key, "cx", "cy", "w", "h").distinct()
-    fresh = new.drop("a").join(taken, [*key, "cx", "cy", "w", "h"], "left_anti")
+    taken = new.join(large(there), key).where(iou(F.col("a"), F.col("b")) > iou_max).select(*key, "cx", "cy", "w", "h").distinct()
+    fresh = new.drop("a").join(large(taken), [*key, "cx", "cy", "w", "h"], "left_anti")
     return labels.unionByName(fresh.withColumn("cls", F.lit(VEST)).select(*key, "cls", "cx", "cy", "w", "h"), allowMissingColumns=True)
 
 

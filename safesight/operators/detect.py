@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, intersection, iou
-from safesight.lineage import cut
+from safesight.lineage import cut, large
 from safesight.schemas import FRAME
 
 #: Boxes of a frame and class up to which they are one row.
@@ -58,12 +58,12 @@ def _in_rounds(df: DataFrame, iou_max: float) -> DataFrame:
     pairs, struck = cut(overlapping(df, iou_max)), None
     while not pairs.isEmpty():
         worse = pairs.select(*keys, F.col("worse").alias("better")).distinct()
-        gone = cut(pairs.join(worse, [*keys, "better"], "left_anti").select(*keys, F.col("worse").alias("det_id")).distinct())
+        gone = cut(pairs.join(large(worse), [*keys, "better"], "left_anti").select(*keys, F.col("worse").alias("det_id")).distinct())
         struck = gone if struck is None else struck.unionByName(gone)
         for side in ("better", "worse"):
-            pairs = pairs.join(gone.withColumnRenamed("det_id", side), [*keys, side], "left_anti")
+            pairs = pairs.join(large(gone.withColumnRenamed("det_id", side)), [*keys, side], "left_anti")
         pairs = cut(pairs)
-    return (df if struck is None else df.join(struck, [*keys, "det_id"], "left_anti")).select(*df.columns)
+    return (df if struck is None else df.join(large(struck), [*keys, "det_id"], "left_anti")).select(*df.columns)
 
 
 def overlapping(df: DataFrame, iou_max: float) -> DataFrame:
@@ -97,7 +97,7 @@ def overlapping(df: DataFrame, iou_max: float) -> DataFrame:
     homes = named(cells(boxes, "level", False), "l")
     asks = named(cells(boxes.withColumn("at", F.explode(F.sequence(F.col("level"), F.col("level") + wider))), "at", centre), "s")
     a, b = (box(*(f"{p}_{c}" for c in ("x1", "y1", "x2", "y2"))) for p in "sl")
-    met = asks.join(homes, [*keys, "at", "cx", "cy"]).where("s_level < l_level or (s_level = l_level and s_det_id < l_det_id)").where((intersection(a, b) > 0) & (iou(a, b) > iou_max))
+    met = asks.join(large(homes), [*keys, "at", "cx", "cy"]).where("s_level < l_level or (s_level = l_level and s_det_id < l_det_id)").where((intersection(a, b) > 0) & (iou(a, b) > iou_max))
     first = (F.col("s_conf") > F.col("l_conf")) | ((F.col("s_conf") == F.col("l_conf")) & (F.col("s_det_id") < F.col("l_det_id")))
     pairs = met.select(*keys, F.when(first, F.col("s_det_id")).otherwise(F.col("l_det_id")).alias("better"), F.when(first, F.col("l_det_id")).otherwise(F.col("s_det_id")).alias("worse"))
     return pairs if centre else pairs.distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, intersection, iou
-from safesight.lineage import cut
+from safesight.lineage import cut, large
 from safesight.operators.matching import dominant_pairs
 from safesight.operators.segments import carried, spans
 from safesight.schemas import FRAME
@@ -16,7 +16,7 @@ def _matched(dets: DataFrame, truth: DataFrame, iou_min: float, keys: list[str])
     """Greedy matching in each group: the best det (confidence, then id) takes its best free truth box."""
     side = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")]
     a, b = (box(*(f"{p}{c}" for c in ("x1", "y1", "x2", "y2"))) for p in "dt")
-    met = dets.select(*keys, "det_id", "conf", *side("d")).join(truth.select(*keys, "truth_id", *side("t")), keys)
+    met = dets.select(*keys, "det_id", "conf", *side("d")).join(large(truth.select(*keys, "truth_id", *side("t"))), keys)
     met = met.where(intersection(a, b) > 0) if iou_min > 0 else met
     pairs = met.select(*keys, "det_id", "conf", "truth_id", F.round(iou(a, b), 9).alias("iou")).where(F.col("iou") >= iou_min)
     rank = F.struct("conf", -F.col("det_id"), "iou", -F.col("truth_id"))
@@ -33,7 +33,7 @@ def detector_ap(dets: DataFrame, truth: DataFrame, iou_min: float = 0.5) -> Data
     """
     keys = [*FRAME, "cls"]
     hits = _matched(dets, truth, iou_min, keys).select(*keys, "det_id").withColumn("tp", F.lit(1))
-    marked = dets.select(*keys, "det_id", "conf").join(hits, [*keys, "det_id"], "left")
+    marked = dets.select(*keys, "det_id", "conf").join(large(hits), [*keys, "det_id"], "left")
     total = truth.groupBy("cls").agg(F.count("*").alias("n_truth"))
     steps = marked.groupBy("cls", (-F.col("conf")).alias("at")).agg(F.count("tp").alias("tp"), F.count("*").alias("n"))
     steps = cut(steps.repartitionByRange("cls", "at").withColumn("block", F.spark_partition_id()))
@@ -54,7 +54,7 @@ def tracking_quality(tracks: DataFrame, truth: DataFrame, iou_min: float = 0.5)
 
     tracks: person boxes with track_id; truth: person boxes with truth_id (an object's id).
     """
-    pairs = _matched(tracks, truth, iou_min, FRAME).join(tracks.select(*FRAME, "det_id", "track_id"), [*FRAME, "det_id"])
+    pairs = _matched(tracks, truth, iou_min, FRAME).join(large(tracks.select(*FRAME, "det_id", "track_id")), [*FRAME, "det_id"])
     own = Window.partitionBy("run", "truth_id").orderBy("frame", "camera_id")
     switch = pairs.withColumn("switch", F.coalesce(F.col("track_id") != F.lag("track_id").over(own), F.lit(False)).cast("long"))
     found = switch.groupBy("run").agg(F.count("*").alias("matched"), F.sum("switch").alias("switches"))
@@ -70,7 +70,7 @@ def association_accuracy(assignments: DataFrame, truth: DataFrame) -> DataFrame:
     assignments: as associate() returns, with person (what true_person is compared with).
     """
     keys = [*FRAME, "cls", "ppe_det_id"]
-    both = assignments.select(*keys, "person").join(truth.where("true_person is not null").select(*keys, "true_person"), keys, "full")
+    both = assignments.select(*keys, "person").join(large(truth.where("true_person is not null").select(*keys, "true_person")), keys, "full")
     one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     p, t = F.col("person"), F.col("true_person")
     n = both.groupBy("cls").agg(one(p == t).alias("right"), one(p != t).alias("wrong"), one(p.isNull()).alias("missing"), one(t.isNull()).alias("spurious"))
@@ -90,7 +90,7 @@ def event_accuracy(events: DataFrame, truth: DataFrame, bucket: int = 64) -> Dat
     e = spread(events.select("camera_id", "violation", "event_id", "start_frame", "confirm_frame", "end_frame"))
     t = spread(truth.select("camera_id", "violation", "truth_id", "start_frame", "end_frame")).select("camera_id", "violation", "bucket", "truth_id", F.col("start_frame").alias("s"), F.col("end_frame").alias("t"))
     common = F.least("end_frame", "t") - F.greatest("start_frame", "s") + 1
-    pairs = e.join(t, ["camera_id", "violation", "bucket"]).withColumn("common", common).where("common > 0").drop("bucket").distinct()
+    pairs = e.join(large(t), ["camera_id", "violation", "bucket"]).withColumn("common", common).where("common > 0").drop("bucket").distinct()
     forth, back = Window.partitionBy("event_id").orderBy(F.desc("common"), "truth_id"), Window.partitionBy("camera_id", "violation", "truth_id").orderBy(F.desc("common"), "event_id")
     best = pairs.withColumn("r1", F.row_number().over(forth)).withColumn("r2", F.row_number().over(back)).where("r1 = 1 and r2 = 1")
     hits = best.groupBy("violation").agg(F.count("*").alias("matched"), F.round(F.avg(F.col("confirm_frame") - F.col("s")), 9).alias("mean_delay"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from safesight.lineage import large
 from safesight.schemas import DECISIONS
 
 
@@ -26,7 +27,7 @@ def event_detail(events: DataFrame, evidence: DataFrame, clips: DataFrame, track
     decided = reviews.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("decided_at", "review_id", "decision"))).alias("reviews"))
     out = events
     for part, key in ((shown, ["event_id"]), (clip, ["event_id"]), (track, ["run", "camera_id", "track_id"]), (decided, ["event_id"])):
-        out = out.join(part, key, "left")
+        out = out.join(large(part), key, "left")
     return out.select(*events.columns, "evidence", "clip", "track", "reviews")
 
 
@@ -39,19 +40,19 @@ def latest_decisions(reviews: DataFrame) -> DataFrame:
 def review_queue(events: DataFrame, reviews: DataFrame) -> DataFrame:
     """Events without a decision or in need of review, oldest first."""
     decided = latest_decisions(reviews).select("event_id", "decision")
-    return events.join(decided, "event_id", "left").where("decision is null or decision = 'NEEDS_REVIEW'").orderBy("start_ts", "event_id")
+    return events.join(large(decided), "event_id", "left").where("decision is null or decision = 'NEEDS_REVIEW'").orderBy("start_ts", "event_id")
 
 
 def record_decisions(reviews: DataFrame, new: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all decisions, rejected new rows): values outside the three and unknown events are rejected."""
-    known = new.join(events.select("event_id").distinct().withColumn("known", F.lit(True)), "event_id", "left")
+    known = new.join(large(events.select("event_id").distinct().withColumn("known", F.lit(True))), "event_id", "left")
     sound = F.coalesce(F.col("known"), F.lit(False)) & F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False))
     return reviews.unionByName(known.where(sound).select(*reviews.columns)), known.where(~sound).select(*new.columns)
 
 
 def confirmed_violations(events: DataFrame, reviews: DataFrame) -> DataFrame:
     """Events but for false alarms."""
-    return events.join(latest_decisions(reviews).where("decision = 'FALSE_ALARM'"), "event_id", "left_anti")
+    return events.join(large(latest_decisions(reviews).where("decision = 'FALSE_ALARM'")), "event_id", "left_anti")
 
 
 def run_summary(events: DataFrame, status: DataFrame) -> DataFrame:

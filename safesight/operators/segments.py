@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.lineage import cut
+from safesight.lineage import cut, large
 
 
 def spans(rows: DataFrame, keys: list[str]) -> bool:
@@ -31,6 +31,6 @@ def carried(rows: DataFrame, keys: list[str], at: str, name: str, value: Column,
     total = F.max_by(value, F.when(value.isNotNull(), F.col(at))) if how == "last" else combine(value)
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = cut(rows.groupBy(*keys, "block").agg(total.alias("_total"))).withColumn("_before", combine(F.col("_total")).over(earlier)).drop("_total")
-    own = rows.withColumn("_own", combine(value).over(within)).join(before, [*keys, "block"])
+    own = rows.withColumn("_own", combine(value).over(within)).join(large(before), [*keys, "block"])
     both = {"last": F.coalesce("_own", "_before"), "max": F.greatest("_own", "_before"), "sum": F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))}[how]
     return own.withColumn(name, both).drop("_own", "_before")

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from safesight.lineage import cut
+from safesight.lineage import cut, large
 from safesight.operators.segments import carried, spans
 from safesight.schemas import TRACK
 
@@ -64,7 +64,7 @@ def build_events(v: DataFrame, confirmed: DataFrame, max_gap: int = BREAK, merge
 
     confirmed: rows of rule_consecutive() or rule_duration() of the same v and max_gap.
     """
-    runs = _runs(_islands(v, max_gap)).join(confirmed.select(*KEY, "start_frame", "confirm_frame"), [*KEY, "start_frame"])
+    runs = _runs(_islands(v, max_gap)).join(large(confirmed.select(*KEY, "start_frame", "confirm_frame")), [*KEY, "start_frame"])
     return _merged(runs, merge_gap)
 
 
@@ -107,7 +107,7 @@ def select_evidence(events: DataFrame, status: DataFrame, k: int = 3) -> DataFra
         sizes.append(sizes[-1] * FAN)
     own = _ranges(events.select("event_id", *TRACK, F.col("start_frame").alias("a"), (F.col("end_frame") + 1).alias("b")), sizes)
     frames = status.select(*TRACK, "frame", "det_id", "conf", "x1", "y1", "x2", "y2").withColumn("size", F.explode(F.array(*(F.lit(s).cast("long") for s in sizes)))).withColumn("at", F.floor(F.col("frame") / F.col("size")))
-    met = own.join(frames, [*TRACK, "size", "at"])
+    met = own.join(large(frames), [*TRACK, "size", "at"])
     best = Window.partitionBy("event_id").orderBy(F.desc("conf"), "frame")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("event_id", "rank", "frame", "det_id", "conf", "x1", "y1", "x2", "y2")
 
@@ -143,5 +143,5 @@ def clip_ranges(events: DataFrame, before: int = 25, after: int = 25) -> DataFra
     steps = carried(steps, camera, "from_frame", "_end", F.col("to_frame"), "max", False, several)
     new = F.coalesce(F.col("from_frame") > F.col("_end") + 1, F.lit(True))
     steps = carried(steps, camera, "from_frame", "clip", F.when(new, F.col("from_frame")), "last", True, several)
-    named = padded.join(steps.select(*camera, "from_frame", "clip"), [*camera, "from_frame"])
+    named = padded.join(large(steps.select(*camera, "from_frame", "clip")), [*camera, "from_frame"])
     return named.groupBy(*camera, "clip").agg(F.max("to_frame").alias("to_frame"), F.array_sort(F.collect_list("event_id")).alias("event_ids")).select(*camera, F.col("clip").alias("from_frame"), "to_frame", "event_ids")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from safesight.functions.geometry import box, intersection, iou
-from safesight.lineage import cut
+from safesight.lineage import cut, large
 from safesight.schemas import TRACK
 
 CAMERA = ["run", "camera_id"]
@@ -32,7 +32,7 @@ def _best(met: DataFrame, iou_min: float, keys: list[str]) -> DataFrame:
 
 def _adjacent(ends: DataFrame, starts: DataFrame, iou_min: float) -> DataFrame:
     """Links of one frame to the next: an equi-join on the frame, whose exchange serves both choices of the best too."""
-    return _best(_ends(ends).withColumn("at", F.col("f1") + 1).join(_starts(starts).withColumn("at", F.col("f2")), [*CAMERA, "at"]), iou_min, [*CAMERA, "at"])
+    return _best(_ends(ends).withColumn("at", F.col("f1") + 1).join(large(_starts(starts).withColumn("at", F.col("f2"))), [*CAMERA, "at"]), iou_min, [*CAMERA, "at"])
 
 
 def _bridged(ends: DataFrame, starts: DataFrame, gaps: tuple[int, int], iou_min: float) -> DataFrame:
@@ -41,7 +41,7 @@ def _bridged(ends: DataFrame, starts: DataFrame, gaps: tuple[int, int], iou_min:
     later = F.floor(F.col("f2") / high)
     a = _ends(ends).withColumn("bucket", F.floor(F.col("f1") / high))
     b = _starts(starts).withColumn("bucket", F.explode(F.array(later, later - 1)))
-    return _best(a.join(b, [*CAMERA, "bucket"]).where((F.col("f2") - F.col("f1")).between(low, high)), iou_min, CAMERA)
+    return _best(a.join(large(b), [*CAMERA, "bucket"]).where((F.col("f2") - F.col("f1")).between(low, high)), iou_min, CAMERA)
 
 
 def link_detections(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap: int = 30, iou_min: float = 0.3) -> DataFrame:
@@ -63,7 +63,7 @@ def link_detections(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap:
 
 def _without(rows: DataFrame, links: DataFrame, end: str) -> DataFrame:
     """rows that are not that end of a link."""
-    return rows.join(links.select(*CAMERA, F.col(end).alias("det_id")), [*CAMERA, "det_id"], "left_anti")
+    return rows.join(large(links.select(*CAMERA, F.col(end).alias("det_id"))), [*CAMERA, "det_id"], "left_anti")
 
 
 def assign_tracks(dets: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -71,13 +71,13 @@ def assign_tracks(dets: DataFrame, links: DataFrame, max_rounds: int = 40) -> Da
     at = cut(links.select(*CAMERA, "det_id", F.col("prev_det_id").alias("up")))
     for _ in range(max_rounds):
         above = at.select(*CAMERA, F.col("det_id").alias("up"), F.col("up").alias("up2"))
-        at = cut(at.join(above, [*CAMERA, "up"], "left").select(*CAMERA, "det_id", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")))
+        at = cut(at.join(large(above), [*CAMERA, "up"], "left").select(*CAMERA, "det_id", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
             break
         at = at.drop("moved")
     else:
         raise RuntimeError("chains are too long")
-    return dets.join(at.select(*CAMERA, "det_id", "up"), [*CAMERA, "det_id"], "left").withColumn("track_id", F.coalesce("up", "det_id")).drop("up").select(*dets.columns, "track_id")
+    return dets.join(large(at.select(*CAMERA, "det_id", "up")), [*CAMERA, "det_id"], "left").withColumn("track_id", F.coalesce("up", "det_id")).drop("up").select(*dets.columns, "track_id")
 
 
 def track_summary(df: DataFrame) -> DataFrame:

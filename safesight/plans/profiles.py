@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from safesight.lineage import large
 from safesight.operators.associate import associate, association_candidates, frame_status
 from safesight.operators.temporal import rule_consecutive, rule_duration, violations
 from safesight.operators.track import assign_tracks, link_detections
@@ -51,7 +52,7 @@ def compare_profiles(alerts: list[DataFrame], truth: DataFrame | None = None) ->
         every = every.unionByName(a)
     names = ["A_yolo", "B_tracking", "C_association", "D_full_system"]
     out = every.groupBy("camera_id", "violation").pivot("profile", names).count().na.fill(0, names)
-    return out if truth is None else out.join(truth.withColumnRenamed("n", "truth"), ["camera_id", "violation"], "full").na.fill(0, [*names, "truth"])
+    return out if truth is None else out.join(large(truth.withColumnRenamed("n", "truth")), ["camera_id", "violation"], "full").na.fill(0, [*names, "truth"])
 
 
 def profile_accuracy(alerts: list[DataFrame], truth: DataFrame, slack: int = 10, bucket: int = 64) -> DataFrame:
@@ -67,7 +68,7 @@ def profile_accuracy(alerts: list[DataFrame], truth: DataFrame, slack: int = 10,
     every = every.withColumn("alert", F.struct("track_id", "frame")).withColumn("bucket", F.floor(F.col("frame") / bucket))
     last = F.col("end_frame") + slack
     held = truth.select("camera_id", "violation", "truth_id", "start_frame", last.alias("last"), F.explode(F.sequence(F.floor(F.col("start_frame") / bucket), F.floor(last / bucket))).alias("bucket"))
-    met = every.join(held, ["camera_id", "violation", "bucket"]).where(F.col("frame").between(F.col("start_frame"), F.col("last")))
+    met = every.join(large(held), ["camera_id", "violation", "bucket"]).where(F.col("frame").between(F.col("start_frame"), F.col("last")))
     key = ["profile", "violation"]
     right = met.select(*key, "run", "camera_id", "alert").distinct().groupBy(*key).agg(F.count("*").alias("right"))
     first = met.groupBy(*key, "camera_id", "truth_id").agg(F.min(F.col("frame") - F.col("start_frame")).alias("delay"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from safesight.functions import geometry as g
+from safesight.lineage import large
 from safesight.operators import associate, detect, temporal, track
 from safesight.plans import detections as plan
 from safesight.plans import sql
@@ -77,7 +78,7 @@ def _(spark, sf_dir):
     d = plan.detections(spark, sf_dir)
     p = d.where("cls = 0").select("camera_id", "frame", F.col("det_id").alias("a"), g.box().alias("p"))
     b = d.where("cls = 3").select("camera_id", "frame", F.col("det_id").alias("b"), g.box().alias("q"))
-    met = p.join(b, ["camera_id", "frame"]).where("a div 160 = b div 160")
+    met = p.join(large(b), ["camera_id", "frame"]).where("a div 160 = b div 160")
     p, q = F.col("p"), F.col("q")
     centre = g.xyxy_to_cxcywh(p, F.lit(1000), F.lit(500))
     return met.select("a", "b", F.round(g.iou(p, q), 9).alias("iou"), F.round(g.containment(q, p), 9).alias("containment"), F.round(g.proximity(q, p), 9).alias("proximity"), F.round(centre["cx"], 9).alias("cx"), F.round(centre["h"], 9).alias("h"), g.clip_box(p, F.lit(1000), F.lit(500))["x1"].alias("clipped"), F.round(g.head_region(p)["y2"], 9).alias("head_bottom"), F.round(g.torso_region(p)["y1"], 9).alias("torso_top"), F.round(g.torso_region(p)["y2"], 9).alias("torso_bottom"), F.round(g.cxcywh_to_xyxy(centre, F.lit(1000), F.lit(500))["x2"], 9).alias("right_again"))
