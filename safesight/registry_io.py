@@ -87,7 +87,7 @@ def _(spark, sf_dir):
     dets, every = plan.detections(spark, sf_dir), None
     for fmt in ("parquet", "json", "csv"):
         path = folder(spark)
-        dets.write.format(fmt).option("header", "true").save(path)
+        dets.write.format(fmt).option("header", "true").option("compression", "zstd" if fmt == "parquet" else "gzip").save(path)
         back = readers.read_detections(spark, path, fmt).withColumn("fmt", F.lit(fmt))
         every = back if every is None else every.unionByName(back)
     sums = every.groupBy("fmt", "cls").agg(F.count("*").alias("n"), F.sum("det_id").alias("ids"), F.round(F.sum(F.expr("x1*7+y1*3+x2+y2")), 3).alias("boxes"), F.round(F.sum("conf"), 6).alias("conf"), F.max("ts").alias("last"))
