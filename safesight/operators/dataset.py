@@ -166,14 +166,22 @@ def vest_candidates(boxes: DataFrame, k: int = 100, inside: float = 0.5) -> Data
 def propose_dual(m1: DataFrame, m2: DataFrame, iou_min: float = 0.5) -> DataFrame:
     """Boxes that two models agree on (mutual best by IoU, ties by box_id) are 'dual', the others 'single'. m1, m2: image_id, cls, box_id, x1..y2."""
     key = ["image_id", "cls"]
-    side = lambda d, n: d.select(*key, F.col("box_id").alias(f"box_{n}"), box().alias(f"b{n}"))
-    pairs = side(m1, 1).join(large(side(m2, 2)), key).withColumn("iou", F.round(iou(F.col("b1"), F.col("b2")), 9)).where(F.col("iou") >= iou_min)
-    r1 = F.row_number().over(Window.partitionBy(*key, "box_1").orderBy(F.desc("iou"), "box_2"))
-    r2 = F.row_number().over(Window.partitionBy(*key, "box_2").orderBy(F.desc("iou"), "box_1"))
-    dual = pairs.withColumn("r1", r1).withColumn("r2", r2).where("r1 = 1 and r2 = 1").select(*key, "box_1", "box_2", "iou")
-    first = m1.select(*key, F.col("box_id").alias("box_1")).join(large(dual), [*key, "box_1"], "full")
-    both = first.join(large(m2.select(*key, F.col("box_id").alias("box_2"))), [*key, "box_2"], "full")
-    return both.select(*key, "box_1", "box_2", "iou", F.when(F.col("iou").isNotNull(), "dual").otherwise("single").alias("kind"))
+    side = lambda d, n: d.select(*(F.col(c).alias(f"{c}_{n}") for c in key), F.col("box_id").alias(f"box_{n}"), F.lit(True).alias(f"in_{n}"), *(F.col(c).cast("double").alias(f"{c}_{n}") for c in ("x1", "y1", "x2", "y2")))
+    b1, b2 = (box(*(f"{c}_{n}" for c in ("x1", "y1", "x2", "y2"))) for n in (1, 2))
+    near = F.round(iou(b1, b2), 9)
+    alike = (F.col("image_id_1") == F.col("image_id_2")) & (F.col("cls_1") == F.col("cls_2")) & (near >= iou_min)
+    # boxes without any pair come from the same join as the pairs
+    met = side(m1, 1).join(large(side(m2, 2)), alike, "full")
+    pairs = met.select(*(F.coalesce(f"{c}_1", f"{c}_2").alias(c) for c in key), "box_1", "box_2", "in_1", "in_2", F.when(F.col("in_1") & F.col("in_2"), near).alias("iou")).repartition(*key)
+    own = {n: Window.partitionBy(*key, f"in_{n}", f"box_{n}") for n in (1, 2)}
+    ranked = pairs.withColumn("r1", F.row_number().over(own[1].orderBy(F.desc("iou"), "box_2"))).withColumn("r2", F.row_number().over(own[2].orderBy(F.desc("iou"), "box_1")))
+    ranked = ranked.withColumn("dual", F.col("iou").isNotNull() & (F.col("r1") == 1) & (F.col("r2") == 1))
+    ranked = ranked.withColumn("d1", F.max("dual").over(own[1])).withColumn("d2", F.max("dual").over(own[2]))
+    # a box that is not dual is named by its first row
+    alone = lambda n: F.coalesce(F.col(f"in_{n}") & (F.col(f"r{n}") == 1) & ~F.col(f"d{n}"), F.lit(False))
+    kept = ranked.withColumns({"s1": alone(1), "s2": alone(2)}).where("dual or s1 or s2")
+    dual = F.col("dual")
+    return kept.select(*key, F.when(dual | F.col("s1"), F.col("box_1")).alias("box_1"), F.when(dual | F.col("s2"), F.col("box_2")).alias("box_2"), F.when(dual, F.col("iou")).alias("iou"), F.when(dual, "dual").otherwise("single").alias("kind"))
 
 
 def apply_reviewed_boxes(labels: DataFrame, accepted: DataFrame, iou_max: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from safesight import registry
 from safesight.lineage import cut
+from safesight.operators import dataset
 
 
 def joins(df):
@@ -26,3 +27,19 @@ def test_cut_is_read_from_a_table(spark):
 
 def test_cut_of_nothing(spark):
     assert cut(spark.range(0)).collect() == []
+
+
+def test_dual_boxes_by_one_join(spark, sf):
+    """Pairs and single boxes from one join of the models."""
+    plan = registry.queries()["d14_propose_dual"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_single_boxes_that_overlap_others(spark):
+    """Box 2 loses box 10 to box 1, box 11 has no pair, box 12 is in another image; each is there once."""
+    row = lambda image, box, x: (image, 0, box, float(x), 0.0, float(x + 10), 10.0)
+    schema = "image_id long, cls int, box_id long, x1 double, y1 double, x2 double, y2 double"
+    m1 = spark.createDataFrame([row(1, 1, 0), row(1, 2, 2), row(1, 3, 50)], schema)
+    m2 = spark.createDataFrame([row(1, 10, 0), row(1, 11, 80), row(2, 12, 0)], schema)
+    found = [(r.image_id, r.box_1, r.box_2, r.kind) for r in dataset.propose_dual(m1, m2).collect()]
+    assert sorted(found, key=str) == [(1, 1, 10, "dual"), (1, 2, None, "single"), (1, 3, None, "single"), (1, None, 11, "single"), (2, None, 12, "single")]
