@@ -59,7 +59,7 @@ def _yolo(spark, sf_dir):
     path = folder(spark)
     writers.write_yolo(labels(spark, sf_dir), path)
     bad = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(F.lit(BAD).alias("value"), F.lit("bad").alias("split"), F.format_string("img%06d", "s_suppkey").alias("image_id"))
-    bad.write.mode("append").partitionBy("split", "image_id").text(path)
+    writers.by_image(bad).write.mode("append").partitionBy("split", "image_id").text(path)
     return path
 
 

@@ -13,10 +13,15 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 def write_yolo(df: DataFrame, path: str) -> None:
     """Boxes (split, image_id, cls, cx, cy, w, h) as label lines, one file an image under split=/image_id=; lines in order."""
     line = F.concat_ws(" ", F.col("cls").cast("string"), *(F.format_string("%.6f", c) for c in ("cx", "cy", "w", "h")))
-    dealt = df.select(line.alias("value"), "split", "image_id").repartition("split", "image_id").sortWithinPartitions("split", "image_id", "value")
+    dealt = by_image(df.select(line.alias("value"), "split", "image_id")).sortWithinPartitions("split", "image_id", "value")
     dealt.write.partitionBy("split", "image_id").text(path)
 
 
+def by_image(lines: DataFrame) -> DataFrame:
+    """lines dealt by image to a fixed number of tasks: a file costs far more than its bytes, by which Spark would put all in one task."""
+    return lines.repartition(4 * lines.sparkSession.sparkContext.defaultParallelism, "split", "image_id")
+
+
 def write_frame_status(df: DataFrame, path: str) -> None:
     """Frame status as JSON lines."""
     df.write.option("timestampFormat", MICROS).json(path)
