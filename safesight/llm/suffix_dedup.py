@@ -29,7 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from safesight.llm.common import by_ids, discard, forget, in_parts, mix, table_path, whole_texts, written
@@ -318,17 +318,29 @@ def find(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str
     forget(spark)
     hot = written(kinds.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("n")).where(F.col("n") > HOT_BYTES).select("h"), paths[4])
     runs = _expanded(by_ids(kinds, hot, "h", "left_anti"), least).unionByName(_one_by_one(by_ids(kinds, hot, "h", "left_semi"), least))
-    met = spots.select("h", "g", "doc_id", "at").join(runs, ["h", "g"]).where("lo < doc_id")
-    at = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    spans = met.select("doc_id", F.shiftrightunsigned("at", PLACE_BITS).alias("tag"), F.struct((at + F.col("a")).alias("start"), (at + F.col("b") + (least - 1)).alias("stop")).alias("cut"))
-    whole = copies.select("doc_id", "tag", F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).alias("cut"))
-    cuts = written(spans.unionByName(whole).groupBy("doc_id", "tag").agg(F.collect_list("cut").alias("cuts")), paths[5])
+    spans = _spans(spots, runs, least)
+    whole = copies.select("doc_id", "tag", F.array(_cut(F.lit(0).cast("long"), F.col("n"))).alias("cuts"))
+    cuts = written(spans.unionByName(whole).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), paths[5])
     for path in paths[:5]:
         discard(spark, path)
     forget(spark)
     return cuts
 
 
+def _spans(spots: DataFrame, runs: DataFrame, least: int) -> DataFrame:
+    """doc_id, tag and cuts of every spot that loses bytes. A kind's runs are one row (no more than its windows), so the join gives a row per spot at most."""
+    kinds = runs.groupBy("h", "g").agg(F.min("lo").alias("lo"), F.collect_list(F.struct("a", "b", "lo")).alias("runs"))
+    met = spots.select("h", "g", "doc_id", "at").join(kinds.hint("merge"), ["h", "g"]).where("lo < doc_id")
+    at = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    earlier = F.filter("runs", lambda r: r["lo"] < F.col("doc_id"))
+    cuts = F.transform(earlier, lambda r: _cut(at + r["a"], at + r["b"] + (least - 1)))
+    return met.select("doc_id", F.shiftrightunsigned("at", PLACE_BITS).alias("tag"), cuts.alias("cuts"))
+
+
+def _cut(start: Column, stop: Column) -> Column:
+    return F.struct(start.alias("start"), stop.alias("stop"))
+
+
 def _tag(text: str):
     return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 

@@ -77,3 +77,11 @@ def test_query(spark, sf):
     got = sorted((tuple(r) for r in q.op11_suffix_dedup(spark, sf).collect()), key=repr)
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 50)
     assert any(r[2] for r in got)
+
+
+def test_a_spot_meets_its_kind_once(spark):
+    """A kind's runs are one row: a spot has one row with its cuts, of runs from smaller documents only."""
+    spots = spark.createDataFrame([(1, 2, d, 7, None) for d in (5, 8, 3)], "h long, g long, doc_id long, at long, piece binary")
+    runs = spark.createDataFrame([(1, 2, 0, 4, 3), (1, 2, 4, 6, 5)], "h long, g long, a long, b long, lo long")
+    found = {r.doc_id: sorted(map(tuple, r.cuts)) for r in suffix_dedup._spans(spots, runs, 50).collect()}
+    assert found == {5: [(7, 60)], 8: [(7, 60), (11, 62)]}
