@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from safesight import registry
 from safesight.lineage import cut
-from safesight.operators import dataset
+from safesight.operators import dataset, matching, segments, temporal, track
+from safesight.plans import detections
 
 
 def joins(df):
@@ -18,6 +19,22 @@ def test_no_broadcast(spark, sf, name):
     assert joins(registry.queries()[name](spark, sf)) == ["SortMergeJoin"]
 
 
+@pytest.mark.parametrize("name", ["d_full_system_events"])
+def test_chain_without_broadcast(spark, sf, monkeypatch, name):
+    """Every table that is cut on the way to events is made by merged joins, as is what is left to run."""
+    seen = []
+
+    def watched(df):
+        seen.append(joins(df))
+        return cut(df)
+
+    for module in (detections, matching, segments, temporal, track):
+        monkeypatch.setattr(module, "cut", watched)
+    df = registry.queries()[name](spark, sf)
+    assert "SortMergeJoin" in sum(seen, []) and set(sum(seen, [])) == {"SortMergeJoin"}
+    assert df.count() > 0
+
+
 def test_cut_is_read_from_a_table(spark):
     df = spark.range(100).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), F.struct(F.lit(None).cast("double").alias("x"), F.current_timestamp().alias("t")).alias("s"))
     found = cut(df)
