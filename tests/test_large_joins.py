@@ -19,7 +19,7 @@ def test_no_broadcast(spark, sf, name):
     assert joins(registry.queries()[name](spark, sf)) == ["SortMergeJoin"]
 
 
-@pytest.mark.parametrize("name", ["d_full_system_events"])
+@pytest.mark.parametrize("name", ["d_full_system_events", "v4_event_accuracy"])
 def test_chain_without_broadcast(spark, sf, monkeypatch, name):
     """Every table that is cut on the way to events is made by merged joins, as is what is left to run."""
     seen = []
