@@ -197,7 +197,7 @@ def build(counted: DataFrame, base: float, bits_per_key: float, k: int) -> DataF
     return counted.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket long, keys long, total long, bytes long, data binary, extra binary")
 
 
-def counts_of(keys: np.ndarray, data: bytes, extra: bytes) -> np.ndarray:
+def counts_of(keys: np.ndarray, data: np.ndarray, extra: np.ndarray) -> np.ndarray:
     """Counts of words of a bucket; 0 where it doesn't hold them."""
     held = np.frombuffer(data, np.uint64)
     small = np.frombuffer(extra, np.uint8, len(held))
@@ -208,24 +208,57 @@ def counts_of(keys: np.ndarray, data: bytes, extra: bytes) -> np.ndarray:
     return n
 
 
-def levels_of(keys: np.ndarray, data: bytes, k: int) -> np.ndarray:
-    """Levels of grams of a bucket (their 40 bits, see unpacked) by repeated probes."""
-    bits, n_bits = np.frombuffer(data, np.uint8), np.uint64(8 * len(data))
-    level, alive, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+def levels_of(keys: np.ndarray, data: np.ndarray, first: np.ndarray, n_bits: np.ndarray, k: int) -> np.ndarray:
+    """Levels of grams (their 40 bits, see unpacked) by repeated probes of filters that stand end to end in data: each key's begins at bit first and has n_bits (0: none)."""
+    level, alive, step = np.zeros(len(keys), np.int64), np.flatnonzero(n_bits), 1
     while len(alive):
         a, b = seeds(keys[alive], step)
         for i in range(k):
-            at = probe(a, b, i, n_bits)
-            held = (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at = first[alive] + probe(a, b, i, n_bits[alive])
+            held = (data[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             a, b, alive = a[held], b[held], alive[held]
         level[alive] = step
         step += 1
     return level
 
 
-def answers(kind: int, keys: np.ndarray, data: bytes, extra: bytes, k: int) -> np.ndarray:
-    """Counts (words, by whole keys) or levels (grams, by their 40 bits)."""
-    return counts_of(keys, data, extra) if kind == 1 else levels_of(keys, data, k)
+def end_to_end(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and where each value begins, and the end."""
+    held = (column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()).cast(pa.large_binary())  # one chunk is not copied
+    data = held.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+
+
+class Run:
+    """Some buckets of the model that follow one another: rows kind, bucket, data, extra in that order.
+
+    An order's filters are probed together, where they stand, so that a chunk costs no
+    calls per bucket.
+    """
+
+    def __init__(self, rows: pa.Table):
+        kind, bucket = rows.column("kind").to_numpy(), rows.column("bucket").to_numpy()
+        self.data, at = end_to_end(rows.column("data"))
+        extra, to = end_to_end(rows.column("extra"))
+        self.low, self.high = (int(bucket.min()), int(bucket.max())) if len(bucket) else (0, -1)
+        self.words = {int(bucket[i]): (self.data[at[i] : at[i + 1]], extra[to[i] : to[i + 1]]) for i in np.flatnonzero(kind == 1)}
+        self.first, self.n_bits = ({order: np.zeros(self.high - self.low + 1, np.uint64) for order in ORDERS} for _ in range(2))
+        for order in ORDERS:
+            own = kind == order
+            self.first[order][bucket[own] - self.low] = 8 * at[:-1][own]
+            self.n_bits[order][bucket[own] - self.low] = 8 * np.diff(at)[own]
+
+    def answers(self, kind: int, keys: np.ndarray, edges: np.ndarray, k: int) -> np.ndarray:
+        """Counts (words, by whole keys) or levels (grams, by their 40 bits) of keys in order of buckets; edges: where each of low .. high begins, and the end."""
+        if kind > 1:
+            n = np.diff(edges)
+            return levels_of(keys, self.data, np.repeat(self.first[kind], n), np.repeat(self.n_bits[kind], n), k)
+        out = np.zeros(len(keys), np.int64)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            if b + self.low in self.words:
+                mine = slice(edges[b], edges[b + 1])
+                out[mine] = counts_of(keys[mine], *self.words[b + self.low])
+        return out
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -253,7 +286,7 @@ def asked(c: Chunk, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return keys, at, edges_of(keys, bits)
 
 
-def score(docs: DataFrame, held_out: str, share: float = 0.2, share3: float = 0.2, base: float = 2.0, bits_per_key: float = 8.0, k: int = 5, shard_bytes: int = 256 << 20, piece_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: str, share: float = 0.2, share3: float = 0.2, base: float = 2.0, bits_per_key: float = 8.0, k: int = 5, shard_bytes: int = 256 << 20, piece_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of its probability).
 
     held_out: name of a boolean column; rows where it is true are not learned from.
@@ -280,20 +313,19 @@ def _broadcast(texts: DataFrame, built: DataFrame, bits: int, k: int, scorer: Sc
         runs[-1][1] = r["bucket"]
         room -= r["b"]
     columns = ("kind", "bucket", "data", "extra")
-    held = [sc.broadcast([(r.kind, r.bucket, bytes(r.data), bytes(r.extra)) for r in built.where(F.col("bucket").between(*run)).select(*columns).collect()]) for run in runs]
+    held = [sc.broadcast(built.where(F.col("bucket").between(*run)).select(*columns).toArrow().sort_by([("kind", "ascending"), ("bucket", "ascending")]).combine_chunks()) for run in runs]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {(kind, bucket): (data, extra) for piece in held for kind, bucket, data, extra in piece.value}
+        own = [Run(piece.value) for piece in held]
         for c in chunks(batches):
             found = []
             for kind in ORDERS:
                 keys, at, edges = asked(c, kind, bits)
                 values = np.zeros(len(keys), np.int64)
                 probes = keys if kind == 1 else keys << np.uint64(bits) >> np.uint64(24) << np.uint64(24)
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    if (kind, b) in own:
-                        mine = slice(edges[b], edges[b + 1])
-                        values[mine] = answers(kind, probes[mine], *own[kind, b], k)
+                for run in own:
+                    mine = edges[run.low : run.high + 2]
+                    values[mine[0] : mine[-1]] = run.answers(kind, probes[mine[0] : mine[-1]], mine - mine[0], k)
                 found.append(values[at])
             yield scorer(c, *found)
 
@@ -324,12 +356,16 @@ def _dealt(texts: DataFrame, built: DataFrame, bits: int, k: int, scorer: Scorer
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "bucket", "chunk", "keys"])
 
     def answer(asks: pa.Table, own: pa.Table) -> pa.Table:
-        model, out = own.select(["data", "extra"]).to_pylist(), []
-        for r in asks.to_pylist():
-            keys = unpacked(r["keys"]) if r["kind"] > 1 else np.frombuffer(r["keys"], np.uint64)
-            found = answers(r["kind"], keys, model[0]["data"], model[0]["extra"], k) if model else np.zeros(len(keys), np.int64)
-            out.append({"chunk": r["chunk"], "kind": r["kind"], "bucket": r["bucket"], "found": zlib.compress(found.tobytes(), 1)})
-        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("found", pa.binary())]))
+        # all chunks' keys of the bucket together: they are bounded as its counts are
+        found = []
+        if asks.num_rows:
+            kind = asks.column("kind")[0].as_py()
+            parts = [unpacked(x) if kind > 1 else np.frombuffer(x, np.uint64) for x in asks.column("keys").to_pylist()]
+            keys, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            model = Run(own)
+            values = model.answers(kind, keys, np.array([0, len(keys)]), k) if own.num_rows else np.zeros(len(keys), np.int64)
+            found = [zlib.compress(x.tobytes(), 1) for x in np.split(values, ends[:-1])]
+        return pa.Table.from_arrays([*(asks.column(c) for c in ("chunk", "kind", "bucket")), pa.array(found, pa.binary())], ["chunk", "kind", "bucket", "found"])
 
     def end(rows: pa.Table, found: pa.Table) -> pa.Table:
         r = rows.to_pylist()[0]

@@ -563,6 +563,32 @@ def test_language_model_over_many_buckets(spark, docs, monkeypatch):
     assert len(a) == docs.count() and all(math.isclose(a[i].score, b[i].score) and a[i].n_known == b[i].n_known for i in a)
 
 
+def test_language_model_probes_buckets_together(monkeypatch):
+    """Levels from the filters of 64 buckets, one of them left out: as from each filter alone, with no probe per bucket."""
+    rnd, k, bits = np.random.default_rng(1), 5, 6
+    keys = np.sort(rnd.integers(0, 2**64, 5_000, np.uint64))
+    edges = language_model.edges_of(keys, bits)
+    probes = keys << np.uint64(bits) >> np.uint64(24) << np.uint64(24)
+    want, rows = np.zeros(len(keys), np.int64), []
+    for b in (b for b in range(1 << bits) if b != 7):
+        own = slice(edges[b], edges[b + 1])
+        size = 64 * int(rnd.integers(5, 40))
+        data = np.packbits(rnd.random(size) < 0.7, bitorder="little")
+        rows.append({"kind": 2, "bucket": b, "data": data.tobytes(), "extra": b""})
+        for at in range(own.start, own.stop):
+            held = True
+            while held:
+                a, c = language_model.seeds(probes[at : at + 1], int(want[at]) + 1)
+                places = [int(language_model.probe(a, c, i, np.uint64(size))[0]) for i in range(k)]
+                held = all(data[x // 8] >> (x % 8) & 1 for x in places)
+                want[at] += held
+    calls, probe = [], language_model.probe
+    monkeypatch.setattr(language_model, "probe", lambda *x: (calls.append(1), probe(*x))[1])
+    got = language_model.Run(pa.Table.from_pylist(rows)).answers(2, probes, edges, k)
+    assert got.tolist() == want.tolist() and want.max() > 2
+    assert len(calls) <= k * (want.max() + 1)
+
+
 def test_word_hashes():
     rnd = random.Random(1)
     rows = [None, "", " \n", "a", "A b,c ..x.. --", " tail\x0b", "é ÀB", "x" * 3_000_000 + " y"] + ["".join(rnd.choice("abAB .,-\n\x1cé") for _ in range(rnd.randrange(60))) for _ in range(500)]
