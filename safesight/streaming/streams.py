@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, LongType, StructField, StructType, TimestampType
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,7 +23,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 #: numpy's names of the types of rows in state.
-KINDS = {"long": "int64", "double": "float64", "boolean": "bool"}
+KINDS = {"long": "int64", "double": "float64", "boolean": "bool", "string": "object"}
 
 
 class InOrder(StatefulProcessor):
@@ -108,9 +108,9 @@ class InOrder(StatefulProcessor):
 
 
 class Consecutive(InOrder):
-    """Counts violating rows in a row."""
+    """Counts violating rows in a row, for all keys of a shard at once: a call costs milliseconds, however few rows it has."""
 
-    ROW = {"ts": "long", "id": "long", "flag": "boolean"}
+    ROW = {"ts": "long", "id": "long", "flag": "boolean", "key": "string"}
 
     def __init__(self, n: int, step: int):
         super().__init__(step)
@@ -118,27 +118,77 @@ class Consecutive(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.run = handle.getValueState("run", "n long, start long")
+        # keys whose last row was a violating one, and how many in a row
+        self.run = handle.getValueState("run", "key array<string>, n array<long>, start array<long>")
 
     def due(self, key, rows: list[np.ndarray]) -> pd.DataFrame | None:
-        n, start = self.run.get() if self.run.exists() else (0, 0)
-        out = []
-        for at, flag in zip(rows[0].tolist(), rows[2].tolist()):
-            n, start = (n + 1, start if n else at) if flag else (0, 0)
-            if n == self.n:
-                out.append((*key, start, at))
-        self.run.update((n, start))
-        return pd.DataFrame(out, columns=[*(f"k{i}" for i in range(len(key))), "start_us", "confirm_us"]) if out else None
-
-
-def stream_consecutive(df: DataFrame, keys: list[str], n: int = 5, delay: str = "10 seconds", step_seconds: int = 60) -> DataFrame:
+        if not len(rows[0]):
+            return None
+        open_, n, start = self.run.get() if self.run.exists() else ([], [], [])
+        codes, names = pd.factorize(np.concatenate([np.asarray(open_, object), rows[3]]))
+        before, since = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        before[: len(open_)], since[: len(open_)] = n, start
+        own = codes[len(open_) :]
+        order = np.argsort(own, kind="stable")
+        own, at, flag = own[order], rows[0][order], rows[2][order]
+        place = np.arange(len(own))
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        # the last row that was none, or the row before the key's first
+        none = np.maximum.accumulate(np.where(~flag, place, np.where(new, place - 1, -1)))
+        goes_on = (none < first) & (before[own] > 0)
+        count = np.where(flag, place - none + np.where(goes_on, before[own], 0), 0)
+        begin = np.where(goes_on, since[own], at[np.minimum(none + 1, len(at) - 1)])
+        last = np.append(new[1:], True)
+        before[own[last]], since[own[last]] = count[last], begin[last]
+        left = before > 0
+        self.run.update((names[left].tolist(), before[left].tolist(), since[left].tolist()))
+        found = flag & (count == self.n)
+        return pd.DataFrame({"key": names[own[found]], "start_us": begin[found], "confirm_us": at[found]}) if found.any() else None
+
+
+#: Arrays and structs as keys, to the microsecond.
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _to_text(key: Column, kind: DataType) -> Column:
+    """A key's column as text that has its value back."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(key).cast("string")
+    if isinstance(kind, BinaryType):
+        return F.base64(key)
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.to_json(F.struct(key.alias("v")), _JSON)
+    if isinstance(kind, (FloatType, DoubleType)):
+        key = F.when(key == 0, F.lit(0).cast(kind)).otherwise(key)  # -0.0 is 0.0, as in any grouping
+    return key.cast("string")
+
+
+def _from_text(text: Column, kind: DataType) -> Column:
+    """The value of _to_text()."""
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(text.cast("long"))
+    if isinstance(kind, BinaryType):
+        return F.unbase64(text)
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.from_json(text, StructType([StructField("v", kind)]), _JSON)["v"]
+    return text.cast(kind)
+
+
+def stream_consecutive(df: DataFrame, keys: list[str], n: int = 5, delay: str = "10 seconds", step_seconds: int = 60, shards: int = 1024) -> DataFrame:
     """One row per run of n violating rows of a key, when confirmed: keys (as k0, ..), start_us, confirm_us.
 
     df: keys, ts (timestamp), id (order among equal ts), flag. step_seconds: rows wait in
-    state by steps of time; about the delay is right.
+    state by steps of time; about the delay is right. shards: keys are dealt to so many
+    groups by hash, which share state and timer; a group's due rows are worked on together.
     """
-    kinds = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
-    return df.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(Consecutive(n, step_seconds * 1_000_000), outputStructType=f"{kinds}, start_us long, confirm_us long", outputMode="Append", timeMode="EventTime")
+    kinds = [df.schema[k].dataType for k in keys]
+    text = F.to_json(F.struct(*(_to_text(F.col(k), kind).alias(f"k{i}") for i, (k, kind) in enumerate(zip(keys, kinds)))))
+    rows = df.withWatermark("ts", delay).select("ts", "id", "flag", text.alias("key"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
+    found = dealt.transformWithStateInPandas(Consecutive(n, step_seconds * 1_000_000), outputStructType="key string, start_us long, confirm_us long", outputMode="Append", timeMode="EventTime")
+    back = F.from_json("key", ", ".join(f"k{i} string" for i in range(len(keys))))
+    return found.select(*(_from_text(back[f"k{i}"], kind).alias(f"k{i}") for i, kind in enumerate(kinds)), "start_us", "confirm_us")
 
 
 def stream_majority(df: DataFrame, keys: list[str], window: str = "10 seconds", slide: str = "1 second", ratio: float = 0.5, delay: str = "10 seconds") -> DataFrame:

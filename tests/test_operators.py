@@ -167,6 +167,47 @@ def test_stream_equals_batch_with_disorder(spark, tmp_path):
     assert sorted(r.confirm_us for r in out.collect()) == want
 
 
+def test_consecutive_keys_share_state(spark, tmp_path):
+    """Keys of several columns and types, null too, in two batches, in 8 shards: as one key after another."""
+    rnd = random.Random(5)
+    users = [(k if k % 7 else None, f'a"{k % 5}\\ü' if k % 3 else None, dt.datetime(2026, 1, 1, 0, 0, 0, k), bytes([k % 251, 255]), [k / 3, None][k % 2], [None, dt.datetime(2026, 1, 1, 0, 0, 0, k)]) for k in range(300)]
+    rows = [(u, T0 + dt.timedelta(seconds=s), 1000 * i + s, rnd.random() < 0.75) for i, u in enumerate(users) for s in range(0, 60, 4)]
+    schema = "k1 long, k2 string, k3 timestamp, k4 binary, k5 double, k6 array<timestamp>, ts timestamp, id long, flag boolean"
+    for i in range(2):
+        part = [(*u, *r) for u, *r in rows if (r[0] >= T0 + dt.timedelta(seconds=30)) == bool(i)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
+    end = spark.createDataFrame([(*users[0], T0 + dt.timedelta(hours=1), 0, False)], schema)
+    end.write.mode("append").parquet(str(tmp_path / "in" / "2"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    df = streams.stream_consecutive(source, ["k1", "k2", "k3", "k4", "k5", "k6"], 3, "30 seconds", 10, shards=8)
+    out = streams.run_to_end(df, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [t for _, t in out.dtypes] == ["bigint", "string", "timestamp", "binary", "double", "array<timestamp>", "bigint", "bigint"]
+    want, us = [], lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    for i, u in enumerate(users):
+        n = 0
+        for _, at, _, flag in rows[15 * i : 15 * i + 15]:
+            n, start = (n + 1, start if n else at) if flag else (0, None)
+            if n == 3:
+                want.append((*u, us(start), us(at)))
+    assert sorted(((*r[:3], bytes(r[3]), *r[4:]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_consecutive_state_does_not_grow_with_keys(spark, tmp_path):
+    """3,000 keys of one row each: at most a timer per shard, where each key had its own."""
+    rows = spark.range(3000).select(F.col("id").alias("user"), F.timestamp_seconds(F.lit(1_767_225_600)).alias("ts"), "id", F.lit(True).alias("flag"))
+    rows.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        query = streams.start_sink(streams.stream_consecutive(source, ["user"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    metrics = [o["customMetrics"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert sum(m["numRegisteredTimers"] for m in metrics) <= 1024
+
+
 def test_tracker_overlap():
     assert streams.overlap((0, 0, 2, 2), (1, 0, 3, 2)) == 1 / 3 and streams.overlap((0, 0, 0, 0), (0, 0, 0, 0)) == 0
 
