@@ -8,6 +8,7 @@ closed (closable, run_to_end).
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Iterator
 
@@ -26,6 +27,32 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 KINDS = {"long": "int64", "double": "float64", "boolean": "bool", "string": "object"}
 
 
+def packed_schema(columns: dict[str, str]) -> str:
+    """The schema of pack()."""
+    return ", ".join(f"{c} binary, {c}_names array<string>" if kind == "string" else f"{c} binary" for c, kind in columns.items())
+
+
+def pack(columns: dict[str, str], values: list[np.ndarray]) -> tuple:
+    """Columns (names and types) as bytes, strings as places in a list of the different ones: values one by one cost more than the work on them."""
+    out = []
+    for kind, own in zip(columns.values(), values):
+        if kind == "string":
+            codes, names = pd.factorize(own)
+            out += [codes.astype("int32").tobytes(), names.tolist()]
+        else:
+            out.append(np.ascontiguousarray(own, KINDS[kind]).tobytes())
+    return tuple(out)
+
+
+def unpack(columns: dict[str, str], value: tuple) -> list[np.ndarray]:
+    """The columns of pack()."""
+    parts, out = iter(value), []
+    for kind in columns.values():
+        own = bytes(next(parts))
+        out.append(np.asarray(next(parts), object)[np.frombuffer(own, "int32")] if kind == "string" else np.frombuffer(own, KINDS[kind]))
+    return out
+
+
 class InOrder(StatefulProcessor):
     """Gives a key's rows to ``due`` in order of time, once the watermark has passed them.
 
@@ -42,7 +69,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getMapState("buffer", "step long, part long", ", ".join(f"{c} array<{kind}>" for c, kind in self.ROW.items()))
+        self.buffer = handle.getMapState("buffer", "step long, part long", packed_schema(self.ROW))
         self.mark = handle.getValueState("mark", "parts long, timer long")
 
     def _wait(self, rows: list[np.ndarray], parts: int) -> int:
@@ -50,7 +77,7 @@ class InOrder(StatefulProcessor):
         step = rows[0] // self.step
         for own in np.unique(step).tolist():
             at = step == own
-            self.buffer.updateValue((own, parts), tuple(c[at].tolist() for c in rows))
+            self.buffer.updateValue((own, parts), pack(self.ROW, [c[at] for c in rows]))
             parts += 1
         return parts
 
@@ -85,10 +112,10 @@ class InOrder(StatefulProcessor):
         parts = self.mark.get()[0]
         read = [k for k in held if k[0] * self.step < until]
         later = [k[0] for k in held if k[0] * self.step >= until]
-        found = [self.buffer.getValue(k) for k in read]
+        found = [unpack(self.ROW, self.buffer.getValue(k)) for k in read]
         for k in read:
             self.buffer.removeKey(k)
-        rows = [np.concatenate([np.asarray(f[i], KINDS[k]) for f in found]) if found else np.zeros(0, KINDS[k]) for i, k in enumerate(self.ROW.values())]
+        rows = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, KINDS[k]) for i, k in enumerate(self.ROW.values())]
         late = rows[0] >= until
         if late.any():
             parts = self._wait([c[late] for c in rows], parts)
@@ -175,6 +202,11 @@ def _from_text(text: Column, kind: DataType) -> Column:
     return text.cast(kind)
 
 
+def _key_text(df: DataFrame, keys: list[str]) -> Column:
+    """The columns of a key as one text: JSON of k0, .., nulls left out."""
+    return F.to_json(F.struct(*(_to_text(F.col(k), df.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys))))
+
+
 def stream_consecutive(df: DataFrame, keys: list[str], n: int = 5, delay: str = "10 seconds", step_seconds: int = 60, shards: int = 1024) -> DataFrame:
     """One row per run of n violating rows of a key, when confirmed: keys (as k0, ..), start_us, confirm_us.
 
@@ -183,8 +215,7 @@ def stream_consecutive(df: DataFrame, keys: list[str], n: int = 5, delay: str =
     groups by hash, which share state and timer; a group's due rows are worked on together.
     """
     kinds = [df.schema[k].dataType for k in keys]
-    text = F.to_json(F.struct(*(_to_text(F.col(k), kind).alias(f"k{i}") for i, (k, kind) in enumerate(zip(keys, kinds)))))
-    rows = df.withWatermark("ts", delay).select("ts", "id", "flag", text.alias("key"))
+    rows = df.withWatermark("ts", delay).select("ts", "id", "flag", _key_text(df, keys).alias("key"))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
     found = dealt.transformWithStateInPandas(Consecutive(n, step_seconds * 1_000_000), outputStructType="key string, start_us long, confirm_us long", outputMode="Append", timeMode="EventTime")
     back = F.from_json("key", ", ".join(f"k{i} string" for i in range(len(keys))))
@@ -322,9 +353,12 @@ def closable(df: DataFrame, closing: str) -> DataFrame:
 
 
 class Tracker(InOrder):
-    """Live tracks of one camera; frames are linked in order."""
+    """Live tracks of all cameras of a shard; a camera's frames are linked in order, those of all its cameras side by side."""
 
-    ROW = {"ts": "long", "det_id": "long", "frame": "long", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "conf": "double"}
+    ROW = {"ts": "long", "det_id": "long", "frame": "long", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "conf": "double", "key": "string"}
+    LIVE = {"key": "string", "track_id": "long", "frame": "long", "x1": "double", "y1": "double", "x2": "double", "y2": "double"}
+    #: Pairs of a box and a track of its camera that are held at once.
+    PAIRS = 1 << 20
 
     def __init__(self, high: float, low: float, max_gap: int, iou_min: float, step: int):
         super().__init__(step)
@@ -332,33 +366,93 @@ class Tracker(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.live = handle.getMapState("live", "track_id long", "frame long, x1 double, y1 double, x2 double, y2 double")
+        self.live = handle.getValueState("live", packed_schema(self.LIVE))
 
     def due(self, key, columns: list[np.ndarray]) -> pd.DataFrame | None:
-        rows = pd.DataFrame(dict(zip(self.ROW, columns)))
-        held = {k[0]: tuple(v) for k, v in self.live.iterator()}
-        live, out = dict(held), []
-        rows = rows[rows["conf"] >= self.low]
-        for frame, own in rows.groupby("frame"):
-            live = {t: v for t, v in live.items() if frame - v[0] <= self.max_gap}
-            free = set(live)
-            for sure in (True, False):  # confident boxes first; the others only extend tracks
-                boxes = {int(r.det_id): (r.x1, r.y1, r.x2, r.y2) for r in own[(own["conf"] >= self.high) == sure].itertuples()}
-                pairs = sorted((-o, d, t) for d, b in boxes.items() for t in free if (o := overlap(live[t][1:], b)) >= self.iou_min)
-                for _, d, t in pairs:
-                    if t in free and d in boxes:
-                        free.discard(t)
-                        live[t] = (int(frame), *boxes.pop(d))
-                        out.append((*key, int(frame), d, t))
-                for d, b in boxes.items() if sure else ():
-                    live[d] = (int(frame), *b)
-                    out.append((*key, int(frame), d, d))
-        for t in held.keys() - live.keys():
-            self.live.removeKey((t,))
-        for t, v in live.items():
-            if held.get(t) != v:
-                self.live.updateValue((t,), v)
-        return pd.DataFrame(out, columns=["run", "camera_id", "frame", "det_id", "track_id"]) if out else None
+        _, det, frame, *box, conf, name = (c[columns[7] >= self.low] for c in columns)
+        if not len(det):
+            return None
+        held = unpack(self.LIVE, self.live.get()) if self.live.exists() else [np.zeros(0, KINDS[k]) for k in self.LIVE.values()]
+        codes, names = pd.factorize(np.concatenate([held[0], name]))
+        n = len(held[0])
+        cam, box, weak = codes[n:], np.stack(box, 1), conf < self.high
+        # by camera and frame, confident boxes first; of a box that is there twice the last
+        order = np.lexsort((np.arange(len(det)), det, weak, frame, cam))
+        cam, frame, det, weak, box = (c[order] for c in (cam, frame, det, weak, box))
+        last = np.append((cam[1:] != cam[:-1]) | (frame[1:] != frame[:-1]) | (weak[1:] != weak[:-1]) | (det[1:] != det[:-1]), True)
+        cam, frame, det, weak, box = (c[last] for c in (cam, frame, det, weak, box))
+        # a frame's place among those of its camera: one place after the other, all cameras that have it at once
+        start = np.concatenate([[True], cam[1:] != cam[:-1]])
+        nth = np.cumsum(start | np.concatenate([[True], frame[1:] != frame[:-1]]))
+        place = nth - nth[start][np.cumsum(start) - 1]
+        order = np.argsort(place, kind="stable")
+        live = (codes[:n], held[1], held[2], np.stack(held[3:], 1))
+        live = tuple(c[np.argsort(live[0], kind="stable")] for c in live)
+        out = []
+        for own in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            live, track, found = self._linked(live, cam[own], frame[own], det[own], weak[own], box[own])
+            out.append((own[found], track[found]))
+        self.live.update(pack(self.LIVE, [names[live[0]], live[1], live[2], *live[3].T]))
+        at, track = (np.concatenate(c) for c in zip(*out))
+        keys = [json.loads(k) for k in names]
+        run = np.array([k.get("k0") for k in keys], object)[cam[at]]
+        camera = pd.array([int(k["k1"]) if "k1" in k else None for k in keys], "Int64")[cam[at]]
+        return pd.DataFrame({"run": run, "camera_id": camera, "frame": frame[at], "det_id": det[at], "track_id": track})
+
+    def _linked(self, live: tuple, cam: np.ndarray, frame: np.ndarray, det: np.ndarray, weak: np.ndarray, box: np.ndarray) -> tuple:
+        """Live tracks after a frame of some cameras (rows by camera, as are the tracks), the track of each box, and which boxes have one."""
+        at = np.minimum(np.searchsorted(cam, live[0]), len(cam) - 1)
+        gone = (cam[at] == live[0]) & (frame[at] - live[2] > self.max_gap)
+        live = tuple(c[~gone] for c in live)
+        free = np.ones(len(live[0]), bool)
+        track, found = det.copy(), np.zeros(len(det), bool)
+        for sure in (True, False):  # confident boxes first; the others only extend tracks
+            own = np.flatnonzero(weak != sure)
+            met, named = self._met(live, cam[own], det[own], box[own])
+            left, open_, took = bytearray(b"" * len(own)), bytearray(free.tobytes()), []
+            for b, t in met:
+                if left[b] and open_[t]:
+                    left[b] = open_[t] = 0
+                    took.append((b, t))
+            b, t = np.array(took, np.int64).reshape(-1, 2).T
+            b, free = own[b], np.frombuffer(open_, bool)
+            track[b], found[b], live[2][t], live[3][t] = live[1][t], True, frame[b], box[b]
+            if sure:
+                new = ~weak & ~found
+                found |= new
+                # a new track takes the place of one of its name
+                b, t = own[named[0]], named[1]
+                b, t = b[new[b]], t[new[b]]
+                live[2][t], live[3][t], new[b] = frame[b], box[b], False
+        live = tuple(np.concatenate(c) for c in zip(live, (cam[new], det[new], frame[new], box[new])))
+        order = np.argsort(live[0], kind="stable")
+        return tuple(c[order] for c in live), track, found
+
+    def _met(self, live: tuple, cam: np.ndarray, det: np.ndarray, box: np.ndarray) -> tuple:
+        """Places of boxes and tracks of a camera that overlap enough, in the order of choice: most overlap, box, track; and of those that have one name."""
+        low, high = np.searchsorted(live[0], cam), np.searchsorted(live[0], cam, "right")
+        pairs = np.concatenate([[0], np.cumsum(high - low)])
+        found, named = [], []
+        for part in np.split(np.arange(len(cam)), np.flatnonzero(np.diff(pairs[:-1] // self.PAIRS)) + 1):
+            n = (high - low)[part]
+            b = np.repeat(part, n)
+            t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)
+            o = overlaps(live[3][t], box[b])
+            enough, same = o >= self.iou_min, live[1][t] == det[b]
+            found.append((-o[enough], b[enough], t[enough]))
+            named.append((b[same], t[same]))
+        o, b, t = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((live[1][t], det[b], o))
+        return zip(b[order].tolist(), t[order].tolist()), tuple(np.concatenate(c) for c in zip(*named))
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlap() of boxes row by row."""
+    w, h = (np.maximum(np.minimum(a[:, i + 2], b[:, i + 2]) - np.maximum(a[:, i], b[:, i]), 0.0) for i in (0, 1))
+    with np.errstate(all="ignore"):
+        inter = w * h
+        union = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - inter
+        return np.where(union > 0, inter / union, 0.0)
 
 
 def overlap(a: tuple, b: tuple) -> float:
@@ -369,7 +463,12 @@ def overlap(a: tuple, b: tuple) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def track_stream(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap: int = 30, iou_min: float = 0.3, delay: str = "10 seconds", step_seconds: int = 10) -> DataFrame:
-    """Person boxes with track_id, incrementally per camera; state is bounded by the live tracks and the delay."""
+def track_stream(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap: int = 30, iou_min: float = 0.3, delay: str = "10 seconds", step_seconds: int = 10, shards: int = 1024) -> DataFrame:
+    """Person boxes with track_id, incrementally per camera; state is bounded by the live tracks and the delay.
+
+    shards: cameras are dealt by hash to so many groups, which share state and timer (see stream_consecutive).
+    """
     schema = "run string, camera_id long, frame long, det_id long, track_id long"
-    return df.withWatermark("ts", delay).groupBy("run", "camera_id").transformWithStateInPandas(Tracker(high, low, max_gap, iou_min, step_seconds * 1_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    rows = df.withWatermark("ts", delay).select(*(c for c in Tracker.ROW if c != "key"), _key_text(df, ["run", "camera_id"]).alias("key"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
+    return dealt.transformWithStateInPandas(Tracker(high, low, max_gap, iou_min, step_seconds * 1_000_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")
