@@ -43,7 +43,7 @@ def associate(cands: DataFrame, mode: str = "one_to_one") -> DataFrame:
         return cands.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     if mode != "one_to_one":
         raise ValueError(mode)
-    taken = dominant_pairs(cands, [*FRAME, "cls"], "person_det_id", "ppe_det_id", F.struct("score", -F.col("ppe_det_id"), -F.col("person_det_id")))
+    taken = dominant_pairs(cands, [*FRAME, "cls"], "person_det_id", "ppe_det_id", F.struct("score", -F.col("ppe_det_id"), -F.col("person_det_id")), dealt=True)
     return taken.select(*FRAME, "cls", "person_det_id", "ppe_det_id", "score")
 
 

@@ -20,7 +20,7 @@ def _matched(dets: DataFrame, truth: DataFrame, iou_min: float, keys: list[str])
     met = met.where(intersection(a, b) > 0) if iou_min > 0 else met
     pairs = met.select(*keys, "det_id", "conf", "truth_id", F.round(iou(a, b), 9).alias("iou")).where(F.col("iou") >= iou_min)
     rank = F.struct("conf", -F.col("det_id"), "iou", -F.col("truth_id"))
-    return dominant_pairs(pairs, keys, "det_id", "truth_id", rank).select(*keys, "det_id", "truth_id")
+    return dominant_pairs(pairs, keys, "det_id", "truth_id", rank, dealt=True).select(*keys, "det_id", "truth_id")
 
 
 def detector_ap(dets: DataFrame, truth: DataFrame, iou_min: float = 0.5) -> DataFrame:
