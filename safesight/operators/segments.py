@@ -14,6 +14,9 @@ from safesight.lineage import cut, large
 
 def spans(rows: DataFrame, keys: list[str]) -> bool:
     """Whether a key has rows in several blocks (a column ``block``)."""
+    first, last = rows.agg(F.min("block"), F.max("block")).first()
+    if first == last:
+        return False
     return not rows.groupBy(*keys).agg((F.min("block") < F.max("block")).alias("several")).where("several").isEmpty()
 
 
@@ -30,7 +33,8 @@ def carried(rows: DataFrame, keys: list[str], at: str, name: str, value: Column,
         return rows.withColumn(name, F.coalesce(own, F.lit(0)) if how == "sum" else own)
     total = F.max_by(value, F.when(value.isNotNull(), F.col(at))) if how == "last" else combine(value)
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut(rows.groupBy(*keys, "block").agg(total.alias("_total"))).withColumn("_before", combine(F.col("_total")).over(earlier)).drop("_total")
+    # cut after its window, too, so that a join deals it like the rows and not the rows like it
+    before = cut(cut(rows.groupBy(*keys, "block").agg(total.alias("_total"))).withColumn("_before", combine(F.col("_total")).over(earlier)).drop("_total"))
     own = rows.withColumn("_own", combine(value).over(within)).join(large(before), [*keys, "block"])
     both = {"last": F.coalesce("_own", "_before"), "max": F.greatest("_own", "_before"), "sum": F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))}[how]
     return own.withColumn(name, both).drop("_own", "_before")

@@ -70,9 +70,11 @@ def link_detections(df: DataFrame, high: float = 0.5, low: float = 0.1, max_gap:
     Tier 1 links confident boxes of adjacent frames; tier 2 extends what is still
     unlinked by boxes of low confidence; tier 3 bridges gaps up to max_gap between
     ends and confident starts. Each tier sees only what the ones before left over,
-    so gaps cost candidates for the ends of chains alone.
+    so gaps cost candidates for the ends of chains alone. df is read four times: where
+    its rows of a camera are together, as after a groupBy or repartition on it, no box is
+    shuffled, which a table in between would forget; cut() it if it is dear to compute.
     """
-    seen = cut(df.where(F.col("conf") >= low).select(*CAMERA, "frame", "det_id", "conf", "x1", "y1", "x2", "y2"))
+    seen = df.where(F.col("conf") >= low).select(*CAMERA, "frame", "det_id", "conf", "x1", "y1", "x2", "y2")
     found = cut(_adjacent(seen, high, iou_min))
     third = _bridged(_without(seen, found, "prev_det_id"), _without(seen.where(F.col("conf") >= high), found, "det_id"), (2, max_gap), iou_min)
     return found.unionByName(third.withColumn("tier", F.lit(3)))
@@ -85,19 +87,19 @@ def _without(rows: DataFrame, links: DataFrame, end: str) -> DataFrame:
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Boxes of a camera's block in order of frames: the first box of their chain there (track_id), and what that one follows in an earlier block (up)."""
-    block, roots = None, {}
+    roots = {}
     for batch in batches:
-        run, camera, at, det, up = (batch.column(c).to_pylist() for c in (*CAMERA, "_block", "det_id", "up"))
+        nth, det, up = (batch.column(c).to_pylist() for c in ("_nth", "det_id", "up"))
         first, before = [], []
-        for own, d, u in zip(zip(run, camera, at), det, up):
-            if own != block:
-                block, roots = own, {}
+        for n, d, u in zip(nth, det, up):
+            if n == 1:
+                roots = {}
             found = roots.get(u) if u is not None else None
             found = roots[d] = (d, u) if found is None else found
             first.append(found[0])
             before.append(found[1])
-        columns = [batch.column(c) for c in batch.schema.names if c not in ("_block", "up")]
-        names = [c for c in batch.schema.names if c not in ("_block", "up")]
+        names = [c for c in batch.schema.names if c not in ("_block", "_nth", "up")]
+        columns = [batch.column(c) for c in names]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.int64()), pa.array(before, pa.int64())], [*names, "track_id", "up"])
 
 
@@ -108,7 +110,10 @@ def assign_tracks(dets: DataFrame, links: DataFrame, max_rounds: int = 40) -> Da
     a row per chain and block, by pointer doubling, so rounds are the logarithm of the most blocks of a chain.
     """
     named = dets.join(large(links.select(*CAMERA, "det_id", F.col("prev_det_id").alias("up"))), [*CAMERA, "det_id"], "left")
-    dealt = named.select(*dets.columns, F.col("up").cast("long").alias("up"), F.floor(F.col("frame") / BLOCK).alias("_block")).repartition(*CAMERA, "_block").sortWithinPartitions(*CAMERA, "_block", "frame", "det_id")
+    blocks = named.select(*dets.columns, F.col("up").cast("long").alias("up"), F.floor(F.col("frame") / BLOCK).alias("_block"))
+    # the window puts a block's rows together and in order; rows of a camera that are together already stay where they are
+    order = ["frame", "det_id"]
+    dealt = blocks.withColumn("_nth", F.row_number().over(Window.partitionBy(*CAMERA, "_block").orderBy(*order))).sortWithinPartitions(*CAMERA, "_block", *order)
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in dets.dtypes)
     followed = cut(dealt.mapInArrow(_followed, f"{kinds}, track_id long, up long"))
     at = cut(followed.where("up is not null and det_id = track_id").select(*CAMERA, "det_id", "up"))
