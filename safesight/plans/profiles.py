@@ -7,12 +7,12 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safesight.lineage import large
+from safesight.lineage import cut, large
 from safesight.operators.associate import associate, association_candidates, frame_status
 from safesight.operators.temporal import rule_consecutive, rule_duration, violations
 from safesight.operators.track import assign_tracks, link_detections
 from safesight.plans.detections import events_of, linked_tracks, status_of
-from safesight.schemas import HEAD
+from safesight.schemas import HEAD, TRACK
 
 ALERT = ["profile", "run", "camera_id", "track_id", "violation", "frame"]
 
@@ -33,16 +33,18 @@ def profile_b(dets: DataFrame) -> DataFrame:
     return _alerts(tracks.groupBy("run", "camera_id", "track_id").agg(F.min("frame").alias("frame")).withColumn("violation", F.lit("NO_HELMET")), "B_tracking")
 
 
-def profile_c(dets: DataFrame, persons: DataFrame | None = None) -> DataFrame:
-    """Association: one alert per person track and type, at the first violating frame."""
-    status = status_of(dets, linked_tracks(dets) if persons is None else persons)
+def profile_c(dets: DataFrame, persons: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+    """Association: one alert per person track and type, at the first violating frame. status: the persons' states, if there already."""
+    if status is None:
+        status = status_of(dets, linked_tracks(dets) if persons is None else persons)
     return _alerts(violations(status).where("flag").groupBy("run", "camera_id", "track_id", "violation").agg(F.min("frame").alias("frame")), "C_association")
 
 
-def profile_d(dets: DataFrame, persons: DataFrame | None = None) -> DataFrame:
-    """Full system: one alert per event, when it is confirmed."""
-    events = events_of(status_of(dets, linked_tracks(dets) if persons is None else persons))
-    return _alerts(events.withColumnRenamed("confirm_frame", "frame"), "D_full_system")
+def profile_d(dets: DataFrame, persons: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+    """Full system: one alert per event, when it is confirmed. status: as in profile_c()."""
+    if status is None:
+        status = status_of(dets, linked_tracks(dets) if persons is None else persons)
+    return _alerts(events_of(status).withColumnRenamed("confirm_frame", "frame"), "D_full_system")
 
 
 def compare_profiles(alerts: list[DataFrame], truth: DataFrame | None = None) -> DataFrame:
@@ -84,19 +86,37 @@ def ablate(dets: DataFrame, tracking: bool = True, association: bool = True, eng
         alerts = profile_b(dets) if tracking else profile_a(dets)
         return alerts
     persons = (linked_tracks(dets) if linked is None else linked) if tracking else dets.where("cls = 0").withColumn("track_id", F.col("det_id"))
+    return _judged(_helmets(dets, persons), engine, seconds)
+
+
+def _helmets(dets: DataFrame, persons: DataFrame) -> DataFrame:
+    """Whether helmets are missing, a row per track and frame, as a table: rules look at it more than once."""
     v = violations(frame_status(persons, associate(association_candidates(dets)))).where("violation = 'NO_HELMET'")
+    return cut(v.select(*TRACK, "frame", "ts", "det_id", "violation", "flag"))
+
+
+def _judged(v: DataFrame, engine: bool, seconds: float) -> DataFrame:
+    """Alerts of violations: by the rule of duration, or the first of each track."""
     if engine:
         return _alerts(rule_duration(v, seconds).withColumnRenamed("confirm_frame", "frame"), "ablation")
     return _alerts(v.where("flag").groupBy("run", "camera_id", "track_id", "violation").agg(F.min("frame").alias("frame")), "ablation")
 
 
 def ablation_table(dets: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Number of alerts under each of the eight settings of the switches; persons are linked once."""
-    out, linked = None, linked_tracks(dets)
-    for tracking, association, engine in product((True, False), repeat=3):
-        alerts = ablate(dets, tracking, association, engine, seconds, linked)
-        row = alerts.agg(F.count("*").alias("alerts")).select(F.lit(tracking).alias("tracking"), F.lit(association).alias("association"), F.lit(engine).alias("engine"), "alerts")
-        out = row if out is None else out.unionByName(row)
+    """Number of alerts under each of the eight settings of the switches, as ablate() gives them; persons are linked and associated once.
+
+    Without tracking a person's box is its own track, so the same states serve; without
+    association there is nothing for the engine to judge.
+    """
+    v = _helmets(dets, linked_tracks(dets))
+    out = None
+    for tracking, association in product((True, False), repeat=2):
+        own = v if tracking else v.withColumn("track_id", F.col("det_id"))
+        for engines in ((True,), (False,)) if association else ((True, False),):
+            alerts = _judged(own, engines[0], seconds) if association else ablate(dets, tracking, association)
+            engine = F.explode(F.array(*map(F.lit, engines))).alias("engine")
+            row = alerts.agg(F.count("*").alias("alerts")).select(F.lit(tracking).alias("tracking"), F.lit(association).alias("association"), engine, "alerts")
+            out = row if out is None else out.unionByName(row)
     return out
 
 
