@@ -6,12 +6,14 @@ import re
 
 from pyspark.sql import functions as F
 
+from safesight.lineage import cut
 from safesight.operators import dataset, evaluate, review, temporal, track
 from safesight.plans import detections as plan
 from safesight.plans import profiles, sql
 from safesight.plans.detections import table
 from safesight.plans.sql import query
 from safesight.registry import TILED, _status, _tiled, register
+from safesight.schemas import TRACK
 
 # dataset preparation: files from documents, labels and images from detections
 
@@ -326,15 +328,20 @@ def _(spark, sf_dir):
     return profiles.profile_d(plan.detections(spark, sf_dir))
 
 
+def _states(dets):
+    """The states of the true tracks, associated once for all profiles."""
+    return cut(plan.status_of(dets, plan.true_tracks(dets)).select(*TRACK, "frame", "ts", "det_id", "helmet_state", "vest_state"))
+
+
 @register("p5_compare_profiles", query(*sql.TRUE_EVENTS, H_TRACKS, f"al AS ({A} UNION ALL {B.replace('FROM trk', 'FROM h_trk')} UNION ALL {C} UNION ALL {D})", """
 SELECT coalesce(p.camera_id, t.camera_id) AS camera_id, coalesce(p.violation, t.violation) AS violation, coalesce(a, 0) AS "A_yolo", coalesce(b, 0) AS "B_tracking", coalesce(c, 0) AS "C_association", coalesce(d, 0) AS "D_full_system", coalesce(n, 0) AS truth
 FROM (SELECT camera_id, violation, count(*) FILTER (profile = 'A_yolo') AS a, count(*) FILTER (profile = 'B_tracking') AS b, count(*) FILTER (profile = 'C_association') AS c, count(*) FILTER (profile = 'D_full_system') AS d FROM al GROUP BY ALL) p
 FULL JOIN (SELECT w // 5 AS camera_id, v AS violation, count(*) AS n FROM (SELECT DISTINCT w, 'NO_HELMET' AS v FROM wk WHERE w % 4 = 0 UNION ALL SELECT DISTINCT w, 'NO_VEST' FROM wk WHERE w % 6 = 1) GROUP BY ALL) t USING (camera_id, violation)"""))
 def _(spark, sf_dir):
     dets = plan.detections(spark, sf_dir)
-    persons = plan.true_tracks(dets)
+    status = _states(dets)
     truth = truth_events(spark, sf_dir).groupBy("camera_id", "violation").agg(F.count("*").alias("n"))
-    return profiles.compare_profiles([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, persons), profiles.profile_d(dets, persons)], truth)
+    return profiles.compare_profiles([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, status=status), profiles.profile_d(dets, status=status)], truth)
 
 
 @register("p5_profile_accuracy", query(*sql.TRUE_EVENTS, H_TRACKS, f"al AS ({A} UNION ALL {B.replace('FROM trk', 'FROM h_trk')} UNION ALL {C} UNION ALL {D})", """
@@ -346,8 +353,8 @@ FROM (SELECT profile, violation, count(DISTINCT (run, camera_id, track_id, frame
 LEFT JOIN (SELECT profile, violation, count(DISTINCT (run, camera_id, track_id, frame)) AS "right" FROM mt GROUP BY ALL) r USING (profile, violation) LEFT JOIN (SELECT profile, violation, count(*) AS found, avg(delay) AS mean_delay FROM fi GROUP BY ALL) f USING (profile, violation)"""))
 def _(spark, sf_dir):
     dets = plan.detections(spark, sf_dir)
-    persons = plan.true_tracks(dets)
-    return profiles.profile_accuracy([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, persons), profiles.profile_d(dets, persons)], truth_events(spark, sf_dir))
+    status = _states(dets)
+    return profiles.profile_accuracy([profiles.profile_a(dets), profiles.profile_b(dets), profiles.profile_c(dets, status=status), profiles.profile_d(dets, status=status)], truth_events(spark, sf_dir))
 
 
 @register("p6_ablate", query(*sql.LINKED_EVENTS[:8], "SELECT 'ablation' AS profile, run, camera_id, track_id, violation, min(frame) AS frame FROM runs WHERE violation = 'NO_HELMET' AND ts - first_ts >= 1000000 GROUP BY run, camera_id, track_id, violation, first_frame"))

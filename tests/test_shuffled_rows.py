@@ -6,8 +6,8 @@ import pytest
 
 from safesight import registry
 from safesight.lineage import cut
-from safesight.operators import matching, segments, temporal, track
-from safesight.plans import detections
+from safesight.operators import associate, matching, segments, temporal, track
+from safesight.plans import detections, profiles
 
 
 def dealt(df):
@@ -49,3 +49,31 @@ def test_chain_to_events(spark, sf, monkeypatch):
     assert by == {"tier": 0, "_free": 0}
     # both anti-joins and the join with all links read the table of links: an exchange each
     assert next(n for columns, n in seen if {"track_id", "up", "x1"} <= columns) <= 3
+
+
+@pytest.mark.parametrize(("name", "linked"), [("p6_ablation_table", 2), ("p5_compare_profiles", 1), ("p5_profile_accuracy", 1)])
+def test_settings_share_steps(spark, sf, monkeypatch, name, linked):
+    """Equipment is matched once, persons and heads are linked once each, whatever the number of settings."""
+    calls = {"pairs": 0, "links": 0}
+
+    def counted(module, f, key):
+        def g(*args, **options):
+            calls[key] += 1
+            return f(*args, **options)
+
+        monkeypatch.setattr(module, f.__name__, g)
+
+    counted(associate, matching.dominant_pairs, "pairs")
+    for module in (detections, profiles):
+        counted(module, track.link_detections, "links")
+    registry.queries()[name](spark, sf)
+    # heads once for either setting of the engine; without tracking they are not linked
+    assert calls == {"pairs": 1, "links": linked}
+
+
+def test_ablation_table_counts_each_setting(spark, sf):
+    dets = detections.detections(spark, sf).where("camera_id < 12")
+    rows = profiles.ablation_table(dets).collect()
+    assert len(rows) == 8
+    for r in rows:
+        assert profiles.ablate(dets, r.tracking, r.association, r.engine).count() == r.alerts
