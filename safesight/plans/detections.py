@@ -19,6 +19,8 @@ START_US = 1_767_225_600_000_000
 FRAME_US = 100_000
 #: Workers whose boxes are one partition.
 WORKERS = 4096
+#: States of persons that are one partition, when events are made of them.
+STATES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +87,6 @@ def status_of(dets: DataFrame, persons: DataFrame, mode: str = "one_to_one") ->
 def events_of(status: DataFrame, n: int = 5) -> DataFrame:
     """Events by the consecutive rule; rows are dealt by track (and block of frames) once for both types, before they are two."""
     states = cut(status.select(*TRACK, "frame", "ts", "det_id", "helmet_state", "vest_state"))
-    return consecutive_events(violations(states.repartition(*TRACK, F.floor(F.col("frame") / BLOCK))), n)
+    # as rows shuffle to few bytes, partitions by their bytes would be too large to sort in memory
+    parts = max(status.sparkSession.sparkContext.defaultParallelism, states.count() // STATES)
+    return consecutive_events(violations(states.repartition(parts, *TRACK, F.floor(F.col("frame") / BLOCK))), n)
